@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_filter", "pii", "simhash", "mixing", "huffman_store")
+MODULES = ("url_filter", "pii", "simhash", "mixing", "huffman_store", "toxicity")
 
 
 def _modules():
