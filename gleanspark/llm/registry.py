@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_filter", "pii", "simhash", "mixing", "huffman_store", "toxicity", "langid")
+MODULES = ("url_filter", "pii", "simhash", "mixing", "huffman_store", "toxicity", "langid", "unigram")
 
 
 def _modules():
