@@ -31,6 +31,7 @@ END_ID = 2
 MAX_BITS = 18
 BLOCK, EVERY = 1 << 18, 256
 _BLOCK_SCHEMA = "shard int, block int, first long, doc_id array<long>, n_tokens array<long>, every int, bit_at array<long>, payload binary"
+_PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
 _TOKENIZERS: dict[str, WordCache] = {}
 
 
@@ -43,8 +44,9 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 def _word_ids(path: str) -> WordCache:
     """Little-endian ids (16 bits, or 32 for a larger vocabulary) of a white-space delimited piece of text.
 
-    The tokenizer collapses white space and never joins across it, so a text's ids are those of its pieces. A comma or
-    full stop that ends a piece right after a letter is a token of its own, so the rest is looked up without it.
+    The tokenizer collapses white space and never joins across it, so a text's ids are those of its pieces. Where the
+    tokenizer also cuts between a letter and ASCII punctuation that ends a piece, the two are looked up apart; where it
+    leaves words of a-z as they are, its model is asked for them directly. Both are tried when it is loaded.
     """
     if path not in _TOKENIZERS:
         import os
@@ -53,22 +55,42 @@ def _word_ids(path: str) -> WordCache:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        model = tokenizer.model
         kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
+        def full(word: str) -> list[int]:
+            return tokenizer.encode(word, add_special_tokens=False).ids
+
+        def direct(word: str) -> list[int]:
+            return [t.id for t in model.tokenize(word)]
+
+        cut = all(full(x + p) == full(x) + full(p) for x in ("a", "zq") for p in [*map(chr, _PUNCTUATION), ".,!'", "'.", "%%%"])
+        plain = all(full(x) == direct(x) for x in ("a", "s", "the", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrq"))
+
+        special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
         def of(word: bytes) -> bytes:
-            if word[-1:] in (b",", b".") and word[-2:-1].isalpha():
-                return cache[word[:-1]] + cache[word[-1:]]
-            return np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, kind).tobytes()
+            if any(t in word for t in special):
+                return np.array(full(word.decode()), kind).tobytes()
+            if cut and word[-1] in _PUNCTUATION:
+                stem = word.rstrip(_PUNCTUATION)
+                if stem and stem[-1:].isalpha():
+                    return cache[stem] + cache[word[len(stem) :]]
+            ids = direct(word.decode()) if plain and word.isalpha() and word.islower() else full(word.decode())
+            return np.array(ids, kind).tobytes()
 
         cache = _TOKENIZERS[path] = WordCache(of)
         cache.kind = kind
+        cache.folds = all(full(x) == full(x.lower()) for x in ("ABCDEFGHIJKLM NOPQRSTUVWXYZ", "Ab'S", "A.B"))
+        cache.special = [t.lower() for t in special]
     return _TOKENIZERS[path]
 
 
 def text_ids(text: bytes, path: str, end: int | None = END_ID) -> tuple[bytes, str]:
     """(ids as bytes, their numpy type) of a whole text, with the end id appended."""
     cache = _word_ids(path)
-    words = (text if b"<|" in text else text.lower()).split()  # special tokens are read as written
+    folded = text.lower() if cache.folds else text
+    words = (text if any(t in folded for t in cache.special) else folded).split()  # special tokens are read as written
     tail = b"" if end is None else np.array([end], cache.kind).tobytes()
     return b"".join(map(cache.__getitem__, words)) + tail, cache.kind
 
