@@ -31,6 +31,7 @@ MAX_ROWS = 20_000
 THRESHOLD = 0.3
 DECAY, SPAN = 0.6, 8
 SYMBOLS = 28  # 0: not a letter (only a gap), 1-26: a-z, 27: any other letter
+DOCS_AT_ONCE = 400  # texts whose new words are read together
 WINDOW, STEP = 48, 36  # longer words are read in overlapping windows
 GRAM, LEAST_DOCS, ODDS = 4, 3, 20.0
 POSITIVES, NEGATIVES, HARD, LANDMARKS = 1500, 6000, 600, 64
@@ -133,21 +134,19 @@ class Model:
             out[at] += (self.table[ids] * weights).sum(1) / np.maximum(norms(ids, weights), 1e-12)
         return out
 
-    def of_text(self, text: str | None, cache: dict) -> float:
-        """Margin of the worst word; -1 for a text without words. `cache` holds margins of words seen before."""
-        forms = word_forms(text or "")
-        if not forms:
-            return -1.0
-        new = [w for w in forms if w not in cache]
-        if new:
-            if len(cache) + len(new) > LIMIT:
-                cache.clear()
-                new = list(forms)
-            cache.update(zip(new, self.margins(new).tolist(), strict=True))
-        return max(map(cache.__getitem__, forms))
-
-    def score(self, margin: np.ndarray) -> np.ndarray:
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def of_texts(self, texts: list[str | None]) -> list[float]:
+        """Margin of each text's worst word; -1 for a text without words. Words new to this worker are read together."""
+        out = []
+        for at in range(0, len(texts), DOCS_AT_ONCE):
+            forms = [word_forms(t or "") for t in texts[at : at + DOCS_AT_ONCE]]
+            new = set().union(*forms).difference(self.cache)
+            if len(self.cache) + len(new) > LIMIT:
+                self.cache.clear()
+                new = set().union(*forms)
+            new = list(new)
+            self.cache.update(zip(new, self.margins(new).tolist(), strict=True))
+            out += [max(map(self.cache.__getitem__, f), default=-1.0) for f in forms]
+        return out
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
@@ -266,7 +265,7 @@ def with_margin(docs: DataFrame, model: Model, text: str = "text", out: str = "m
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
         model = sent.value  # one object per worker, so the cache lasts from task to task
-        return pa.array([model.of_text(x.as_py(), model.cache) for x in texts], pa.float64())
+        return pa.array(model.of_texts(texts.to_pylist()), pa.float64())
 
     return docs.withColumn(out, of(F.col(text)))
 
