@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import math
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -24,12 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import table
-from gleanspark.llm.wordcache import WordCache
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN = 10.0  # fixed value: the penalty of an uncovered character
 NORMAL, BYTE = 1, 6  # fixed values: kinds of pieces
+WORDS = 500_000  # words a Python worker remembers; then it forgets all
+TEXTS_AT_ONCE, MANY, LONG = 400, 4096, 64  # texts and units that are encoded side by side; bytes beyond which a unit is not
+MADE = ("ids", "log_score", "n_bytes", "round_trip")
 
 
 def model_path(name: str = MODEL) -> str:
@@ -104,7 +105,8 @@ class DoubleArray:
             for b in labels:
                 check[pos - first + b + 1] = s
                 queue.append((pos - first + b + 1, node[b]))
-        self.base, self.check, self.value = array("i", base), array("i", check), array("i", value)
+        spare = 257  # so that any byte from any state stays inside
+        self.base, self.check, self.value = (np.array(a + [f] * spare, np.int32) for a, f in ((base, 0), (check, -1), (value, -1)))
 
 
 class Pieces:
@@ -124,11 +126,18 @@ class Pieces:
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         word = f"[^{MARKER}{alone}]"
         self.unit = re.compile(r"(?s).+" if inner else (f"[{alone}]|" if alone else "") + f"{MARKER}+{word}*|{word}+")
-        self.cache = WordCache(self._encode_unit)
+        self.cache: dict[str, bytes] = {}  # ids of words that follow one marker
+        self.score_of = np.array(self.scores)
+        for b, i in self.byte_ids.items():
+            self.score_of[i] = 0.0 if 0x80 <= b < 0xC0 else self.penalty  # once a character, not once a byte
+        self.score_of[self.unknown_id] = self.penalty
+        self.is_byte = np.zeros(len(pieces), bool)
+        self.is_byte[list(self.byte_ids.values())] = True
+        self._lists = [a.tolist() for a in (self.trie.base, self.trie.check, self.trie.value)]
 
     def viterbi(self, text: bytes) -> tuple[list[int], float]:
         """(ids, total score) of the best path; an uncovered character takes its byte pieces, or the unknown id."""
-        base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
+        (base, check, value), scores = self._lists, self.scores
         n, top = len(text), len(check)
         best, start, came = [None] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
@@ -165,16 +174,89 @@ class Pieces:
             at = start[at]
         return out[::-1], best[n]
 
-    def _encode_unit(self, unit: str) -> tuple[bytes, float]:
-        ids, score = self.viterbi(unit.encode())
-        return np.array(ids, "<i4").tobytes(), score
-
-    def encode(self, text: str) -> tuple[bytes, float]:
-        """(ids as little-endian 32-bit integers, total log score); nothing for an empty text."""
-        if not text:
-            return b"", 0.0
-        found = list(map(self.cache.__getitem__, self.unit.findall(MARKER + text.replace(" ", MARKER))))
-        return b"".join([a for a, _ in found]), sum([b for _, b in found])
+    def viterbi_many(self, units: list[str]) -> list[bytes]:
+        """Ids (little-endian 32-bit integers) of the best path of each unit: the same walk, side by side by length."""
+        out: list[bytes] = [b""] * len(units)
+        coded = [u.encode() for u in units]
+        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        for n in np.unique(sizes).tolist():
+            rows = np.flatnonzero(sizes == n)
+            for at in range(0, len(rows), MANY):
+                part = rows[at : at + MANY].tolist()
+                if n > LONG:
+                    found = [np.array(self.viterbi(coded[r])[0], "<i4").tobytes() for r in part]
+                else:
+                    found = self._side_by_side([coded[r] for r in part], n)
+                for r, ids in zip(part, found, strict=True):
+                    out[r] = ids
+        return out
+
+    def _side_by_side(self, coded: list[bytes], n: int) -> list[bytes]:
+        base, check, value = self.trie.base, self.trie.check, self.trie.value
+        scores, k = np.array(self.scores), len(coded)
+        text = np.frombuffer(b"".join(coded), np.uint8).reshape(k, n).T.astype(np.int32)
+        width = np.select([text < 0x80, text < 0xE0, text < 0xF0], [1, 2, 3], 4)
+        best = np.full((n + 1, k), -np.inf)
+        start, came = np.zeros((n + 1, k), np.int32), np.full((n + 1, k), -1, np.int32)
+        best[0] = 0.0
+        for i in range(n):
+            begin = np.flatnonzero((text[i] & 0xC0) != 0x80)
+            single = np.zeros(k, bool)
+            rows, s = begin, np.zeros(len(begin), np.int32)
+            for j in range(i, n):
+                t = base[s] + text[j, rows] + 1
+                ok = check[t] == s
+                rows, s = rows[ok], t[ok]
+                if not len(rows):
+                    break
+                v = value[s]
+                ends = v >= 0
+                r, v = rows[ends], v[ends]
+                total = best[i, r] + scores[v]
+                better = total > best[j + 1, r]
+                r_, v = r[better], v[better]
+                best[j + 1, r_], start[j + 1, r_], came[j + 1, r_] = total[better], i, v
+                single[r[width[i, r] == j + 1 - i]] = True
+            rest = begin[~single[begin]]
+            if len(rest):
+                end, total = i + width[i, rest], best[i, rest] + self.penalty
+                better = total > best[end, rest]
+                rest, end = rest[better], end[better]
+                best[end, rest], start[end, rest], came[end, rest] = total[better], i, -1
+        each, at, steps, plain = np.arange(k), np.full(k, n), [], np.ones(k, bool)
+        while (at > 0).any():
+            ids = np.where(at > 0, came[at, each], -2)
+            plain &= ids != -1
+            steps.append(ids)
+            at = np.where(at > 0, start[at, each], 0)
+        path = np.array(steps[::-1], "<i4").T
+        used = path >= 0
+        flat, ends = path[used].astype("<i4").tobytes(), np.cumsum(used.sum(1)) * 4
+        found = [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        for r in np.flatnonzero(~plain).tolist():  # byte pieces
+            found[r] = np.array(self.viterbi(coded[r])[0], "<i4").tobytes()
+        return found
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers; nothing for an empty text."""
+        out: list[bytes] = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            part = texts[at : at + TEXTS_AT_ONCE]
+            plain = [MARKER not in t and "  " not in t for t in part]
+            units = [([] if not t else t.split(" ") if p else self.unit.findall(MARKER + t.replace(" ", MARKER))) for t, p in zip(part, plain, strict=True)]
+            new = set().union(*(u for u, p in zip(units, plain, strict=True) if p)).difference(self.cache)
+            if len(self.cache) + len(new) > WORDS:
+                self.cache.clear()
+                new = set().union(*(u for u, p in zip(units, plain, strict=True) if p))
+            atoms = {w: self.unit.findall(MARKER + w) for w in new}
+            need = list(set().union(*atoms.values(), *(u for u, p in zip(units, plain, strict=True) if not p)))
+            known = dict(zip(need, self.viterbi_many(need), strict=True))
+            self.cache.update((w, b"".join(map(known.__getitem__, a))) for w, a in atoms.items())
+            out += [b"".join(map((self.cache if p else known).__getitem__, u)) for u, p in zip(units, plain, strict=True)]
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_many([text])[0], "<i4").tolist()
 
     def decode(self, ids) -> str:
         """The text of a list of ids; bytes that are no valid UTF-8 become U+FFFD."""
@@ -188,26 +270,27 @@ def load(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """`docs` with ids (array of int), log_score and n_bytes (ids that are byte pieces). A null text is read as empty.
+    """`docs` with ids (array of int), log_score, n_bytes (ids that are byte pieces) and round_trip (they decode to the text).
 
-    Every row is kept as it is; columns of those three names are replaced.
+    A null text is read as empty. Every row is kept as it is; columns of those four names are replaced.
     """
 
-    @F.arrow_udf("struct<ids:array<int>,log_score:double,n_bytes:int>")
+    @F.arrow_udf("struct<ids:array<int>,log_score:double,n_bytes:int,round_trip:boolean>")
     def of(texts: pa.Array) -> pa.Array:
         pieces = load(path)
-        made = [pieces.encode(x.as_py() or "") for x in texts]
-        flat = np.frombuffer(b"".join(a for a, _ in made), "<i4")
-        ends = np.cumsum([0] + [len(a) // 4 for a, _ in made])
-        is_byte = np.zeros(len(pieces.names), np.int64)
-        is_byte[list(pieces.byte_ids.values())] = 1
-        so_far = np.concatenate([[0], np.cumsum(is_byte[flat])])
-        n_bytes = so_far[ends[1:]] - so_far[ends[:-1]]
+        given = [t or "" for t in texts.to_pylist()]
+        made = pieces.encode_many(given)
+        flat = np.frombuffer(b"".join(made), "<i4")
+        ends = np.cumsum([0] + [len(a) // 4 for a in made])
+        so_far = lambda values: np.concatenate([[0], np.cumsum(values[flat])])
+        score, n_bytes = so_far(pieces.score_of), so_far(pieces.is_byte.astype(np.int64))
+        same = [pieces.decode(np.frombuffer(a, "<i4").tolist()) == t for a, t in zip(made, given, strict=True)]
         ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([ids, pa.array([s for _, s in made], pa.float64()), pa.array(n_bytes, pa.int32())], ["ids", "log_score", "n_bytes"])
+        parts = [ids, pa.array(score[ends[1:]] - score[ends[:-1]]), pa.array(n_bytes[ends[1:]] - n_bytes[ends[:-1]], pa.int32()), pa.array(same)]
+        return pa.StructArray.from_arrays(parts, list(MADE))
 
     made = docs.withColumn("_sp", of(F.col(text)))
-    return made.withColumns({"ids": F.col("_sp.ids"), "log_score": F.col("_sp.log_score"), "n_bytes": F.col("_sp.n_bytes")}).drop("_sp")
+    return made.withColumns({c: F.col(f"_sp.{c}") for c in MADE}).drop("_sp")
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -223,10 +306,8 @@ def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text, and whether decoding them gives the text back."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = decode(encode(docs, model_path()), model_path())
-    same = F.col("decoded") == F.coalesce("text", F.lit(""))
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "n_bytes", "log_score", same.alias("round_trip"))
+    made = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
+    return made.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "n_bytes", "log_score", "round_trip")
 
 
 QUERIES = {"op4_sentencepiece": op4_sentencepiece}
