@@ -173,6 +173,17 @@ def mix(docs: DataFrame, sources: Column, size: Column, doc_id: str = "doc_id",
     return taken, facts
 
 
+def whole_copies(docs: DataFrame, sources: Column, size: Column, doc_id: str = "doc_id", weights: Sequence[float] = WEIGHTS, copies: int = COPIES, seed: int = SEED) -> DataFrame:
+    """(doc_id, size, copies) for mixes of whole documents: a copy is taken if its middle lies in what is routed.
+
+    A document without words is kept once where its place on the line is taken.
+    """
+    taken, _ = mix(docs, sources, size, doc_id, weights, copies, seed)
+    middle = lambda c: 2 * (F.col("at") + c * F.col("whole")) + F.col("size") < 2 * F.col("routed")
+    times = sum((middle(c).cast("int") for c in range(1, copies)), middle(0).cast("int"))
+    return taken.select("doc_id", "size", F.when(F.col("size") == 0, middle(0).cast("int")).otherwise(times).alias("copies"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source size, target and words taken of every document, each belonging to its one source."""
     docs = table(spark, sf_dir, "documents")

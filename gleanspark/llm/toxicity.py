@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import held_out, spool, table
@@ -270,10 +270,13 @@ def with_margin(docs: DataFrame, model: Model, text: str = "text", out: str = "m
     return docs.withColumn(out, of(F.col(text)))
 
 
+def score_of(margin: str, model: Model) -> Column:
+    return 1 / (1 + F.exp(-F.greatest(F.least(F.col(margin) * model.slope + model.shift, F.lit(30.0)), F.lit(-30.0))))
+
+
 def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with `score` (0 to 1) and `predicted` (1 if score >= THRESHOLD); a null text counts as empty. Every row is kept."""
-    sloped = 1 / (1 + F.exp(-F.greatest(F.least(F.col("_margin") * model.slope + model.shift, F.lit(30.0)), F.lit(-30.0))))
-    scored = with_margin(docs, model, text, "_margin").withColumn("score", sloped).drop("_margin")
+    scored = with_margin(docs, model, text, "_margin").withColumn("score", score_of("_margin", model)).drop("_margin")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
