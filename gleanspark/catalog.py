@@ -8,7 +8,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 FLAGSHIP = "revenue_per_year"
-MODULES = ("gleanspark.plans.flagship",)
+MODULES = (
+    "gleanspark.plans.flagship",
+    "gleanspark.plans.scalars",
+    "gleanspark.operators.history",
+    "gleanspark.operators.tables",
+    "gleanspark.operators.merge",
+    "gleanspark.operators.charts",
+    "gleanspark.operators.ranking",
+    "gleanspark.operators.blocks",
+    "gleanspark.streaming.live",
+)
 
 
 def _modules():
