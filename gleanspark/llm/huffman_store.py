@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import shared_dir, shuffle_partitions, spool, table
-from gleanspark.llm.wordcache import WordCache
+from gleanspark.llm.wordcache import WordCache, worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -32,7 +32,7 @@ MAX_BITS = 18
 BLOCK, EVERY = 1 << 18, 256
 _BLOCK_SCHEMA = "shard int, block int, first long, doc_id array<long>, n_tokens array<long>, every int, bit_at array<long>, payload binary"
 _PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
-_TOKENIZERS: dict[str, WordCache] = {}
+_TOKENIZERS: dict = {}
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -49,26 +49,34 @@ def _word_ids(path: str) -> WordCache:
     leaves words of a-z as they are, its model is asked for them directly. Both are tried when it is loaded.
     """
     if path not in _TOKENIZERS:
-        import os
+        _TOKENIZERS[path] = _reader(path)
+    reader = _TOKENIZERS[path]
+    return worker_cache(reader, reader)
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        model = tokenizer.model
-        kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+def _reader(path: str):
+    """What makes the caches of a tokenizer."""
+    import os
 
-        def full(word: str) -> list[int]:
-            return tokenizer.encode(word, add_special_tokens=False).ids
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-        def direct(word: str) -> list[int]:
-            return [t.id for t in model.tokenize(word)]
+    tokenizer = Tokenizer.from_file(path)
+    model = tokenizer.model
+    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
 
-        cut = all(full(x + p) == full(x) + full(p) for x in ("a", "zq") for p in [*map(chr, _PUNCTUATION), ".,!'", "'.", "%%%"])
-        plain = all(full(x) == direct(x) for x in ("a", "s", "the", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrq"))
+    def full(word: str) -> list[int]:
+        return tokenizer.encode(word, add_special_tokens=False).ids
 
-        special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+    def direct(word: str) -> list[int]:
+        return [t.id for t in model.tokenize(word)]
 
+    cut = all(full(x + p) == full(x) + full(p) for x in ("a", "zq") for p in [*map(chr, _PUNCTUATION), ".,!'", "'.", "%%%"])
+    plain = all(full(x) == direct(x) for x in ("a", "s", "the", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrq"))
+    folds = all(full(x) == full(x.lower()) for x in ("ABCDEFGHIJKLM NOPQRSTUVWXYZ", "Ab'S", "A.B"))
+    special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def make() -> WordCache:
         def of(word: bytes) -> bytes:
             if any(t in word for t in special):
                 return np.array(full(word.decode()), kind).tobytes()
@@ -79,11 +87,11 @@ def _word_ids(path: str) -> WordCache:
             ids = direct(word.decode()) if plain and word.isalpha() and word.islower() else full(word.decode())
             return np.array(ids, kind).tobytes()
 
-        cache = _TOKENIZERS[path] = WordCache(of)
-        cache.kind = kind
-        cache.folds = all(full(x) == full(x.lower()) for x in ("ABCDEFGHIJKLM NOPQRSTUVWXYZ", "Ab'S", "A.B"))
-        cache.special = [t.lower() for t in special]
-    return _TOKENIZERS[path]
+        cache = WordCache(of)
+        cache.kind, cache.folds, cache.special = kind, folds, [t.lower() for t in special]
+        return cache
+
+    return make
 
 
 def text_ids(text: bytes, path: str, end: int | None = END_ID) -> tuple[bytes, str]:

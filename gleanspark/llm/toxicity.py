@@ -16,7 +16,7 @@ highest after the first fit are added as negatives for the second.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import held_out, spool, table
-from gleanspark.llm.wordcache import LIMIT
+from gleanspark.llm.wordcache import LIMIT, worker_cache
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
@@ -117,7 +117,7 @@ def features(words: list[str]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-@dataclass
+@dataclass(eq=False)
 class Model:
     """Triple weights, the bias of a word's margin, and the logistic curve over a document's margin."""
 
@@ -125,7 +125,6 @@ class Model:
     bias: float
     slope: float = 1.0
     shift: float = 0.0
-    cache: dict = field(default_factory=dict)  # margins of words seen by this worker
 
     def margins(self, words: list[str]) -> np.ndarray:
         out = np.full(len(words), self.bias)
@@ -136,16 +135,16 @@ class Model:
 
     def of_texts(self, texts: list[str | None]) -> list[float]:
         """Margin of each text's worst word; -1 for a text without words. Words new to this worker are read together."""
-        out = []
+        out, cache = [], worker_cache(self)
         for at in range(0, len(texts), DOCS_AT_ONCE):
             forms = [word_forms(t or "") for t in texts[at : at + DOCS_AT_ONCE]]
-            new = set().union(*forms).difference(self.cache)
-            if len(self.cache) + len(new) > LIMIT:
-                self.cache.clear()
+            new = set().union(*forms).difference(cache)
+            if len(cache) + len(new) > LIMIT:
+                cache.clear()
                 new = set().union(*forms)
             new = list(new)
-            self.cache.update(zip(new, self.margins(new).tolist(), strict=True))
-            out += [max(map(self.cache.__getitem__, f), default=-1.0) for f in forms]
+            cache.update(zip(new, self.margins(new).tolist(), strict=True))
+            out += [max(map(cache.__getitem__, f), default=-1.0) for f in forms]
         return out
 
 

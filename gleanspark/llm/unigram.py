@@ -23,12 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import table
+from gleanspark.llm.wordcache import worker_cache
 
 MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN = 10.0  # fixed value: the penalty of an uncovered character
 NORMAL, BYTE = 1, 6  # fixed values: kinds of pieces
-WORDS = 500_000  # words a Python worker remembers; then it forgets all
+WORDS = 300_000  # words a Python worker remembers; then it forgets all
 TEXTS_AT_ONCE, MANY, LONG = 400, 4096, 64  # texts and units that are encoded side by side; bytes beyond which a unit is not
 MADE = ("ids", "log_score", "n_bytes", "round_trip")
 
@@ -126,7 +127,6 @@ class Pieces:
         alone = "".join(re.escape(c) for c in "\n\t\r" if c not in joined)
         word = f"[^{MARKER}{alone}]"
         self.unit = re.compile(r"(?s).+" if inner else (f"[{alone}]|" if alone else "") + f"{MARKER}+{word}*|{word}+")
-        self.cache: dict[str, bytes] = {}  # ids of words that follow one marker
         self.score_of = np.array(self.scores)
         for b, i in self.byte_ids.items():
             self.score_of[i] = 0.0 if 0x80 <= b < 0xC0 else self.penalty  # once a character, not once a byte
@@ -240,19 +240,20 @@ class Pieces:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers; nothing for an empty text."""
         out: list[bytes] = []
+        cache = worker_cache(self)  # ids of words that follow one marker
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             part = texts[at : at + TEXTS_AT_ONCE]
             plain = [MARKER not in t and "  " not in t for t in part]
             units = [([] if not t else t.split(" ") if p else self.unit.findall(MARKER + t.replace(" ", MARKER))) for t, p in zip(part, plain, strict=True)]
-            new = set().union(*(u for u, p in zip(units, plain, strict=True) if p)).difference(self.cache)
-            if len(self.cache) + len(new) > WORDS:
-                self.cache.clear()
+            new = set().union(*(u for u, p in zip(units, plain, strict=True) if p)).difference(cache)
+            if len(cache) + len(new) > WORDS:
+                cache.clear()
                 new = set().union(*(u for u, p in zip(units, plain, strict=True) if p))
             atoms = {w: self.unit.findall(MARKER + w) for w in new}
             need = list(set().union(*atoms.values(), *(u for u, p in zip(units, plain, strict=True) if not p)))
             known = dict(zip(need, self.viterbi_many(need), strict=True))
-            self.cache.update((w, b"".join(map(known.__getitem__, a))) for w, a in atoms.items())
-            out += [b"".join(map((self.cache if p else known).__getitem__, u)) for u, p in zip(units, plain, strict=True)]
+            cache.update((w, b"".join(map(known.__getitem__, a))) for w, a in atoms.items())
+            out += [b"".join(map((cache if p else known).__getitem__, u)) for u, p in zip(units, plain, strict=True)]
         return out
 
     def encode(self, text: str) -> list[int]:
