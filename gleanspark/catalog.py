@@ -18,6 +18,7 @@ MODULES = (
     "gleanspark.operators.ranking",
     "gleanspark.operators.blocks",
     "gleanspark.streaming.live",
+    "gleanspark.sources.html",
 )
 
 

@@ -51,7 +51,7 @@ def append_rows(stored: DataFrame, new: DataFrame, key: str, row_id: str, order:
     more = new.join(stored.select(key, row_id), [key, row_id], "left_anti")
     last = stored.groupBy(key).agg(F.max("position").alias("_last"))
     nth = F.row_number().over(Window.partitionBy(key).orderBy(order, row_id))
-    return more.withColumn("_n", nth).join(last, key, "left").withColumn("position", F.coalesce("_last", F.lit(-1)) + F.col("_n")).drop("_n", "_last")
+    return more.withColumn("_n", nth).join(last, key, "left").withColumn("position", (F.coalesce("_last", F.lit(-1)) + F.col("_n")).cast("long")).drop("_n", "_last")
 
 
 def recount_sources(rows: DataFrame) -> DataFrame:

@@ -50,7 +50,7 @@ def visit_score(accepted: Column, hours: Column, revisit_hours: float = 24.0) ->
 def rank_with_quota(candidates: DataFrame, allowance: Column, domain: str = "domain", score: str = "score", tie: str = "rank") -> DataFrame:
     """Candidates with `place` within their domain and `first`: each domain's allowance comes before the rest."""
     order = Window.partitionBy(domain).orderBy(F.desc(score), tie)
-    placed = candidates.withColumn("place", F.row_number().over(order))
+    placed = candidates.withColumn("place", F.row_number().over(order).cast("long"))
     return placed.withColumn("first", F.col("place") <= allowance)
 
 
