@@ -19,6 +19,7 @@ MODULES = (
     "gleanspark.operators.blocks",
     "gleanspark.streaming.live",
     "gleanspark.sources.html",
+    "gleanspark.operators.verdicts",
 )
 
 
