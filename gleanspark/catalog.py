@@ -20,6 +20,7 @@ MODULES = (
     "gleanspark.streaming.live",
     "gleanspark.sources.html",
     "gleanspark.operators.verdicts",
+    "gleanspark.operators.registers",
 )
 
 
