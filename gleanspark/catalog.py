@@ -21,6 +21,7 @@ MODULES = (
     "gleanspark.sources.html",
     "gleanspark.operators.verdicts",
     "gleanspark.operators.registers",
+    "gleanspark.operators.prose",
 )
 
 
