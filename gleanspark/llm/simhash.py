@@ -20,7 +20,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import spool, table
@@ -145,12 +145,12 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     Rows with a null id are compared like any other but always kept, as their id can't name them.
     """
     groups = near_duplicate_groups(docs, doc_id, text)
-    kept = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("times"))
-    kept = spool(kept, "kept")
-    same = docs[doc_id] == kept["doc_id"]
-    once = docs.join(kept.where("times = 1"), same, "left_semi")
-    again = docs.join(kept.where("times > 1"), same, "left_semi").dropDuplicates([doc_id])
-    return once.unionByName(again).unionByName(docs.where(F.col(doc_id).isNull()))
+    kept = spool(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
+    # The kept ids grow with the documents, so this join always shuffles; the window then finds its rows in place.
+    mine = docs.join(kept.hint("merge"), docs[doc_id] == kept["doc_id"], "left_semi")
+    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))
+    once = mine.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
+    return once.unionByName(docs.where(F.col(doc_id).isNull()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
