@@ -279,16 +279,20 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     @F.arrow_udf("struct<ids:array<int>,log_score:double,n_bytes:int,round_trip:boolean>")
     def of(texts: pa.Array) -> pa.Array:
         pieces = load(path)
-        given = [t or "" for t in texts.to_pylist()]
-        made = pieces.encode_many(given)
-        flat = np.frombuffer(b"".join(made), "<i4")
-        ends = np.cumsum([0] + [len(a) // 4 for a in made])
-        so_far = lambda values: np.concatenate([[0], np.cumsum(values[flat])])
-        score, n_bytes = so_far(pieces.score_of), so_far(pieces.is_byte.astype(np.int64))
-        same = [pieces.decode(np.frombuffer(a, "<i4").tolist()) == t for a, t in zip(made, given, strict=True)]
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
-        parts = [ids, pa.array(score[ends[1:]] - score[ends[:-1]]), pa.array(n_bytes[ends[1:]] - n_bytes[ends[:-1]], pa.int32()), pa.array(same)]
-        return pa.StructArray.from_arrays(parts, list(MADE))
+        done = []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):  # small parts, so that a worker's memory doesn't follow the batch
+            given = [t or "" for t in texts.slice(at, TEXTS_AT_ONCE).to_pylist()]
+            made = pieces.encode_many(given)
+            flat = np.frombuffer(b"".join(made), "<i4")
+            ends = np.cumsum([0] + [len(a) // 4 for a in made])
+            so_far = lambda values, flat=flat: np.concatenate([[0], np.cumsum(values[flat])])
+            score, n_bytes = so_far(pieces.score_of), so_far(pieces.is_byte.astype(np.int32))
+            same = [pieces.decode(np.frombuffer(a, "<i4").tolist()) == t for a, t in zip(made, given, strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+            parts = [ids, pa.array(score[ends[1:]] - score[ends[:-1]]), pa.array(n_bytes[ends[1:]] - n_bytes[ends[:-1]], pa.int32()), pa.array(same, pa.bool_())]
+            done.append(pa.StructArray.from_arrays(parts, list(MADE)))
+        kind = pa.struct([("ids", pa.list_(pa.int32())), ("log_score", pa.float64()), ("n_bytes", pa.int32()), ("round_trip", pa.bool_())])
+        return pa.concat_arrays(done) if done else pa.array([], kind)
 
     made = docs.withColumn("_sp", of(F.col(text)))
     return made.withColumns({c: F.col(f"_sp.{c}") for c in MADE}).drop("_sp")
