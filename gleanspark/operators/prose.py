@@ -1,7 +1,7 @@
 """Sentences that state a quantity, as rows.
 
 A sentence is cut at its quantities; what stands right before and after each of them, in the pieces between the cuts, tells
-a level ("reached $108") from a change ("down 8%"), a bound ("under $20,000") and a share ("81 percent of milk"). All of it
+a level ("stood at $41") from a change ("down 6%"), a bound ("below $9,000") and a share ("63 percent of timber"). All of it
 is column expressions except the reading of periods.
 """
 

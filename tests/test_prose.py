@@ -8,13 +8,13 @@ from gleanspark.operators import prose
 
 TODAY = date(2026, 9, 30)
 CASES = {
-    "The average reached $108 in the year 2024 for packs.": [("$108", "level")],
-    "Prices were down 8% to $115 in 2024.": [("8%", "change"), ("$115", "level")],
-    "Cars under $20,000 are harder to find now.": [("$20,000", "bound")],
-    "About 81 percent of milk goes to cities today.": [("81 percent", "share")],
-    "The state has 1,280 hospitals and 12,400 views.": [("1,280 hospitals", "level")],
-    "Output was 13.96 million people there.": [("13.96 million", "level")],
-    "It cost $3,000 less than before.": [("$3,000", "change")],
+    "The toll stood at $41 in the year 2024 for vans.": [("$41", "level")],
+    "Fares were down 6% to $57 in 2024.": [("6%", "change"), ("$57", "level")],
+    "Boats under $9,000 are seldom on sale now.": [("$9,000", "bound")],
+    "About 63 percent of timber goes to mills today.": [("63 percent", "share")],
+    "The valley has 2,150 orchards and 7,300 likes.": [("2,150 orchards", "level")],
+    "The herd was 4.5 million strong there.": [("4.5 million", "level")],
+    "It cost $700 less than before.": [("$700", "change")],
     "Nothing happened in 2024 at all.": [],
 }
 
@@ -26,8 +26,8 @@ def test_roles_of_quantities(spark):
 
 
 def test_statements_of_paragraphs(spark):
-    text = "In 2023 the pack price reached $115 per unit. Prices fell 8% during 2024, from $120 in 2022! Tokyo has 13.96 million people living there. Under $20,000 nobody finds one any more."
+    text = "In 2023 the ferry fare reached $57 per trip. Fares fell 6% during 2024, from $61 in 2022! The island has 4.5 million sheep grazing there. Under $9,000 nobody finds one any more."
     rows = spark.createDataFrame([(1, 0, text), (1, 1, text), (2, 0, "too short $5")], "page_id long, pos int, text string")
     got = [(r.method, r.value, r.change, r.period) for r in prose.statements(rows, TODAY).orderBy("place").collect()]
-    assert got == [("text_statement", "$115", None, "2023"), ("text_statement", "$120", "8%", "2024"), ("undated_statement", "13.96 million", None, None)]
+    assert got == [("text_statement", "$57", None, "2023"), ("text_statement", "$61", "6%", "2024"), ("undated_statement", "4.5 million", None, None)]
     assert prose.statements(rows.limit(0), TODAY).count() == 0
