@@ -22,6 +22,7 @@ MODULES = (
     "gleanspark.operators.verdicts",
     "gleanspark.operators.registers",
     "gleanspark.operators.prose",
+    "gleanspark.operators.identity",
 )
 
 
