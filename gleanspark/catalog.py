@@ -23,6 +23,7 @@ MODULES = (
     "gleanspark.operators.registers",
     "gleanspark.operators.prose",
     "gleanspark.operators.identity",
+    "gleanspark.operators.periods",
 )
 
 
