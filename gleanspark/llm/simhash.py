@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.llm.common import spool, table
 from gleanspark.llm.components import components
+from gleanspark.llm.near_copies import near_duplicate_groups
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -124,7 +125,7 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
     return a.join(b, (a["key"] == b["key"]) & near).select("a", "b").distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprint_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): one row per input row; component_id is the smallest id reachable over links.
 
     Null texts and texts without words have fingerprint 0 and link like any other. A null id is never the smallest; a
@@ -140,7 +141,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group; of rows that repeat such an id, one.
+    """The rows of `docs` whose id is the smallest of its group of near-copies; of rows that repeat such an id, one.
 
     Rows with a null id are compared like any other but always kept, as their id can't name them.
     """
@@ -155,7 +156,7 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
-    found = near_duplicate_groups(table(spark, sf_dir, "documents"))
+    found = fingerprint_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

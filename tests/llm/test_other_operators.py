@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gleanspark.llm import ann, embedding_dedup, mixing, pii, registry, simhash, toxicity, url_filter
+from gleanspark.llm import ann, embedding_dedup, mixing, near_copies, pii, registry, simhash, toxicity, url_filter
 from gleanspark.llm.common import table
 from gleanspark.llm.components import components
 
@@ -202,6 +202,45 @@ def test_pipeline_stages_do_what_their_operators_say(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash", "pii", "mixing", "sentencepiece"]
 
 
+def _jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_near_copies_are_those_of_all_pairs(spark, sf_dir):
+    texts = {r.doc_id: r.text for r in table(spark, sf_dir, "documents").collect()}
+    rng = np.random.default_rng(3)
+    for i in range(60):  # one or more words changed in 60 to 150
+        words = [f"w{n}" for n in rng.integers(0, 5000, int(rng.integers(60, 150)))]
+        texts[1000 + 10 * i] = " ".join(words)
+        for k in range(1, 5):
+            changed = list(words)
+            for at in rng.integers(0, len(words), k):
+                changed[at] = f"other{k}"
+            texts[1000 + 10 * i + k] = " ".join(changed)
+    sets = {}
+    for i, t in texts.items():
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} - {()}
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+    for n, b in enumerate(ids):
+        for a in ids[:n]:
+            if root[a] != root[b] and _jaccard(sets[a], sets[b]) >= 0.8:
+                least, gone = sorted((root[a], root[b]))
+                root = {i: least if r == gone else r for i, r in root.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    kept = corpus_pipeline.without_near_copies(spark, docs, sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.values()))
+
+
+def test_parts_of_a_crowd_meet(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    docs = [(i, " ".join(base[:i] + ["x"] + base[i + 1 :])) for i in range(40)]
+    monkeypatch.setattr(near_copies, "SIDE", 3)
+    found = near_copies.near_duplicate_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len(found) == 40 and {r.component_id for r in found} == {0}
+
+
 def test_pipeline_bears_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string"
     rows = [(1, "a b c", "en", "s", 5, "k"), (1, "a b c", "en", "s", 5, "k"), (2, None, None, None, None, None), (None, "mail me@x.de", None, "s", 12, None), (3, "", "en", "t", 0, "")]
