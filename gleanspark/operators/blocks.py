@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.sources.tables import table
@@ -42,35 +39,26 @@ def demote_unsupported(rows: DataFrame) -> DataFrame:
     return known.withColumn("status", F.when(weak, "partial").otherwise(F.col("status")))
 
 
-def _repeats(keys: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for site in keys:
-        kept: set = set()
-        out = []
-        for _, block in site.sort_values(["place", "pos"]).groupby("place", sort=True):
-            last = block.drop_duplicates("signature", keep="last")
-            repeated = last["signature"].isin(kept)
-            if kept and len(last) and repeated.sum() / len(last) >= OVERLAP:
-                out.append(last.loc[repeated, ["pos"]])
-            kept.update(last["signature"])
-        if out:
-            yield pd.concat(out)
-
-
 def overlap_suppression(rows: DataFrame) -> DataFrame:
     """Accepted rows that repeat a stronger block of their site become partial.
 
     Blocks of a site are taken by falling support, then by first row. A block of whose distinct values (period, series,
     number to 6 places) 60 of 100 are held by blocks before it loses those rows; its values count for the later ones either
-    way. That walk needs a site's blocks in order, so it runs per site, on value hashes only; the rows themselves are
-    joined afterwards.
+    way. So a value is a repeat where the first block of its site that holds it comes before this one, and no walk over a
+    site's values is needed. Of rows of a block that share a value, the last stands for it.
     """
     support = block_support(rows)
-    place = Window.partitionBy("site").orderBy(F.desc("support"), "first_pos")
-    sites = rows.select("source_url", "block_id", "site").distinct().join(support, ["source_url", "block_id"]).withColumn("place", F.row_number().over(place))
+    place = F.struct(F.col("support").isNull().alias("none"), (-F.col("support")).alias("support"), "first_pos", "source_url", "block_id")
+    placed = support.select("source_url", "block_id", place.alias("place"))
     accepted = rows.where("status = 'accepted' AND number IS NOT NULL")
     signature = F.xxhash64("period", F.lower("series"), F.round("number", 6))
-    values = accepted.join(sites.select("source_url", "block_id", "place"), ["source_url", "block_id"]).select("site", "place", "pos", signature.alias("signature"))
-    lost = values.groupBy("site").applyInPandas(_repeats, "pos long").withColumn("_lost", F.lit(True))
+    values = accepted.join(placed, ["source_url", "block_id"]).select("site", "place", "pos", signature.alias("signature"))
+    values = values.groupBy("site", "place", "signature").agg(F.max("pos").alias("pos"))
+    earliest = values.groupBy(F.col("site").alias("_site"), F.col("signature").alias("_signature")).agg(F.min("place").alias("earliest"))
+    same_site = F.col("site").eqNullSafe(F.col("_site"))
+    known = values.join(earliest, same_site & (F.col("signature") == F.col("_signature"))).select("site", "place", "pos", (F.col("earliest") < F.col("place")).alias("repeated"))
+    share = known.groupBy(F.col("site").alias("_site"), F.col("place").alias("_place")).agg(F.avg(F.col("repeated").cast("int")).alias("share")).where(F.col("share") >= OVERLAP)
+    lost = known.where("repeated").join(share, same_site & F.col("place").eqNullSafe(F.col("_place"))).select("pos", F.lit(True).alias("_lost"))
     return rows.join(lost, "pos", "left").withColumn("status", F.when(F.col("_lost"), "partial").otherwise(F.col("status"))).drop("_lost")
 
 

@@ -1,5 +1,6 @@
 """Operators on small fixtures: pages, wide files, blocks, charts, streams."""
 
+import random
 from datetime import date
 
 import pytest
@@ -88,6 +89,27 @@ def test_overlap_goes_to_the_stronger_block(spark):
     assert support["strong"] == round((0.9 + 0.9 + 1) / 3, 3)
 
 
+def test_overlap_needs_no_whole_site_in_one_task(spark):
+    rng = random.Random(4)
+    rows = []
+    for at in range(600):
+        site, block = rng.choice(["s", "t", None]), f"b{rng.randrange(6)}"
+        rows.append((at, f"u{site}", site, block, int(block[1]) / 8, 0.5, "number", False, rng.choice(["accepted", "rejected"]), "2024", f"x{rng.randrange(2)}", float(rng.randrange(int(block[1]) * 9 + 4))))
+    df = spark.createDataFrame(rows, "pos long, source_url string, site string, block_id string, coverage double, relevance double, kind string, is_record boolean, status string, period string, series string, number double")
+    support = {(r.source_url, r.block_id): (-r.support, r.first_pos) for r in blocks.block_support(df).collect()}
+    held, lost = {}, set()
+    for source, block in sorted(support, key=support.get):
+        last = {(r[10], r[11]): r[0] for r in rows if (r[1], r[3], r[8]) == (source, block, "accepted")}
+        seen = held.setdefault(source, set())
+        repeated = [v for v in last if v in seen]
+        if seen and last and len(repeated) / len(last) >= blocks.OVERLAP:
+            lost |= {last[v] for v in repeated}
+        seen |= set(last)
+    found = blocks.overlap_suppression(df)
+    assert lost and {r.pos for r in found.where("status = 'partial'").collect()} == lost
+    assert "Pandas" not in found._jdf.queryExecution().toString()
+
+
 def test_charts(spark):
     cells = [(0, "2024", "", "price", "$5"), (0, "2024", "", "city", "A"), (1, "2025", "", "price", "$6"), (1, "2025", "", "city", "A"), (2, "2024", "", "price", "$9"), (2, "2024", "", "city", "B"), (3, "2024", "", "price", "$1"), (3, "2024", "", "city", "A")]
     df = spark.createDataFrame(cells, "pos int, period string, series string, name string, value string")
