@@ -243,7 +243,7 @@ class Pieces:
         cache = worker_cache(self)  # ids of words that follow one marker
         for at in range(0, len(texts), TEXTS_AT_ONCE):
             part = texts[at : at + TEXTS_AT_ONCE]
-            plain = [MARKER not in t and "  " not in t for t in part]
+            plain = [MARKER not in t and "  " not in t and not t.startswith(" ") for t in part]
             units = [([] if not t else t.split(" ") if p else self.unit.findall(MARKER + t.replace(" ", MARKER))) for t, p in zip(part, plain, strict=True)]
             new = set().union(*(u for u, p in zip(units, plain, strict=True) if p)).difference(cache)
             if len(cache) + len(new) > WORDS:

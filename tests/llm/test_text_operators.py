@@ -246,6 +246,16 @@ def test_store_bears_odd_rows(spark, odd, none, tmp_path):
 # --- pieces
 
 
+def test_one_space_in_front_takes_the_best_path():
+    pieces = unigram.load(unigram.model_path())
+    for text in (" hello", " hello world", " a"):
+        whole = (unigram.MARKER + text.replace(" ", unigram.MARKER)).encode()
+        best = pieces.viterbi(whole)[0]
+        total = lambda ids: sum(pieces.score_of[i] for i in ids)
+        got = pieces.encode(text)
+        assert total(got) == pytest.approx(total(best)) and pieces.decode(got) == text
+
+
 def test_pieces_agree_with_the_library(sf_dir, spark):
     """The library reads the same pieces and log scores as a unigram model; equal totals may be cut in another way."""
     import struct
