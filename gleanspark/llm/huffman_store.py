@@ -14,24 +14,28 @@ File format: a directory with two Parquet tables.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import shared_dir, shuffle_partitions, spool, table
-from gleanspark.llm.wordcache import WordCache, worker_cache
+from gleanspark.llm.wordcache import worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 MAX_BITS = 18
 BLOCK, EVERY = 1 << 18, 256
 _BLOCK_SCHEMA = "shard int, block int, first long, doc_id array<long>, n_tokens array<long>, every int, bit_at array<long>, payload binary"
-_PUNCTUATION = bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+_PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+PART, WORDS = 8 << 20, 400_000  # bytes of text read together; words a Python worker remembers, then it forgets all
 _TOKENIZERS: dict = {}
 
 
@@ -41,93 +45,177 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-def _word_ids(path: str) -> WordCache:
-    """Little-endian ids (16 bits, or 32 for a larger vocabulary) of a white-space delimited piece of text.
+def runs_of(flat: np.ndarray, ends: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the runs of `flat` numbered in `which`, one after the other, and their sizes); run i ends before ends[i]."""
+    size = np.diff(ends, prepend=0)[which]
+    shift = ends[which] - np.cumsum(size)
+    return flat[np.repeat(shift, size) + np.arange(size.sum())], size
 
-    The tokenizer collapses white space and never joins across it, so a text's ids are those of its pieces. Where the
-    tokenizer also cuts between a letter and ASCII punctuation that ends a piece, the two are looked up apart; where it
-    leaves words of a-z as they are, its model is asked for them directly. Both are tried when it is loaded.
-    """
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = _reader(path)
-    reader = _TOKENIZERS[path]
-    return worker_cache(reader, reader)
-
-
-def _reader(path: str):
-    """What makes the caches of a tokenizer."""
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    model = tokenizer.model
-    kind = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-
-    def full(word: str) -> list[int]:
-        return tokenizer.encode(word, add_special_tokens=False).ids
-
-    def direct(word: str) -> list[int]:
-        return [t.id for t in model.tokenize(word)]
 
-    cut = all(full(x + p) == full(x) + full(p) for x in ("a", "zq") for p in [*map(chr, _PUNCTUATION), ".,!'", "'.", "%%%"])
-    plain = all(full(x) == direct(x) for x in ("a", "s", "the", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrq"))
-    folds = all(full(x) == full(x.lower()) for x in ("ABCDEFGHIJKLM NOPQRSTUVWXYZ", "Ab'S", "A.B"))
-    special = [t.content.encode() for t in tokenizer.get_added_tokens_decoder().values()]
+class TextReader:
+    """Ids of whole texts from a tokenizer, by way of their distinct words.
 
-    def make() -> WordCache:
-        def of(word: bytes) -> bytes:
-            if any(t in word for t in special):
-                return np.array(full(word.decode()), kind).tobytes()
-            if cut and word[-1] in _PUNCTUATION:
-                stem = word.rstrip(_PUNCTUATION)
-                if stem and stem[-1:].isalpha():
-                    return cache[stem] + cache[word[len(stem) :]]
-            ids = direct(word.decode()) if plain and word.isalpha() and word.islower() else full(word.decode())
-            return np.array(ids, kind).tobytes()
-
-        cache = WordCache(of)
-        cache.kind, cache.folds, cache.special = kind, folds, [t.lower() for t in special]
-        return cache
+    The tokenizer collapses white space and never joins across it, so a text's ids are those of its white-space
+    delimited words. Where it also cuts between a letter and ASCII punctuation that ends a word, stem and ending are
+    looked up apart. Words of letters that its own first steps rewrite one by one go to its model as they rewrite them,
+    many at a time. All of this is tried here; any other word passes through the tokenizer as a whole.
+    """
 
-    return make
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer, models, pre_tokenizers
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        mark = self.tokenizer.model.end_of_word_suffix if isinstance(self.tokenizer.model, models.BPE) else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that end a word
+        self.closes[[i for t, i in vocabulary.items() if mark and t.endswith(mark)]] = True
+        # Letters below the combining marks: none of them changes with its neighbours.
+        found = {chr(c): self._rewritten(chr(c)) for c in range(0x250) if chr(c).isalpha()}
+        found = {c: r for c, r in found.items() if mark and r and [self._full(c)] == self._direct([r])}
+        some = "".join(found)
+        whole = all([self._full(x)] == self._direct(["".join(map(found.__getitem__, x))]) for x in ("the", some, some[::-1], some[::3] + some[1::3]) if found.keys() >= set(x))
+        self.letters = {ord(c): r for c, r in found.items()} if whole else {}
+        ends = ["a", "zq", *(c for c in found if c > "\x7f")]
+        ends = all(self._full(x + p) == self._full(x) + self._full(p) for x in ends[:2] for p in [*_PUNCTUATION, ".,!'", "'.", "%%%"]) and all(self._full(x + ".'") == self._full(x) + self._full(".'") for x in ends)
+        self.cuts_after = pa.array([chr(c) for c in self.letters] if ends else [], pa.string())
+        self.folds = all(self._full(x) == self._full(x.lower()) for x in ("ABCDEFGHIJKLM NOPQRSTUVWXYZ", "Ab'S", "A.B"))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _full(self, word: str) -> list[int]:
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def _rewritten(self, word: str) -> str:
+        normal = self.tokenizer.normalizer.normalize_str(word) if self.tokenizer.normalizer else word
+        pieces = self.tokenizer.pre_tokenizer.pre_tokenize_str(normal) if self.tokenizer.pre_tokenizer else [(normal, (0, len(normal)))]
+        return pieces[0][0] if len(pieces) == 1 and " " not in pieces[0][0] else ""
+
+    def _direct(self, rewritten: list[str]) -> list[list[int]]:
+        """Ids of words that the model takes as they are; none of them is empty or holds a space."""
+        ids = self.model.encode_batch_fast([" ".join(rewritten)], add_special_tokens=False)[0].ids
+        ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _atoms(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of words that are looked up as a whole."""
+        out: list = [()] * len(words)
+        plain = pc.match_substring_regex(words, f"^[{''.join(map(chr, self.letters))}]+$").to_numpy(zero_copy_only=False) if self.letters else np.zeros(len(words), bool)
+        for at in np.flatnonzero(~plain).tolist():
+            out[at] = self._full(words[at].as_py())
+        letters = np.flatnonzero(plain)
+        for at in range(0, len(letters), 4096):
+            part = letters[at : at + 4096]
+            rewritten = " ".join(words.take(pa.array(part)).to_pylist()).translate(self.letters).split(" ")
+            for i, ids in zip(part.tolist(), self._direct(rewritten), strict=True):
+                out[i] = ids
+        ends = np.cumsum(np.fromiter(map(len, out), np.int64, len(out)))
+        return np.fromiter(chain.from_iterable(out), self.kind, int(ends[-1]) if len(ends) else 0), ends
+
+    def _read(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of words; endings of punctuation are cut off first."""
+        stems = pc.utf8_rtrim(words, _PUNCTUATION)
+        apart = pc.and_(pc.not_equal(stems, words), pc.is_in(pc.utf8_slice_codeunits(stems, -1), self.cuts_after))
+        for token in self.special:
+            apart = pc.and_not(apart, pc.match_substring(words, token, ignore_case=True))
+        stems = pc.if_else(apart, stems, words)
+        tails = pc.if_else(apart, pc.replace_substring_regex(words, f"(?s)^.*[^{re.escape(_PUNCTUATION)}]", ""), "")
+        atoms = pa.concat_arrays([stems, tails]).dictionary_encode()
+        which = atoms.indices.to_numpy(zero_copy_only=False).reshape(2, -1).T.reshape(-1)
+        ids, size = runs_of(*self._atoms(atoms.dictionary), which)
+        return ids, np.cumsum(size.reshape(-1, 2).sum(1))
+
+    def _numbers(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, ends, number of each of these distinct words among their runs); words new to this worker are read first."""
+        memory = worker_cache(self)
+        if not memory:
+            memory.update(known=pa.array([], pa.string()), ids=np.empty(0, self.kind), ends=np.zeros(0, np.int64))
+        at = pc.index_in(words, memory["known"])
+        new = words.filter(at.is_null())
+        if len(new):
+            if len(memory["known"]) + len(new) > WORDS:
+                new, memory["known"], memory["ids"], memory["ends"] = words, words[:0], memory["ids"][:0], memory["ends"][:0]
+            ids, ends = self._read(new)
+            memory["known"] = pa.concat_arrays([memory["known"], new])
+            memory["ends"] = np.concatenate([memory["ends"], ends + len(memory["ids"])])
+            memory["ids"] = np.concatenate([memory["ids"], ids])
+            at = pc.index_in(words, memory["known"])
+        return memory["ids"], memory["ends"], at.to_numpy(zero_copy_only=False)
+
+    def read(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each), `end` closing each of them; a null text is read as empty."""
+        texts = texts.fill_null("")
+        low = pc.ascii_lower(texts) if self.folds else texts
+        for token in self.special:  # special tokens are read as written
+            low = pc.if_else(pc.match_substring(low, token.lower()), texts, low)
+        lists = pc.ascii_split_whitespace(low)
+        words = lists.flatten().dictionary_encode()
+        ids, ends, number = self._numbers(words.dictionary)
+        ids, size = runs_of(ids, ends, number[words.indices.to_numpy()])
+        so_far = np.concatenate([[0], np.cumsum(size)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        n = np.diff(so_far)
+        return (ids, n) if end is None else (np.insert(ids, so_far[1:], end), n + 1)
+
+
+def reader(path: str) -> TextReader:
+    """This worker's reader."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = TextReader(path)
+    return _TOKENIZERS[path]
 
 
-def text_ids(text: bytes, path: str, end: int | None = END_ID) -> tuple[bytes, str]:
-    """(ids as bytes, their numpy type) of a whole text, with the end id appended."""
-    cache = _word_ids(path)
-    folded = text.lower() if cache.folds else text
-    words = (text if any(t in folded for t in cache.special) else folded).split()  # special tokens are read as written
-    tail = b"" if end is None else np.array([end], cache.kind).tobytes()
-    return b"".join(map(cache.__getitem__, words)) + tail, cache.kind
+def text_ids(text: str, path: str, end: int | None = END_ID) -> list[int]:
+    """Ids of one whole text, with the end id appended."""
+    return reader(path).read(pa.array([text]), end)[0].tolist()
 
 
 def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", end: int | None = END_ID) -> DataFrame:
-    """(doc_id, ids, width): the ids of every text as binary; a null text is read as empty."""
+    """(doc_id, ids, width): the ids of every text as binary, `width` bytes each; a null text is read as empty.
+
+    One row per row of `docs`, repeated ones too; only these two columns of it are read, so other names don't matter. An
+    empty table gives an empty one.
+    """
 
     @F.arrow_udf("struct<ids:binary,width:int>")
     def of(texts: pa.Array) -> pa.Array:
-        found = [text_ids(x.as_py() or b"", path, end) for x in texts]
-        return pa.StructArray.from_arrays([pa.array([b for b, _ in found], pa.binary()), pa.array([int(k[-1]) for _, k in found], pa.int32())], ["ids", "width"])
-
-    made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text).cast("binary")).alias("t"))
+        found = reader(path)
+        size = np.cumsum(pc.binary_length(texts.fill_null("")).to_numpy(zero_copy_only=False).astype(np.int64)) // PART
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), len(texts)]
+        parts = [pa.array([], pa.binary())]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            ids, n = found.read(texts.slice(a, b - a), end)
+            offsets = np.concatenate([[0], np.cumsum(n) * ids.itemsize]).astype(np.int32)
+            parts.append(pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(ids)]))
+        made = pa.concat_arrays(parts)
+        return pa.StructArray.from_arrays([made, pa.array(np.full(len(made), int(found.kind[-1]), np.int32))], ["ids", "width"])
+
+    made = docs.select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("t"))
     return made.select("doc_id", "t.ids", "t.width")
 
 
+def flat_ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all rows of a batch, number of ids of each row) from columns ids and width."""
+    width = batch.column("width").to_numpy(zero_copy_only=False)
+    coded = batch.column("ids").to_pylist()
+    sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // np.maximum(width, 1)
+    if len(np.unique(width)) <= 1:
+        return np.frombuffer(b"".join(coded), f"<u{width[0] if len(width) else 4}"), sizes
+    return np.concatenate([np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(coded, width, strict=True)]), sizes
+
+
 def count_ids(encoded: DataFrame) -> DataFrame:
-    """(id, n) over all documents, summed per batch before the shuffle."""
+    """(id, n) over all documents, summed per task before the shuffle."""
 
     def count(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column("ids"), batch.column("width"), strict=True):
-                n = np.bincount(np.frombuffer(ids.as_py(), f"<u{width.as_py()}"))
-                if len(n) > len(total):
-                    n[: len(total)] += total
-                    total = n
-                else:
-                    total[: len(n)] += n
+            n = np.bincount(flat_ids(batch)[0], minlength=len(total))
+            n[: len(total)] += total
+            total = n
         found = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
@@ -219,7 +307,7 @@ def write_ids(encoded: DataFrame, path: str, block: int = BLOCK, every: int = EV
     spark.createDataFrame(list(zip(ids.tolist(), lengths.tolist(), strict=True)), "id long, length long").coalesce(1).write.parquet(f"{path}/code")
     sent = spark.sparkContext.broadcast((ids, lengths))  # a row per vocabulary entry
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Code(*sent.value)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
         docs: list = []
@@ -238,10 +326,12 @@ def write_ids(encoded: DataFrame, path: str, block: int = BLOCK, every: int = EV
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
-            for doc, ids, width in zip(batch.column("doc_id"), batch.column("ids"), batch.column("width"), strict=True):
-                docs.append(doc.as_py())
-                held.append(np.frombuffer(ids.as_py(), f"<u{width.as_py()}"))
-                size += len(held[-1])
+            flat, sizes = flat_ids(batch)
+            ends = np.cumsum(sizes)
+            for doc, a, b in zip(batch.column("doc_id").to_pylist(), (ends - sizes).tolist(), ends.tolist(), strict=True):
+                docs.append(doc)
+                held.append(flat[a:b])
+                size += b - a
                 if size >= block:
                     yield flush()
         if docs:
@@ -249,7 +339,7 @@ def write_ids(encoded: DataFrame, path: str, block: int = BLOCK, every: int = EV
 
     keyed = encoded.select("doc_id", "ids", "width", F.xxhash64("ids").alias("h"))
     ordered = keyed.repartitionByRange(shuffle_partitions(spark), "doc_id", "h").sortWithinPartitions("doc_id", "h")
-    ordered.drop("h").mapInArrow(pack, _BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
+    ordered.drop("h").mapInArrow(blocks, _BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -15,17 +15,3 @@ def worker_cache(owner: object, make: Callable[[], dict] = dict) -> dict:
         _HELD[1].clear()
         _HELD[:] = [owner, make()]
     return _HELD[1]
-
-
-class WordCache(dict):
-    """`cache[word]` is `of(word)`, computed once while the word stays in memory; at `limit` words all are dropped."""
-
-    def __init__(self, of: Callable, limit: int = LIMIT):
-        super().__init__()
-        self.of, self.limit = of, limit
-
-    def __missing__(self, word):
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = self.of(word)
-        return value
