@@ -1,16 +1,18 @@
 """Toxicity by a support vector machine over a subsequence string kernel with Nystrom landmarks.
 
-The kernel compares words by their letter subsequences of length 3: one that spans n letters weighs DECAY ** n, so a
-gap or an inserted character costs weight but loses no match. Landmarks are words of the labelled sample; the Nystrom
-map turns a word into its kernel values against them, whitened, and a linear squared-hinge machine separates words
-seen in toxic documents only from words of clean ones. As every kernel value is an inner product over the 28 ** 3
-letter triples, landmarks, whitening and weights fold into one table of triple weights, and a word's margin is a sum
-over its own subsequences. A document's margin is that of its worst word; a logistic curve fitted on the labelled
-sample turns it into a score.
-
-Fit: at most MAX_ROWS labelled documents (in order of a hash of doc_id), none of them held out. Suspect letter
-4-grams (frequent in toxic, all but absent from clean documents) pick the positive words; clean words that score
-highest after the first fit are added as negatives for the second.
+The kernel compares strings by their letter subsequences of length 3: one that spans n characters weighs DECAY ** n, so a
+gap, an inserted character or a space costs weight but loses no match. A string's vector over the 28 ** 3 letter triples
+is scaled by the square root of the sum of its squared weights. Texts are cut into sentences, and these into units (what
+stands between white space, long ones cut again); a window is one of SIZES units in a row within a sentence.
+
+The machine is trained on the sentences of labelled documents. Only the document's label is known, so a toxic document is
+a bag of sentences of which one at least is toxic (multiple-instance learning): the first scores are the log odds of
+triples between sentences of toxic and of clean documents; then, ROUNDS times, the highest window of every toxic document
+stands for it, the highest windows of clean documents and others drawn by hash stand against them, and a squared-hinge
+machine on their Nystrom features is fitted anew. As every kernel value is an inner product over triples, landmarks,
+whitening and weights fold into one table of triple weights. Running sums of that table along a text give the margin of
+every window in it at once; a document's margin is its highest, and a logistic curve fitted on the labelled sample turns
+margin and length into a score.
 """
 
 from __future__ import annotations
@@ -24,23 +26,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import held_out, spool, table
-from gleanspark.llm.wordcache import LIMIT, worker_cache
+from gleanspark.llm.common import free_prefix, held_out, quoted, spool, table
 
 MAX_ROWS = 20_000
 THRESHOLD = 0.3
 DECAY, SPAN = 0.6, 8
 SYMBOLS = 28  # 0: not a letter (only a gap), 1-26: a-z, 27: any other letter
-DOCS_AT_ONCE = 400  # texts whose new words are read together
-WINDOW, STEP = 48, 36  # longer words are read in overlapping windows
-GRAM, LEAST_DOCS, ODDS = 4, 3, 20.0
-POSITIVES, NEGATIVES, HARD, LANDMARKS = 1500, 6000, 600, 64
+UNIT = 24  # characters of a unit at most
+SIZES = (1, 2, 5)  # units of a window
+PART = 1 << 16  # characters that are read together
+ROUNDS, POSITIVES, NEGATIVES, LANDMARKS = 3, 4000, 12_000, 256
+SMOOTH = 20.0  # added to the weight of each triple in the first log odds
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-_ENDS = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
+_SPACE, _STOPS = (9, 10, 11, 12, 13, 32), (10, 13, 33, 46, 63)
 
 
 def _symbol_table() -> np.ndarray:
-    found = np.zeros(0x250, np.int64)
+    found = np.zeros(0x250, np.int32)
     for c in range(0x250):
         s = LOOK_ALIKE.get(chr(c), chr(c))
         found[c] = ord(s) - 96 if "a" <= s <= "z" else 27 if s.isalpha() else 0
@@ -48,104 +50,138 @@ def _symbol_table() -> np.ndarray:
 
 
 _SYMBOL = _symbol_table()
-_OFFSETS = [(j, k) for j, k in combinations(range(1, SPAN), 2)]
-
-
-def word_forms(text: str) -> set[str]:
-    """The words of a text, without punctuation at the ends; runs of four or more single characters also as one word."""
-    words = text.lower().split()
-    forms = {w.strip(_ENDS) for w in set(words)}
-    if len(words) >= 4:
-        single = np.fromiter(map(len, words), np.int64, len(words)) == 1
-        edges = np.flatnonzero(np.diff(np.concatenate([[0], single.view(np.int8), [0]])))
-        for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-            if b - a >= 4:
-                forms.add("".join(words[a:b]))
-    forms.discard("")
-    pieces = [w for w in forms if len(w) > WINDOW]
-    for w in pieces:
-        forms.discard(w)
-        forms.update(w[i : i + WINDOW] for i in range(0, len(w) - (WINDOW - STEP), STEP))
-    return forms
-
-
-def triples(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(n, m) triple numbers and weights of words of one length; weight 0 where a gap symbol takes part."""
-    size = len(words[0])
-    points = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size)
-    s = np.where(points < len(_SYMBOL), _SYMBOL[np.minimum(points, len(_SYMBOL) - 1)], 27)
-    ids, weights = [], []
-    for j, k in _OFFSETS:
-        if k >= size:
-            continue
-        a, b, c = s[:, : size - k], s[:, j : size - k + j], s[:, k:]
-        ids.append((a * SYMBOLS + b) * SYMBOLS + c)
-        weights.append(np.where((a > 0) & (b > 0) & (c > 0), DECAY ** (k + 1), 0.0))
-    if not ids:
-        return np.zeros((len(words), 1), np.int64), np.zeros((len(words), 1))
-    return np.concatenate(ids, 1), np.concatenate(weights, 1)
-
-
-def norms(ids: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Length of each row's vector over triples, equal triples summed first."""
-    order = np.argsort(ids, 1, kind="stable")
-    i, w = np.take_along_axis(ids, order, 1), np.take_along_axis(weights, order, 1)
-    total = np.cumsum(w, 1)
-    last = np.ones(i.shape, bool)
-    last[:, :-1] = i[:, 1:] != i[:, :-1]
-    row, col = np.nonzero(last)
-    value = total[row, col]
-    value[1:] -= np.where(row[1:] == row[:-1], value[:-1], 0.0)
-    return np.sqrt(np.bincount(row, value**2, len(i)))
-
-
-def by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str]]]:
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    for size in np.unique(sizes).tolist():
-        at = np.flatnonzero(sizes == size)
-        for i in range(0, len(at), 4096):
-            part = at[i : i + 4096]
-            yield part, [words[x] for x in part]
-
-
-def features(words: list[str]) -> np.ndarray:
-    """(n, 28 ** 3) unit vectors over triples; meant for landmarks and training words only."""
-    out = np.zeros((len(words), SYMBOLS**3), np.float32)
-    for at, part in by_length(words):
-        ids, weights = triples(part)
-        np.add.at(out, (at[:, None], ids), weights)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+def symbols(points: np.ndarray) -> np.ndarray:
+    return np.where(points < len(_SYMBOL), _SYMBOL[np.minimum(points, len(_SYMBOL) - 1)], np.int32(27))
+
+
+def spans(s: np.ndarray) -> Iterator[tuple[int, Iterator[np.ndarray]]]:
+    """(k, numbers of the triples that end k characters after their start, start by start, for each middle between)."""
+    pairs = {j: (s[: max(len(s) - j, 0)] * SYMBOLS + s[j:]) * SYMBOLS for j in range(1, SPAN - 1)}
+    for k in range(2, min(SPAN, len(s))):
+        yield k, (pairs[j][: len(s) - k] + s[k:] for j in range(1, k))
+
+
+_ANY = np.arange(SYMBOLS**3)  # numbers of triples; one that has a gap as a letter is none
+_WHOLE = ((_ANY % SYMBOLS > 0) & (_ANY // SYMBOLS % SYMBOLS > 0) & (_ANY // SYMBOLS**2 > 0)).astype(np.float32)
+
+
+class Text:
+    """Several texts end to end, as symbols, with their units; `windows` are (first, last) characters and their text's number."""
+
+    def __init__(self, texts: list[str]):
+        lowered = [t.lower() for t in texts]
+        self.text = "\n".join(lowered) + "\n"
+        points = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.symbols = symbols(points)
+        blank = np.isin(points, _SPACE)
+        at = np.arange(len(points))
+        begins = ~blank & np.concatenate([[True], blank[:-1]])
+        run = np.maximum.accumulate(np.where(begins, at, 0))
+        begins |= ~blank & ((at - run) % UNIT == 0)
+        self.starts = np.flatnonzero(begins)
+        ends = ~blank & np.concatenate([blank[1:] | begins[1:], [True]])
+        self.ends = np.flatnonzero(ends) + 1
+        sizes = np.fromiter(map(len, lowered), np.int64, len(lowered)) + 1
+        self.owner = np.searchsorted(np.cumsum(sizes), self.starts, "right")
+        stop = np.concatenate([[0], np.cumsum(np.isin(points, _STOPS))])  # a window may end with a stop, but not run over one
+        self.sentence = stop[self.starts]
+        self.last_stop = stop[np.maximum(self.ends - 1, 0)]
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        first, last, owner = [], [], []
+        for m in SIZES:
+            n = len(self.starts) - m + 1
+            if n <= 0:
+                break
+            same = (self.sentence[:n] == self.last_stop[m - 1 :]) & (self.owner[:n] == self.owner[m - 1 :]) if m > 1 else np.ones(n, bool)
+            first.append(self.starts[:n][same])
+            last.append(self.ends[m - 1 :][same])
+            owner.append(self.owner[:n][same])
+        return tuple(np.concatenate(a) if a else np.zeros(0, np.int64) for a in (first, last, owner))
+
+    def margins(self, weights: np.ndarray, bias: float, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Margin of each window under a table of triple weights; that of a window without triples is -1."""
+        raw, energy = np.zeros(len(first)), np.zeros(len(first))
+        letter = self.symbols > 0
+        so_far = np.cumsum(letter)
+        for k, ids in spans(self.symbols):
+            w, n = DECAY ** (k + 1), len(self.symbols) - k
+            begin, end = np.minimum(first, n), np.minimum(np.maximum(last - k, first), n)
+            weight = sum(weights.take(i) for i in ids)
+            number = np.where(letter[:n] & letter[k:], so_far[k - 1 : -1] - so_far[:n], 0)  # letters between the outer two
+            for values, total, scale in ((weight, raw, w), (number, energy, w * w)):
+                sums = np.zeros(n + 1)
+                np.cumsum(values, out=sums[1:])
+                total += scale * (sums.take(end) - sums.take(begin))
+        return np.where(energy > 1e-12, raw / np.sqrt(np.maximum(energy, 1e-12)) + bias, -1.0)
+
+
+def features(strings: list[str]) -> np.ndarray:
+    """(n, 28 ** 3) scaled vectors over triples; meant for landmarks and training windows only."""
+    out = np.zeros((len(strings), SYMBOLS**3), np.float32)
+    for row, x in zip(out, strings, strict=True):
+        energy = 0.0
+        for k, ids in spans(symbols(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32))):
+            ids = np.concatenate(list(ids))
+            ids = ids[_WHOLE[ids] > 0]
+            np.add.at(row, ids, DECAY ** (k + 1))
+            energy += len(ids) * DECAY ** (2 * k + 2)
+        row /= np.sqrt(max(energy, 1e-12))
+    return out
+
+
+def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about PART characters; a longer text is a range of its own."""
+    at = size = 0
+    for i, t in enumerate(texts):
+        if i > at and size + len(t) > PART:
+            yield at, i
+            at, size = i, 0
+        size += len(t)
+    if texts:
+        yield at, len(texts)
 
 
 @dataclass(eq=False)
 class Model:
-    """Triple weights, the bias of a word's margin, and the logistic curve over a document's margin."""
+    """Triple weights, the bias of a window's margin, and the logistic curve over a document's margin and the log of its windows."""
 
     table: np.ndarray
     bias: float
     slope: float = 1.0
+    longer: float = 0.0
     shift: float = 0.0
 
-    def margins(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), self.bias)
-        for at, part in by_length(words):
-            ids, weights = triples(part)
-            out[at] += (self.table[ids] * weights).sum(1) / np.maximum(norms(ids, weights), 1e-12)
-        return out
-
-    def of_texts(self, texts: list[str | None]) -> list[float]:
-        """Margin of each text's worst word; -1 for a text without words. Words new to this worker are read together."""
-        out, cache = [], worker_cache(self)
-        for at in range(0, len(texts), DOCS_AT_ONCE):
-            forms = [word_forms(t or "") for t in texts[at : at + DOCS_AT_ONCE]]
-            new = set().union(*forms).difference(cache)
-            if len(cache) + len(new) > LIMIT:
-                cache.clear()
-                new = set().union(*forms)
-            new = list(new)
-            cache.update(zip(new, self.margins(new).tolist(), strict=True))
-            out += [max(map(cache.__getitem__, f), default=-1.0) for f in forms]
-        return out
+    def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(margin of each text's highest window, number of its windows); -1 for a text without windows."""
+        texts = [t or "" for t in texts]
+        best, count = np.full(len(texts), -1.0), np.zeros(len(texts), np.int64)
+        for a, b in parts(texts):
+            t = Text(texts[a:b])
+            first, last, owner = t.windows()
+            if len(first):
+                high = np.full(b - a, -np.inf)
+                np.maximum.at(high, owner, t.margins(self.table, self.bias, first, last))
+                best[a:b] = np.where(np.isinf(high), -1.0, high)
+                count[a:b] = np.bincount(owner, minlength=b - a)
+        return best, count
+
+    def highest(self, texts: list[str], seed: int) -> list[tuple[str, str]]:
+        """(highest window, a window drawn by hash) of each text that has any."""
+        found = []
+        for a, b in parts(texts):
+            t = Text(texts[a:b])
+            first, last, owner = t.windows()
+            order = np.lexsort((first, -t.margins(self.table, self.bias, first, last), owner))
+            own = owner[order]
+            heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
+            ends = [*heads[1:], len(own)] if len(own) else []
+            for h, e in zip(heads, ends, strict=True):
+                other = order[h + (int(first[order[h]]) * 2654435761 + seed) % (e - h)]
+                found.append(tuple(t.text[first[w] : last[w]] for w in (order[h], other)))
+        return found
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
@@ -161,40 +197,32 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> n
     return w
 
 
-def _variants(words: list[str]) -> list[str]:
-    """Each word with a foreign character put in, at a place and with a letter that follow from the word itself."""
-    out = []
-    for n, w in enumerate(words):
-        at = 1 + n % max(len(w) - 1, 1)
-        out.append(w[:at] + "-x*qz."[n % 6] + w[at:])
-    return out
-
-
-def fit_words(positive: list[str], negative: list[str]) -> Model:
-    landmarks = positive[: LANDMARKS // 2] + negative[: LANDMARKS // 2]
-    f = features(landmarks).astype(np.float64)
+def fit_windows(positive: list[str], negative: list[str]) -> Model:
+    """The machine between two lists of windows, each class with half of the weight."""
+    half = LANDMARKS // 2
+    f = features(list(dict.fromkeys(positive))[:half] + list(dict.fromkeys(negative))[:half]).astype(np.float64)
     values, vectors = np.linalg.eigh(f @ f.T)
     keep = values > 1e-6 * values.max()
-    whiten = (vectors[:, keep] / np.sqrt(values[keep])).T @ f  # Nystrom map: unit vector -> whitened kernel values
-    positive = positive + _variants(positive)
-    words, y = positive + negative, np.repeat([1.0, -1.0], [len(positive), len(negative)])
-    x = np.vstack([features(words[i : i + 1000]) @ whiten.T for i in range(0, len(words), 1000)])
+    whiten = (vectors[:, keep] / np.sqrt(values[keep])).T @ f  # Nystrom map: scaled vector -> whitened kernel values
+    strings, y = positive + negative, np.repeat([1.0, -1.0], [len(positive), len(negative)])
+    narrow = whiten.T.astype(np.float32)
+    x = np.vstack([features(strings[i : i + 1000]) @ narrow for i in range(0, len(strings), 1000)]).astype(np.float64)
     balance = np.where(y > 0, 0.5 * len(y) / len(positive), 0.5 * len(y) / len(negative)) / 100
     w = _svm(np.hstack([x, np.ones((len(x), 1))]), y, balance)
-    return Model(w[:-1] @ whiten, float(w[-1]))
+    return Model((w[:-1] @ whiten).astype(np.float32), float(w[-1]))
 
 
-def _logistic(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    x = np.stack([margin, np.ones_like(margin)], 1)
-    w = np.zeros(2)
+def _logistic(x: np.ndarray, label: np.ndarray) -> list[float]:
+    """Weights of a logistic curve, the last one of the constant 1 in x."""
+    ridge = np.append(np.full(x.shape[1] - 1, 1e-2), 1e-4)
+    w = np.zeros(x.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-2, 1e-4])
-        step = np.linalg.solve(h, x.T @ (p - label) + np.array([1e-2, 1e-4]) * w)
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (p - label) + ridge * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
-    return max(float(w[0]), 0.0), float(w[1])
+    return w.tolist()
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
@@ -204,83 +232,103 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS) -> DataFram
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS) -> Model:
-    """Learn from labelled documents outside the held-out fold. Without suspects in the sample the score is its share of toxic ones."""
-    labelled = spool(sample(docs, labels, rows), "toxicity-sample")
-    counts = labelled.groupBy("toxic").count().collect()
-    nt, nc = (sum(r["count"] for r in counts if (r["toxic"] > 0) == t) for t in (True, False))
+def _first_odds(labelled: DataFrame) -> np.ndarray:
+    """Log odds of each triple between sentences of toxic and of clean documents."""
 
-    def per_doc(items):
-        def run(batches):
-            for batch in batches:
-                toxic, clean = {}, {}
-                for text, label in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                    seen = toxic if label > 0 else clean
-                    for x in items(text):
-                        seen[x] = seen.get(x, 0) + 1
-                names = list({**toxic, **clean})
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic.get(x, 0) for x in names], pa.int64()), pa.array([clean.get(x, 0) for x in names], pa.int64())], ["item", "toxic", "clean"])
-
-        made = labelled.select("text", "toxic").mapInArrow(run, "item string, toxic long, clean long")
-        return made.groupBy("item").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-    grams = per_doc(lambda text: {w[i : i + GRAM] for w in word_forms(text) for i in range(len(w) - GRAM + 1)})
-    odds = ((F.col("toxic") + 0.5) / (nt + 1)) / ((F.col("clean") + 0.5) / (nc + 1))
-    suspect = [r.item for r in grams.where((F.col("toxic") >= LEAST_DOCS) & (odds >= ODDS)).orderBy(F.desc("toxic"), "item").limit(POSITIVES).collect()]
-    words = spool(per_doc(word_forms), "toxicity-words")
-    hits = F.lit(False)
-    if suspect:
-        has = set(suspect)
-        marked = F.arrow_udf(lambda a: pa.array([any(w[i : i + GRAM] in has for i in range(len(w) - GRAM + 1)) for w in a.to_pylist()]), "boolean")
-        hits = marked("item")
-    positive = [r.item for r in words.where("toxic > 0 AND clean = 0").where(hits).orderBy(F.desc("toxic"), "item").limit(POSITIVES).collect()]
-    common = words.where("clean > 0").orderBy(F.desc("clean"), "item").limit(NEGATIVES // 3).collect()
-    others = words.where("clean > 0").orderBy(F.xxhash64("item"), "item").limit(NEGATIVES).collect()
-    negative = list(dict.fromkeys(r.item for pair in zip(common, others, strict=False) for r in pair)) + [r.item for r in others[len(common) :]]
-    negative = list(dict.fromkeys(negative))
-    if not positive or not negative:
-        share = (nt + 0.5) / (nt + nc + 1.0)
-        return Model(np.zeros(SYMBOLS**3), 0.0, 0.0, float(np.log(share / (1 - share))))
-    model = fit_words(positive, negative)
-    hard = [r.item for r in words.where("clean > 0").withColumn("margin", _margin_udf(model)("item")).orderBy(F.desc("margin"), "item").limit(HARD).collect()]
-    model = fit_words(positive, list(dict.fromkeys(negative + hard)))
-    got = with_margin(labelled, model).select("margin", "toxic").toPandas()  # at most `rows` pairs of numbers
-    model.slope, model.shift = _logistic(got["margin"].to_numpy(float), (got["toxic"] > 0).to_numpy(float))
-    return model
+    def count(batches):
+        total = np.zeros((2, SYMBOLS**3))
+        for batch in batches:
+            texts, toxic = batch.column("text").to_pylist(), np.array(batch.column("toxic").to_pylist()) > 0
+            for t in (0, 1):
+                mine = [x for x, y in zip(texts, toxic, strict=True) if y == t]
+                for a, b in parts(mine):
+                    for k, ids in spans(Text(mine[a:b]).symbols):
+                        total[t] += sum(DECAY ** (k + 1) * np.bincount(i, minlength=SYMBOLS**3) for i in ids)
+        yield pa.RecordBatch.from_arrays([pa.array(_ANY), pa.array(total[1]), pa.array(total[0])], ["triple", "toxic", "clean"])
+
+    made = labelled.select("text", "toxic").mapInArrow(count, "triple long, toxic double, clean double")
+    sums = made.groupBy("triple").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toPandas()  # 28 ** 3 rows
+    toxic, clean = (np.zeros(SYMBOLS**3) for _ in range(2))
+    toxic[sums["triple"]], clean[sums["triple"]] = sums["toxic"], sums["clean"]
+    share = lambda x: (x + SMOOTH * DECAY**3) / (x.sum() + 1.0)
+    return (_WHOLE * np.log(share(toxic) / share(clean))).astype(np.float32)
 
 
-def _margin_udf(model: Model):
-    @F.arrow_udf("double")
-    def of(words: pa.Array) -> pa.Array:
-        return pa.array(model.margins(words.to_pylist()))
+def _windows(labelled: DataFrame, model: Model, seed: int) -> tuple[list[str], list[str]]:
+    """(highest windows of toxic documents, highest and drawn windows of clean ones), each at most a document's two."""
 
-    return of
+    def run(batches):
+        for batch in batches:
+            for toxic in (True, False):
+                mine = [x for x, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True) if (y > 0) == toxic]
+                for high, other in model.highest(mine, seed):
+                    yield pa.RecordBatch.from_arrays([pa.array([toxic]), pa.array([high]), pa.array([other])], ["toxic", "high", "other"])
+
+    found = labelled.select("text", "toxic").mapInArrow(run, "toxic boolean, high string, other string")
+    rows = found.select("toxic", "high", "other", F.xxhash64(F.lit(seed), "high", "other").alias("h")).toPandas().sort_values(["h", "high", "other"])  # at most MAX_ROWS
+    toxic, clean = rows[rows["toxic"]], rows[~rows["toxic"]]
+    half = NEGATIVES // 2
+    return toxic["high"].tolist()[:POSITIVES], [x for pair in zip(clean["high"].tolist()[:half], clean["other"].tolist()[:half], strict=True) for x in pair]
+
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS) -> Model:
+    """Learn from the sentences of at most `rows` labelled documents outside the held-out fold.
+
+    Documents without a label, labels without a document, and null ids or labels teach nothing; a null text is one
+    without sentences; a document labelled twice is toxic if one label says so, and repeated rows of it count as often as
+    given. Long texts are read whole. If toxic or clean documents are lacking, tables empty among others, the score is the
+    share of toxic ones. Other columns may have any name.
+    """
+    labelled = spool(sample(docs, labels, rows), "toxicity-sample").where("toxic IS NOT NULL")
+    counts = labelled.groupBy("toxic").count().collect()
+    nt, nc = (sum(r["count"] for r in counts if (r["toxic"] > 0) == t) for t in (True, False))
+    share = (nt + 0.5) / (nt + nc + 1.0)
+    flat = Model(np.zeros(SYMBOLS**3, np.float32), 0.0, 0.0, 0.0, float(np.log(share / (1 - share))))
+    if not nt or not nc:
+        return flat
+    model, kept = Model(_first_odds(labelled), 0.0), []
+    for n in range(ROUNDS):
+        positive, negative = _windows(labelled, model, n)
+        if not positive or not negative:
+            return flat
+        kept = list(dict.fromkeys(negative + kept))[:NEGATIVES]
+        model = fit_windows(positive, kept)
+    got = with_margin(labelled, model).select("margin.*", "toxic").toPandas()  # at most `rows` pairs of numbers
+    x = np.stack([got["margin"].to_numpy(float), np.log1p(got["windows"].to_numpy(float)), np.ones(len(got))], 1)
+    model.slope, model.longer, model.shift = _logistic(x, (got["toxic"] > 0).to_numpy(float))
+    return model
 
 
 def with_margin(docs: DataFrame, model: Model, text: str = "text", out: str = "margin") -> DataFrame:
-    """`docs` with the margin of each text's worst word."""
+    """`docs` with (margin, windows) of each text in `out`; a column of that name is replaced, all others stay whatever their names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("struct<margin:double,windows:long>")
     def of(texts: pa.Array) -> pa.Array:
-        model = sent.value  # one object per worker, so the cache lasts from task to task
-        return pa.array(model.of_texts(texts.to_pylist()), pa.float64())
+        best, count = sent.value.of_texts(texts.to_pylist())
+        return pa.StructArray.from_arrays([pa.array(best), pa.array(count)], ["margin", "windows"])
 
-    return docs.withColumn(out, of(F.col(text)))
+    return docs.withColumn(out, of(quoted(text)))
 
 
 def score_of(margin: str, model: Model) -> Column:
-    return 1 / (1 + F.exp(-F.greatest(F.least(F.col(margin) * model.slope + model.shift, F.lit(30.0)), F.lit(-30.0))))
+    line = F.col(f"{margin}.margin") * model.slope + F.log1p(f"{margin}.windows") * model.longer + model.shift
+    return 1 / (1 + F.exp(-F.greatest(F.least(line, F.lit(30.0)), F.lit(-30.0))))
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with `score` (0 to 1) and `predicted` (1 if score >= THRESHOLD); a null text counts as empty. Every row is kept."""
-    scored = with_margin(docs, model, text, "_margin").withColumn("score", score_of("_margin", model)).drop("_margin")
+    """`docs` with `score` (0 to 1) and `predicted` (1 if score >= THRESHOLD); columns of these names are replaced.
+
+    A null text counts as empty and has a score too; long texts are read whole. Every row is kept, repeated ones with the
+    same score, with its other columns of any name. An empty table gives an empty one.
+    """
+    margin = f"{free_prefix(docs)}margin"
+    scored = with_margin(docs, model, text, margin).withColumn("score", score_of(margin, model)).drop(margin)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score of every document."""
+    """Score of every document of `documents`; odd rows as in `fit` and `with_score`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     return with_score(docs, model).select("doc_id", held_out().alias("held_out"), "score", "predicted")

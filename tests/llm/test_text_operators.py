@@ -331,31 +331,50 @@ def test_langid_bears_odd_rows(odd, none):
     assert langid.with_language(none, names, profiles).count() == 0
 
 
+def _triples(text):
+    """Weights of all letter subsequences of length 3, and the square root of the sum of their squares, one by one."""
+    s = [toxicity._SYMBOL[ord(c)] for c in text]
+    out, energy = Counter(), 0.0
+    for i in range(len(s)):
+        for j in range(i + 1, len(s)):
+            for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
+                if s[i] and s[j] and s[k]:
+                    out[(s[i] * 28 + s[j]) * 28 + s[k]] += toxicity.DECAY ** (k - i + 1)
+                    energy += toxicity.DECAY ** (2 * (k - i + 1))
+    return out, energy**0.5
+
+
 def test_kernel_is_the_sum_over_common_subsequences():
-    def plain(word):
-        s = [toxicity._SYMBOL[ord(c)] for c in word]
-        out = Counter()
-        for i in range(len(s)):
-            for j in range(i + 1, len(s)):
-                for k in range(j + 1, min(len(s), i + toxicity.SPAN)):
-                    if s[i] and s[j] and s[k]:
-                        out[(s[i] * 28 + s[j]) * 28 + s[k]] += toxicity.DECAY ** (k - i + 1)
-        return out
-
-    for word in ("idiot", "i-d-iot", "aaaa", "ab", "überhaupt"):
-        vector, expected = toxicity.features([word])[0], plain(word)
-        norm = sum(v * v for v in expected.values()) ** 0.5 or 1.0
+    for word in ("idiot", "i-d-iot", "i d i", "aaaa", "ab", "überhaupt"):
+        vector, (expected, norm) = toxicity.features([word])[0], _triples(word)
         assert {int(i): pytest.approx(v, abs=1e-5) for i, v in zip(np.flatnonzero(vector), vector[vector > 0], strict=True)} == {k: v / norm for k, v in expected.items()}
-        ids, weights = toxicity.triples([word])
-        assert toxicity.norms(ids, weights)[0] == pytest.approx(norm if expected else 0.0)
+
+
+def test_margins_of_windows_are_those_of_each_alone():
+    weights = (toxicity._WHOLE * np.random.default_rng(3).standard_normal(28**3)).astype(np.float32)
+    texts = ["One two. Three four five six seven!", "", "x" * 60 + " end", "Über alles\nund i d i o t", "a"]
+    text = toxicity.Text(texts)
+    first, last, owner = text.windows()
+    found = sorted(zip(owner.tolist(), (text.text[a:b] for a, b in zip(first, last, strict=True)), strict=True))
+    units = {0: [["one", "two."], ["three", "four", "five", "six", "seven!"]], 2: [["x" * 24, "x" * 24, "x" * 12, "end"]], 3: [["über", "alles"], ["und", "i", "d", "i", "o", "t"]], 4: [["a"]]}
+    joined = lambda u: "".join(w + ("" if w == "x" * 24 else " ") for w in u).rstrip()
+    assert found == sorted((o, joined(s[i : i + m])) for o, ss in units.items() for s in ss for m in toxicity.SIZES for i in range(len(s) - m + 1))
+    margins = text.margins(weights, 0.25, first, last)
+    for a, b, got in zip(first, last, margins, strict=True):
+        vector, norm = _triples(text.text[a:b])
+        assert got == pytest.approx(sum(weights[k] * v for k, v in vector.items()) / norm + 0.25 if vector else -1.0, abs=1e-4)
+    best, count = toxicity.Model(weights, 0.25).of_texts(texts)
+    assert count.tolist() == [int((owner == i).sum()) for i in range(5)] and best[1] == best[4] == -1.0
+    assert all(best[i] == pytest.approx(margins[owner == i].max()) for i in (0, 2, 3))
 
 
 def test_gapped_and_spaced_insults_are_found(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    words = [w for r in docs.limit(60).collect() for w in toxicity.word_forms(r.text)]
-    model = toxicity.fit_words(["idiot", "moron", "worthless", "pathetic"], sorted(set(words))[::7])
-    worst = lambda t: model.of_texts([t])[0]
-    for text in ("you IDIOT!", "an i-d-i-o-t here", "an i d i o t here", "mor0n", "worthxless"):
+    text = toxicity.Text([r.text or "" for r in table(spark, sf_dir, "documents").limit(60).collect()])
+    first, last, _ = text.windows()
+    clean = sorted({text.text[a:b] for a, b in zip(first, last, strict=True)})[::37]
+    model = toxicity.fit_windows(["idiot", "moron", "worthless", "pathetic", "jump in a lake"] * 20, clean)
+    worst = lambda t: model.of_texts([t])[0][0]
+    for text in ("you IDIOT!", "an i-d-i-o-t here", "an i d i o t here", "mor0n", "worthxless", "go jump in a lake now"):
         assert worst(text) > 0.2, text
     assert worst("a perfectly fine sentence") < 0
     assert worst("") == -1.0
@@ -370,10 +389,18 @@ def test_toxicity_bears_odd_rows(spark, odd, none):
 
 
 def test_toxicity_learns_from_other_folds_only(spark, sf_dir):
-    got = toxicity.op9_toxicity(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").toPandas()
-    clean = got[got.toxic == 0]
-    assert (clean.predicted == 0).mean() > 0.95
     from gleanspark.llm.common import held_out
 
     used = toxicity.sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     assert used.where(held_out()).count() == 0
+
+
+def test_toxicity_of_held_out_documents(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    got = toxicity.op9_toxicity(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("held_out").toPandas()
+    toxic = got.toxic > 0
+    rank = got.score.rank()
+    auc = (rank[toxic].sum() - toxic.sum() * (toxic.sum() + 1) / 2) / (toxic.sum() * (~toxic).sum())
+    assert auc > 0.9
+    assert got.predicted[toxic].mean() > 0.75 and got.predicted[~toxic].mean() < 0.07
+    assert ((got.score >= 0.3) == (got.predicted == 1)).all()
