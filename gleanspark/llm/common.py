@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -25,25 +26,53 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where it is unset (tests, a laptop) a temporary one is set once for the session.
+    Where it is unset and the master is local (tests, a laptop) a temporary one is set once for the session. On a cluster
+    it must be set, as its machines share no folder otherwise.
     """
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="gleanspark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, removed with all it holds when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
+
+
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to a fresh table in the shared folder and read it back.
 
-    This cuts the lineage: later stages reread files that every executor sees, whichever executor is lost.
+    This cuts the lineage: later stages reread files that every executor sees, whichever executor is lost. The table is
+    removed when the application ends.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_prefix(df: DataFrame) -> str:
+    """A prefix of underscores that no column of `df` begins with, for columns that come and go within an operator."""
+    longest = max((len(c) - len(c.lstrip("_")) for c in df.columns), default=0)
+    return "_" * (longest + 1)
+
+
+def columns(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of `df`, whatever their names hold, without those named in `but` (in any case of letters)."""
+    left_out = {c.lower() for c in but}
+    return [quoted(c) for c in df.columns if c.lower() not in left_out]
+
+
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import shared_dir, shuffle_partitions, spool, table
+from gleanspark.llm.common import fresh_path, shuffle_partitions, spool, table
 from gleanspark.llm.wordcache import worker_cache
 
 TOKENIZER = "word_bpe_49k.json"
@@ -298,7 +298,8 @@ class Code:
 def write_ids(encoded: DataFrame, path: str, block: int = BLOCK, every: int = EVERY, max_bits: int = MAX_BITS) -> None:
     """Write (doc_id, ids, width) rows to a directory in the format above, in ascending order of doc_id.
 
-    Null ids come first; rows that repeat an id are ordered by a hash of their ids. No rows: tables without rows.
+    Null ids come first; rows that repeat an id are ordered by a hash of their ids. Documents of any length are stored
+    whole, those without ids too. No rows: tables without rows. Only the three columns named are read.
     """
     spark = encoded.sparkSession
     counts = count_ids(encoded).toPandas().sort_values("id")
@@ -343,9 +344,9 @@ def write_ids(encoded: DataFrame, path: str, block: int = BLOCK, every: int = EV
 
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every stored document, decoded from the files.
+    """(doc_id, start, n_tokens, ids_crc32) of every stored document, decoded from the files, repeated and null ids too.
 
-    `start` counts the ids of all documents before; the crc covers the ids as little-endian unsigned 32-bit integers.
+    A store without documents gives no rows. `start` counts the ids of all documents before; the crc covers the ids as little-endian unsigned 32-bit integers.
     """
     blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(f"{path}/blocks")
     code = spark.read.schema("id long, length long").parquet(f"{path}/code").toPandas()  # a row per vocabulary entry
@@ -370,10 +371,8 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op8_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode all documents, write their ids to the shared folder, and describe what the files hold."""
-    import uuid
-
-    path = f"{shared_dir(spark)}/token-store-{uuid.uuid4().hex}"
+    """Encode all documents, write their ids to the shared folder, and describe what the files hold; odd rows as in `encode`."""
+    path = fresh_path(spark, "token-store")
     write_ids(spool(encode(table(spark, sf_dir, "documents"), tokenizer_path()), "token-ids"), path)
     return read_ids(spark, path)
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import held_out, table
+from gleanspark.llm.common import free_prefix, held_out, quoted, table
 
 DIMENSIONS = 1024
 SYMBOLS = 40  # 0: between words, 1-26: a-z, 27-39: other letters by code point modulo 13
@@ -124,8 +124,9 @@ def with_language(docs: DataFrame, names: list[str], profiles: np.ndarray, text:
             langs.append(names[best]), scores.append(float(share)), cosines.append(float(cos[best]))
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(cosines, pa.float64())], ["lang", "score", "cosine"])
 
-    found = docs.withColumn("_l", of(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_l.lang"), "score": F.col("_l.score"), "cosine": F.col("_l.cosine")}).drop("_l")
+    made = f"{free_prefix(docs)}made"
+    found = docs.withColumn(made, of(quoted(text)))
+    return found.withColumns({"lang_pred": F.col(f"{made}.lang"), "score": F.col(f"{made}.score"), "cosine": F.col(f"{made}.cosine")}).drop(made)
 
 
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import spool, table
+from gleanspark.llm.common import quoted, spool, table
 
 WEIGHTS = (5, 2, 1)
 COPIES = 3
@@ -134,23 +134,26 @@ def plan_mix(sums: list[tuple[str, list, int]], weights: Sequence[float] = WEIGH
     return size, target, route(words, members, {s: round(t) for s, t in target.items()}, copies)
 
 
-def mix(docs: DataFrame, sources: Column, size: Column, doc_id: str = "doc_id", weights: Sequence[float] = WEIGHTS, copies: int = COPIES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(documents, sources). Documents, one row per row of `docs`: doc_id, size, pattern, sources, at (its place on the
+def mix(docs: DataFrame, sources: Column, size: Column, doc_id: str = "doc_id", weights: Sequence[float] = WEIGHTS, copies: int = COPIES, seed: int = SEED, tie: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(documents, sources). Documents, one row per row of `docs`: doc_id, size, tie, pattern, sources, at (its place on the
     pattern's line), whole (the line's length), routed (words the pattern gives), taken (words). Sources: source,
     source_size, target.
 
     `sources` is an array of source names per document (nulls allowed, an empty or null array belongs nowhere and is
     never taken). A negative or null size counts as 0. Each source's words come within a word of its target wherever
-    the flow can route them; a document gives at most `copies` times its size. Order is by a hash of seed, id and
-    size, then by id: reruns agree, and repeated rows are laid out one after the other.
+    the flow can route them; a document gives at most `copies` times its size. Order is by a hash of seed, id, size
+    and `tie` (a number that tells rows of one id apart, 0 if not given), then by these: reruns agree, and repeated rows
+    are laid out one after the other. Texts may be of any length, as only sizes are read, and so are no other columns than
+    those named. An empty table gives an empty one.
     """
     spark = docs.sparkSession
     names = F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>"))))
     sized = docs.select(
-        F.col(doc_id).alias("doc_id"),
+        quoted(doc_id).alias("doc_id"),
         F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).cast("long").alias("size"),
         names.alias("sources"),
-    ).withColumns({"pattern": F.to_json("sources"), "u": F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size")})
+        F.coalesce(tie if tie is not None else F.lit(0), F.lit(0)).cast("long").alias("tie"),
+    ).withColumns({"pattern": F.to_json("sources"), "u": F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "size", *([] if tie is None else ["tie"]))})
     sized = spool(sized.withColumn("bin", F.pmod("u", F.lit(BINS)).cast("int")), "sized")
     bins = sized.groupBy("pattern", "bin").agg(F.sum("size").alias("words"), F.first("sources").alias("sources"))
     bins = spool(bins, "bins")
@@ -164,28 +167,28 @@ def mix(docs: DataFrame, sources: Column, size: Column, doc_id: str = "doc_id",
         .join(spark.createDataFrame(plan, "pattern string, whole long, routed long"), "pattern")
         .select("pattern", "bin", "start", "whole", "routed")
     )
-    inside = Window.partitionBy("pattern", "bin").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("pattern", "bin").orderBy("u", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("in_bin", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["pattern", "bin"])
     placed = placed.withColumn("at", F.col("start") + F.col("in_bin"))
     cut = [F.greatest(F.least(F.col("routed") - F.col("at") - c * F.col("whole"), F.col("size")), F.lit(0)) for c in range(copies)]
     facts = spark.createDataFrame([(s, size_of[s], target[s]) for s in in_order(target)], "source string, source_size long, target double")
-    taken = placed.select("doc_id", "size", "pattern", "sources", "at", "whole", "routed", sum(cut[1:], cut[0]).cast("long").alias("taken"))
+    taken = placed.select("doc_id", "size", "tie", "pattern", "sources", "at", "whole", "routed", sum(cut[1:], cut[0]).cast("long").alias("taken"))
     return taken, facts
 
 
-def whole_copies(docs: DataFrame, sources: Column, size: Column, doc_id: str = "doc_id", weights: Sequence[float] = WEIGHTS, copies: int = COPIES, seed: int = SEED) -> DataFrame:
-    """(doc_id, size, copies) for mixes of whole documents: a copy is taken if its middle lies in what is routed.
+def whole_copies(docs: DataFrame, sources: Column, size: Column, doc_id: str = "doc_id", weights: Sequence[float] = WEIGHTS, copies: int = COPIES, seed: int = SEED, tie: Column | None = None) -> DataFrame:
+    """(doc_id, size, tie, copies) for mixes of whole documents: a copy is taken if its middle lies in what is routed.
 
-    A document without words is kept once where its place on the line is taken.
+    A document without words is kept once where its place on the line is taken. Odd rows as in `mix`.
     """
-    taken, _ = mix(docs, sources, size, doc_id, weights, copies, seed)
+    taken, _ = mix(docs, sources, size, doc_id, weights, copies, seed, tie)
     middle = lambda c: 2 * (F.col("at") + c * F.col("whole")) + F.col("size") < 2 * F.col("routed")
     times = sum((middle(c).cast("int") for c in range(1, copies)), middle(0).cast("int"))
-    return taken.select("doc_id", "size", F.when(F.col("size") == 0, middle(0).cast("int")).otherwise(times).alias("copies"))
+    return taken.select("doc_id", "size", "tie", F.when(F.col("size") == 0, middle(0).cast("int")).otherwise(times).alias("copies"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size, source size, target and words taken of every document, each belonging to its one source."""
+    """Size, source size, target and words taken of every document, each belonging to its one source; odd rows as in `mix`."""
     docs = table(spark, sf_dir, "documents")
     taken, facts = mix(docs, F.array("source"), n_words(F.col("text")))
     own = taken.withColumn("source", F.element_at("sources", 1))

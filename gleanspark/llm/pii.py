@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import table
+from gleanspark.llm.common import columns, free_prefix, quoted, table
 
 
 @dataclass(frozen=True)
@@ -103,12 +103,12 @@ def _confirm(k: Kind, m: str):
     return lambda x: _valid(k.name, x[m])
 
 
-def _span(k: Kind, m: str, g: str, s: str):
+def _span(k: Kind, t: str, m: str, g: str, s: str):
     """From (match, gap before it, total before that gap) to the span with its score."""
 
     def of(x: Column) -> Column:
         start = x[s] + x[g]
-        before = F.lower(F.substring(F.col("_t"), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
+        before = F.lower(F.substring(F.col(t), F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT))))
         score = F.lit(k.base) + F.when(before.rlike(k.near), NEAR).otherwise(0.0)
         if k.far:
             score = score - F.when(before.rlike(k.far), FAR).otherwise(0.0)
@@ -122,40 +122,45 @@ def _span(k: Kind, m: str, g: str, s: str):
 def with_spans(docs: DataFrame, text: str = "text", out: str = "pii_spans") -> DataFrame:
     """`docs` with a column `out`: array of (kind, start, end, score), by kind in the order of KINDS, then by start.
 
-    Positions count code points, ends are exclusive. A null or empty text has no spans. Every row is kept as it is.
+    Positions count code points, ends are exclusive. A null or empty text has no spans; a very long one is searched as a
+    whole. Every row is kept as it is, repeated ones too, with its columns of any name; one called `out` is replaced. An
+    empty table gives an empty one.
     """
-    df, mine = docs.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), ["_t"]
+    p = free_prefix(docs)
+    t, df, found = f"{p}t", docs.select(*columns(docs, out), F.coalesce(quoted(text), F.lit("")).alias(f"{p}t")), []
     for k in KINDS:
-        m, g, s = f"_m_{k.name}", f"_g_{k.name}", f"_s_{k.name}"
+        m, g, s = f"{p}m_{k.name}", f"{p}g_{k.name}", f"{p}s_{k.name}"
         empty = F.array().cast("array<string>")
-        df = df.withColumn(m, F.when(F.col("_t").rlike(k.hint), F.regexp_extract_all("_t", F.lit(k.pattern), F.lit(0))).otherwise(empty))
-        df = df.withColumn(g, F.when(F.size(m) > 0, F.transform(F.slice(F.split("_t", k.pattern, -1), 1, F.size(m)), F.length)).otherwise(F.array().cast("array<int>")))
+        df = df.withColumn(m, F.when(F.col(t).rlike(k.hint), F.regexp_extract_all(t, F.lit(k.pattern), F.lit(0))).otherwise(empty))
+        df = df.withColumn(g, F.when(F.size(m) > 0, F.transform(F.slice(F.split(t, k.pattern, -1), 1, F.size(m)), F.length)).otherwise(F.array().cast("array<int>")))
         df = df.withColumn(s, F.when(F.size(m) > 0, running_totals(F.zip_with(m, g, lambda a, b: F.length(a) + b))).otherwise(F.array().cast("array<int>")))
-        mine += [m, g, s]
-
         confirmed = F.filter(F.arrays_zip(m, g, s), _confirm(k, m))
-        spans = F.transform(confirmed, _span(k, m, g, s))
+        spans = F.transform(confirmed, _span(k, t, m, g, s))
         if k.name not in BASE_KINDS:
             spans = F.filter(spans, lambda x: x["score"] >= ADDED_SCORE)
-        df = df.withColumn(f"_p_{k.name}", F.when(F.size(m) > 0, spans).otherwise(F.array().cast(_SPAN)))
-        mine.append(f"_p_{k.name}")
-    return df.withColumn(out, F.concat(*[F.col(f"_p_{k.name}") for k in KINDS])).drop(*mine)
+        df = df.withColumn(f"{p}p_{k.name}", F.when(F.size(m) > 0, spans).otherwise(F.array().cast(_SPAN)))
+        found.append(F.col(f"{p}p_{k.name}"))
+    return df.select(*columns(docs, out), F.concat(*found).alias(out))
 
 
 def mask(docs: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataFrame:
-    """`docs` with every span of its text replaced by `<KIND>`; overlapping spans become one mark, that of the first."""
+    """`docs` with every span of its text replaced by `<KIND>`; overlapping spans become one mark, that of the first.
+
+    A text without spans, a null or empty one stays as it is, and so do all rows, repeated ones too, and all other columns,
+    whatever their names. An empty table gives an empty one.
+    """
 
     def step(a: Column, x: Column) -> Column:
         free = x["start"] >= a["at"]
-        gap = F.substring(F.col(text), a["at"] + 1, x["start"] - a["at"])
+        gap = F.substring(quoted(text), a["at"] + 1, x["start"] - a["at"])
         mark = F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(free, F.concat(a["out"], F.array(gap, mark))).otherwise(a["out"]).alias("out"))
 
-    ordered = F.array_sort(F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    ordered = F.array_sort(F.transform(quoted(spans), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    last = F.length(text)
-    rebuilt = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, last)))
-    return docs.withColumn(text, F.when(F.size(spans) > 0, rebuilt).otherwise(F.col(text)))
+    last = F.length(quoted(text))
+    rebuilt = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(quoted(text), a["at"] + 1, last)))
+    return docs.withColumn(text, F.when(F.size(quoted(spans)) > 0, rebuilt).otherwise(quoted(text)))
 
 
 def _joined(spans: Column, score: bool = False) -> Column:
@@ -164,7 +169,11 @@ def _joined(spans: Column, score: bool = False) -> Column:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: counts of the base kinds, digest of the base spans, all spans and their scores."""
+    """One row per row of `documents`: counts of the base kinds, digest of the base spans, all spans and their scores.
+
+    Null and empty texts have none (the digest is that of the empty text); whole texts are read, however long; repeated
+    rows are returned as often as given. No shuffle, so nothing depends on ties or groups. Only doc_id and text are read.
+    """
     found = with_spans(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     base = F.filter("pii_spans", lambda x: x["kind"].isin(*BASE_KINDS))
     count = lambda kind: F.size(F.filter("pii_spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

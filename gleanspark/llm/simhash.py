@@ -20,12 +20,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import spool, table
+from gleanspark.llm.common import columns, free_prefix, quoted, spool, table
 from gleanspark.llm.components import components
-from gleanspark.llm.near_copies import near_duplicate_groups
+from gleanspark.llm.near_copies import near_duplicate_groups, row_hash
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -60,7 +60,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", out: str = "fp") -> Da
         found = np.fromiter((fingerprint(x.as_py()) for x in texts), np.uint64, len(texts))
         return pa.array(found.view(np.int64))
 
-    return docs.withColumn(out, of(F.col(text).cast("binary")))
+    return docs.withColumn(out, of(quoted(text).cast("binary")))
 
 
 @lru_cache(1)
@@ -129,9 +129,10 @@ def fingerprint_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """(doc_id, fp, component_id): one row per input row; component_id is the smallest id reachable over links.
 
     Null texts and texts without words have fingerprint 0 and link like any other. A null id is never the smallest; a
-    group of null ids only has a null component_id. Repeated rows are returned as often as given.
+    group of null ids only has a null component_id. Repeated rows are returned as often as given; long texts are read
+    whole. Only the two columns named are read, so others may have any name. An empty table gives an empty one.
     """
-    marked = spool(with_fingerprint(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
+    marked = spool(with_fingerprint(docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))).select("doc_id", "fp"), "fingerprints")
     groups = spool(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprint-groups")
     linked = components(fingerprint_links(groups)).join(groups, F.col("v") == F.col("fp"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("reached"))
@@ -141,21 +142,26 @@ def fingerprint_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
 
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group of near-copies; of rows that repeat such an id, one.
+    """One row of `docs` for each group of near-copies (five-word shingles, similarity 0.8 or more): one of its smallest id.
 
-    Rows with a null id are compared like any other but always kept, as their id can't name them.
+    Where several rows of a group have that id, the one with the least hash of its text stays, once if it is repeated;
+    rows of other groups that have the same id are not touched. Null texts and texts without words are near-copies of each
+    other. Rows with a null id are compared like any other but always kept, as their id can't name them. Columns may have
+    any name. An empty table gives an empty one.
     """
+    p = free_prefix(docs)
+    key, one = f"{p}row", f"{p}id"
     groups = near_duplicate_groups(docs, doc_id, text)
-    kept = spool(groups.where("doc_id = component_id").select("doc_id").distinct(), "kept")
-    # The kept ids grow with the documents, so this join always shuffles; the window then finds its rows in place.
-    mine = docs.join(kept.hint("merge"), docs[doc_id] == kept["doc_id"], "left_semi")
-    first = F.row_number().over(Window.partitionBy(doc_id).orderBy(doc_id))
-    once = mine.withColumn("_nth", first).where("_nth = 1").select(*docs.columns)
-    return once.unionByName(docs.where(F.col(doc_id).isNull()))
+    kept = groups.where("doc_id = component_id").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    kept = spool(kept.select(F.col("first.doc_id").alias(one), F.col("first.row").alias(f"{p}of")).distinct(), "kept")
+    # Repeated rows are merged before they move. The kept ids grow with the documents, so the join always shuffles; both meet on the same keys.
+    once = docs.where(quoted(doc_id).isNotNull()).select(*columns(docs), row_hash(doc_id, text).alias(key)).dropDuplicates([doc_id, key])
+    mine = once.join(kept.hint("merge"), (once[doc_id] == kept[one]) & (once[key] == kept[f"{p}of"]), "left_semi").select(*columns(docs))
+    return mine.unionByName(docs.where(quoted(doc_id).isNull()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fingerprint and group of every document."""
+    """Fingerprint and group of every document; odd rows as in fingerprint_groups."""
     found = fingerprint_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import table
+from gleanspark.llm.common import free_prefix, quoted, table
 from gleanspark.llm.wordcache import worker_cache
 
 MODEL = "piece_bpe_32k.model"
@@ -273,7 +273,9 @@ def load(path: str) -> Pieces:
 def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """`docs` with ids (array of int), log_score, n_bytes (ids that are byte pieces) and round_trip (they decode to the text).
 
-    A null text is read as empty. Every row is kept as it is; columns of those four names are replaced.
+    A null text is read as empty, which has no ids; long texts are read whole. Every row is kept, repeated ones too, with
+    its columns of any name; those of the four names are replaced. Equal totals are decided as the module says. An empty
+    table gives an empty one.
     """
 
     @F.arrow_udf("struct<ids:array<int>,log_score:double,n_bytes:int,round_trip:boolean>")
@@ -294,23 +296,28 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
         kind = pa.struct([("ids", pa.list_(pa.int32())), ("log_score", pa.float64()), ("n_bytes", pa.int32()), ("round_trip", pa.bool_())])
         return pa.concat_arrays(done) if done else pa.array([], kind)
 
-    made = docs.withColumn("_sp", of(F.col(text)))
-    return made.withColumns({c: F.col(f"_sp.{c}") for c in MADE}).drop("_sp")
+    name = f"{free_prefix(docs)}made"
+    made = docs.withColumn(name, of(quoted(text)))
+    return made.withColumns({c: F.col(f"{name}.{c}") for c in MADE}).drop(name)
 
 
 def decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """`docs` with the text of an array of ids; null ids give an empty text."""
+    """`docs` with the text of an array of ids, in a column `out`, replaced if there is one.
+
+    Null or no ids give an empty text, however many ids are read whole. Every row is kept, repeated ones too, with its
+    other columns of any name. An empty table gives an empty one.
+    """
 
     @F.arrow_udf("string")
     def of(lists: pa.Array) -> pa.Array:
         pieces = load(path)
         return pa.array([pieces.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in lists], pa.string())
 
-    return docs.withColumn(out, of(F.col(ids)))
+    return docs.withColumn(out, of(quoted(ids)))
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every whole text, and whether decoding them gives the text back."""
+    """Ids of every whole text of `documents`, and whether decoding them gives the text back; odd rows as in `encode`."""
     made = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
     return made.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "n_bytes", "log_score", "round_trip")
 
