@@ -314,11 +314,46 @@ def test_languages_of_held_out_documents(spark, sf_dir):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_bundle_is_the_sum_of_bound_letters():
-    letter = np.random.default_rng(langid.SEED).choice(np.array([-1, 1], np.int8), (langid.SYMBOLS, langid.DIMENSIONS)).astype(int)
-    s = langid.symbols("Ab, c")
+def test_bundle_is_the_sum_of_bound_letters(monkeypatch):
+    text = "Ab, c жи 語\U00020000"
+    monkeypatch.setattr(langid, "AT_ONCE", 3)
+    vectors = langid.GramVectors()
+    monkeypatch.setattr(langid, "GRAMS", 8)  # so that vectors are dropped and bound anew
+    monkeypatch.setattr(langid, "gram_vectors", lambda: vectors)
+    s = [0, *map(ord, "ab"), 0, ord("c"), 0, *map(ord, "жи"), 0, ord("語"), 0x20000, 0]
+    assert langid.symbols(text).tolist() == s
+    letter = {p: langid.letter(p).astype(int) for p in s}
     plain = sum(np.roll(letter[a], 2) * np.roll(letter[b], 1) * letter[c] for a, b, c in zip(s[:-2], s[1:-1], s[2:], strict=True))
-    assert (langid.bundle("Ab, c") == plain).all()
+    assert (langid.bundle(text) == plain).all() and (langid.bundle(text) == plain).all()
+    alphabet = np.stack([langid.letter(p) for p in range(0x430, 0x450)]).astype(int)
+    assert (np.abs(alphabet @ alphabet.T - langid.DIMENSIONS * np.eye(32, dtype=int)) < 200).all()  # 32 letters, 32 vectors
+
+
+def test_languages_are_those_of_plain_bundles(spark, sf_dir):
+    docs = [r for r in table(spark, sf_dir, "documents").collect()]
+    out = {r.doc_id: r.held_out for r in langid.op1_langid(spark, sf_dir).collect()}
+    got = {r.doc_id: r.lang_pred for r in langid.op1_langid(spark, sf_dir).collect()}
+
+    def plain(text):
+        s = [0]
+        for c in text:
+            p = ord(c.lower()[0]) if c.isalpha() else 0
+            if p or s[-1]:
+                s.append(p)
+        s += [0] * (s[-1] != 0)
+        total = np.zeros(langid.DIMENSIONS, int)
+        for (a, b, c), n in Counter(zip(s[:-2], s[1:-1], s[2:], strict=True)).items():
+            total += n * np.roll(langid.letter(a), 2).astype(int) * np.roll(langid.letter(b), 1) * langid.letter(c)
+        return total
+
+    vectors = {r.doc_id: plain(r.text) for r in docs if r.text and any(c.isalpha() for c in r.text)}
+    profiles = {}
+    for r in docs:
+        if r.doc_id in vectors and r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2:
+            profiles[r.lang] = profiles.get(r.lang, 0) + vectors[r.doc_id]
+    near = lambda v: max(sorted(profiles), key=lambda n: v @ profiles[n] / np.linalg.norm(profiles[n].astype(float)))
+    assert got == {r.doc_id: near(vectors[r.doc_id]) if r.doc_id in vectors else "und" for r in docs}
+    assert out == {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in docs}
 
 
 def test_langid_bears_odd_rows(odd, none):
