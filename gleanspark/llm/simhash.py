@@ -3,34 +3,41 @@
 A document's fingerprint is the 64-bit majority of the XXH64 values of its word shingles. Fingerprints link at
 RADIUS (3) or fewer differing bits. Copies share a fingerprint, so only distinct fingerprints are searched.
 
-Search: 64 bits are cut into three segments (22, 21, 21 bits, padded to the 23 of the binary Golay code). Pigeonhole:
-of three segments that hold at most 3 errors together, at least two hold at most 1 error each. The code is perfect,
-so a segment has exactly one codeword within distance 3, its nearest; a segment one bit away has that codeword within
-distance 4. A segment has 1 codeword within distance 4, or 6 when its nearest is at distance 3. For each pair of
-segments (i, j) the left side takes keys (nearest of i, near of j), the right side (near of i, nearest of j): two
-fingerprints within one error in i and in j share the key (nearest of left i, nearest of right j). That gives at most
-18 keys a side, each of 24 bits; the join on keys verifies with an exact bit count, so no link is lost and none is
-false.
+Search: 64 bits are cut into three segments (22, 21, 21 bits, padded to the 23 of the binary Golay code). The code is
+perfect, so a segment has exactly one codeword within distance 3, its nearest; a segment one bit away has that codeword
+within distance 4. A segment has 1 codeword within distance 4, or 6 when its nearest is at distance 3. By pigeonhole,
+3 errors fall on the segments in one of three ways, and each way has keys of its own:
+- two segments hold none: their bits are the key (42 or 43 bits);
+- one holds none, another one at most: its bits and a codeword of the other (33 or 34 bits);
+- each holds one: codewords of the first two and that half of the third which holds none (34 or 35 bits).
+The left side of a pair takes the nearest codeword, the right side all near ones; with two codewords in a key, each side
+takes the near ones of one segment. Keys that long stay selective when the corpus grows. Fingerprints that share a key are
+compared by an exact bit count, so no link is lost and none is false. Few fingerprints under a key give their links as
+pairs; more than SMALL are cut into parts, every two of which meet in a group that reports a spanning forest only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache, partial
-from itertools import combinations
+from itertools import combinations, permutations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import columns, free_prefix, quoted, spool, table
+from gleanspark.llm.common import columns, free_prefix, quoted, shuffle_partitions, spool, table
 from gleanspark.llm.components import components
 from gleanspark.llm.near_copies import near_duplicate_groups, row_hash
+from gleanspark.llm.vectors import runs
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GENERATOR = 0b101011100011  # fixed value: generator polynomial of the [23, 12, 7] Golay code
-_BLOCK = 1 << 16
+SMALL, SIDE = 64, 4096  # fingerprints under a key that are paired in place; those of a part of a larger group
+LEFT, RIGHT = 1, 2
+_BLOCK = 1 << 14
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -93,22 +100,61 @@ def near_codewords(words: np.ndarray) -> np.ndarray:
 
 
 def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, side, key) of all keys of unsigned fingerprints; side 0 is the left one."""
-    near = [near_codewords((fps >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
-    rows, sides, keys = [], [], []
-    for pair, (i, j) in enumerate(combinations(range(3), 2)):
-        for side in (0, 1):
-            a, b = (near[i][:, :1], near[j]) if side == 0 else (near[i], near[j][:, :1])
-            ok = np.broadcast_to((a >= 0) & (b >= 0), (len(fps), 6))
-            key = np.broadcast_to(pair << 24 | a << 12 | b, (len(fps), 6))
-            rows.append(np.nonzero(ok)[0])
-            keys.append(key[ok])
-            sides.append(np.full(len(rows[-1]), side, np.int32))
+    """(row, sides, key) of all keys of unsigned fingerprints; sides is LEFT, RIGHT or both."""
+    bits = [(fps >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+    near = [near_codewords(b) for b in bits]
+    rows, sides, keys, kind = [], [], [], 0
+
+    def add(key: np.ndarray, ok: np.ndarray, side: int) -> None:
+        rows.append(np.nonzero(ok)[0])
+        keys.append((np.int64(kind) << 45 | key)[ok])
+        sides.append(np.full(len(rows[-1]), side, np.int32))
+
+    for i, j in combinations(range(3), 2):
+        add((bits[i] << 22 | bits[j])[:, None], np.ones((len(fps), 1), bool), LEFT | RIGHT)
+        kind += 1
+    for i, j in permutations(range(3), 2):
+        add(bits[i][:, None] << 12 | near[j][:, :1], near[j][:, :1] >= 0, LEFT | RIGHT)
+        add(bits[i][:, None] << 12 | near[j][:, 1:], near[j][:, 1:] >= 0, RIGHT)
+        kind += 1
+    width = SEGMENTS[2][1] // 2
+    for half in (bits[2] >> width, bits[2] & (1 << width) - 1):
+        part = half[:, None] << 24
+        add(part | near[0][:, :1] << 12 | near[1][:, :1], (near[0][:, :1] >= 0) & (near[1][:, :1] >= 0), LEFT | RIGHT)
+        add(part | near[0][:, 1:] << 12 | near[1][:, :1], near[0][:, 1:] >= 0, LEFT)
+        add(part | near[0][:, :1] << 12 | near[1][:, 1:], near[1][:, 1:] >= 0, RIGHT)
+        kind += 1
     return np.concatenate(rows), np.concatenate(sides), np.concatenate(keys)
 
 
+def spanning_links(fps: np.ndarray) -> np.ndarray:
+    """For each unsigned fingerprint of a group the first one of its component over links of RADIUS bits or fewer."""
+    label = np.arange(len(fps))
+    for at in range(0, len(fps), 512):
+        i, j = np.nonzero(np.bitwise_count(fps[at : at + 512, None] ^ fps[None]) <= RADIUS)
+        i += at
+        i, j = i[i < j], j[i < j]
+        while len(i):
+            a, b = label[i], label[j]
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+            while (label[label] != label).any():
+                label = label[label]
+    return label
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) for every fingerprint of a group but the first of its component; a group has one part or two."""
+    for group in runs(batches, ["key", "low", "high"]):
+        fp = group.column("fp").to_numpy()
+        label = spanning_links(fp.view(np.uint64))
+        rest = np.flatnonzero(label != np.arange(len(fp)))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[rest]), pa.array(fp[label[rest]])], ["a", "b"])
+
+
 def fingerprint_links(fps: DataFrame) -> DataFrame:
-    """(a, b) with a < b for every two distinct fingerprints (column fp, one row each) within RADIUS bits."""
+    """(a, b), links that connect what links of RADIUS bits or fewer connect, of distinct fingerprints (column fp, one row each)."""
 
     def expand(batches):
         for batch in batches:
@@ -119,10 +165,18 @@ def fingerprint_links(fps: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(sides), pa.array(keys), pa.array(part[rows])], ["side", "key", "fp"])
 
     keys = fps.select("fp").mapInArrow(expand, "side int, key long, fp long")
-    a = keys.where("side = 0").select("key", F.col("fp").alias("a"))
-    b = keys.where("side = 1").select("key", F.col("fp").alias("b"))
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS)
-    return a.join(b, (a["key"] == b["key"]) & near).select("a", "b").distinct()
+    same = Window.partitionBy("key")
+    shared = keys.withColumns({"n": F.count("*").over(same), "sides": F.bit_or("side").over(same)}).where(f"n > 1 AND sides = {LEFT | RIGHT}")
+    shared = spool(shared.select("key", "fp", "n"), "shared-keys")
+    few = shared.where(F.col("n") <= SMALL).groupBy("key").agg(F.collect_list("fp").alias("fps"))  # SMALL of them at most
+    near = lambda x: F.filter("fps", lambda y: (x < y) & (F.bit_count(x.bitwiseXOR(y)) <= RADIUS))
+    pairs = few.select(F.inline(F.flatten(F.transform("fps", lambda x: F.transform(near(x), lambda y: F.struct(x.alias("a"), y.alias("b")))))))
+    many = shared.where(F.col("n") > SMALL).withColumn("parts", F.ceil(F.col("n") / SIDE).cast("int"))
+    many = many.withColumn("part", F.pmod(F.xxhash64("fp"), "parts").cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    group = ["key", "low", "high"]
+    dealt = many.select("key", "fp", F.least("part", "with").alias("low"), F.greatest("part", "with").alias("high")).repartition(shuffle_partitions(fps.sparkSession), *group)
+    forests = dealt.sortWithinPartitions(*group).mapInArrow(_forests, "a long, b long")
+    return pairs.unionByName(forests).distinct()
 
 
 def fingerprint_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
