@@ -3,22 +3,28 @@
 Every vector, scaled to unit length (so the nearest by distance has the largest cosine), is projected on PROJECTIONS
 random directions; each direction keeps its values sorted. A query opens a window around its own value on every
 direction and widens all of them step by step (virtual rehashing: the arrays stay, only the bounds move, and only
-newly covered entries are counted). A vector counted in at least COLLISIONS of the directions is a candidate. Widening
-stops when k + SPARE vectors and a share CANDIDATES of the block are candidates, or all are covered; candidates are then
-verified by their exact cosine.
+newly covered entries are counted). A vector counted in at least COLLISIONS of the directions is a candidate and is
+verified by its exact cosine. Widening stops when the k best found are no farther than the half-width of the windows, as
+anything nearer would then have collided often enough with a chance of 0.95 or more; or when k + SPARE vectors and a
+share CANDIDATES of the block are candidates; or when all are covered. Where neighbours stand out (copies, clusters) the
+first rule ends a search after few candidates; among vectors without any structure only the second does.
 
 Vectors are dealt into blocks of about BLOCK and queries into blocks of about QUERY_BLOCK; every pair of blocks is one
-group, so a task holds one block of each whatever the size of the tables. The k best of each group are merged.
+group, so a task holds one block of each whatever the size of the tables. The k best of each group are merged. A stated
+set of queries against all rows stays a product of the two, cut by the candidates' share; blocks keep what is moved to a
+copy of the vectors for every QUERY_BLOCK queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import shuffle_partitions, spool, table
+from gleanspark.llm.common import quoted, shuffle_partitions, spool, table
 from gleanspark.llm.vectors import matrix, runs, unit, usable
 
 NEAREST = 5
@@ -27,7 +33,8 @@ COLLISIONS = 0.6  # of the projections
 CANDIDATES = 0.12  # of the vectors of a block
 SPARE = 100  # candidates besides that share and the k asked for
 HALVES = np.append(0.1 * 1.3 ** np.arange(14), np.inf)  # half-widths of the windows, round by round
-BLOCK, QUERY_BLOCK = 8192, 512
+BLOCK, QUERY_BLOCK = 16_384, 2048
+ASKED_AT_ONCE = 256
 EVERY = 50
 SEED = 2
 
@@ -50,20 +57,34 @@ class SortedProjections:
             high[:, :, j] = np.searchsorted(v, centres[:, j, None] + HALVES, "right")
         return low, high
 
-    def candidates(self, low: np.ndarray, high: np.ndarray, least: int, share: float = COLLISIONS) -> np.ndarray:
-        """Rows that reach the collision threshold first, at least `least` of them where there are as many."""
+    def candidates(self, low: np.ndarray, high: np.ndarray, share: float = COLLISIONS) -> Iterator[tuple[float, np.ndarray]]:
+        """(half-width, rows that have newly reached the collision threshold), round by round."""
         m, n = self.values.shape
-        least, need = min(least, n), int(np.ceil(share * m))
-        counts, a, b = np.zeros(n, np.int64), low[0], low[0]
-        for to_a, to_b in zip(low, high, strict=True):
+        need = int(np.ceil(share * m))
+        counts, done, a, b = np.zeros(n, np.int64), np.zeros(n, bool), low[0], low[0]
+        for half, to_a, to_b in zip(HALVES.tolist(), low, high, strict=True):
             new = [o[x:y] for o, x, y in zip(self.order, to_a.tolist(), a.tolist(), strict=True)]
             new += [o[x:y] for o, x, y in zip(self.order, b.tolist(), to_b.tolist(), strict=True)]
             counts += np.bincount(np.concatenate(new), minlength=n)
             a, b = to_a, to_b
-            hits = np.flatnonzero(counts >= need)
-            if len(hits) >= least:
-                break
-        return hits
+            hits = np.flatnonzero((counts >= need) & ~done)
+            done[hits] = True
+            yield half, hits
+
+
+def verified(index: SortedProjections, windows: tuple, k: int, least: int, cosine) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, their cosines) of the candidates of a query; `cosine` verifies rows, and gives -inf for the query itself."""
+    rows, cosines, found, best = [], [], 0, np.empty(0)
+    for half, hits in index.candidates(*windows):
+        cos = cosine(hits)
+        rows.append(hits)
+        cosines.append(cos)
+        found += len(hits)
+        best = np.sort(np.append(best, cos))[-k:]
+        near = len(best) == k and 2 - 2 * best[0] <= half * half
+        if near or found >= least:
+            break
+    return np.concatenate(rows), np.concatenate(cosines)
 
 
 def _search(k: int, share: float):
@@ -77,17 +98,25 @@ def _search(k: int, share: float):
                 continue
             own, base, norm = group.column("row").to_numpy(), x[rows], np.linalg.norm(x, axis=1)
             index = SortedProjections(unit(base))
-            least = k + 1 + SPARE + int(share * len(rows))
-            low, high = index.windows(x[queries] / norm[queries, None])
+            least = min(k + 1 + SPARE + int(share * len(rows)), len(rows))
             out_q, out_v, out_s = [], [], []
-            for q, a, b in zip(queries, low, high, strict=True):
-                near = rows[index.candidates(a, b, least)]
-                near = near[own[near] != own[q]]
-                cos = (x[near] * x[q]).sum(1) / (norm[near] * norm[q])
-                best = np.lexsort((ids[near], -cos))[:k]
-                out_q += [own[q]] * len(best)
-                out_v.append(ids[near[best]])
-                out_s.append(cos[best])
+            for at in range(0, len(queries), ASKED_AT_ONCE):
+                part = queries[at : at + ASKED_AT_ONCE]
+                low, high = index.windows(x[part] / norm[part, None])
+                for q, *windows in zip(part.tolist(), low, high, strict=True):
+
+                    def cosine(hits: np.ndarray, q: int = q) -> np.ndarray:
+                        near = rows[hits]
+                        cos = (x[near] * x[q]).sum(1) / (norm[near] * norm[q])
+                        cos[own[near] == own[q]] = -np.inf
+                        return cos
+
+                    hits, cos = verified(index, windows, k, least, cosine)
+                    best = np.lexsort((ids[rows[hits]], -cos))[:k]
+                    best = best[np.isfinite(cos[best])]
+                    out_q += [own[q]] * len(best)
+                    out_v.append(ids[rows[hits[best]]])
+                    out_s.append(cos[best])
             flat = lambda a, t: pa.array(np.concatenate(a) if a else np.zeros(0), t)
             yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), flat(out_v, pa.int64()), flat(out_s, pa.float64())], ["row", "vec_id", "score"])
 
@@ -99,10 +128,11 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str
 
     Nearest first, ties to the smaller id; fewer rows where there are fewer candidates. Rows with a null id or an
     unusable vector take no part; vectors of another length are no candidates. Rows that repeat an id are queries and
-    candidates each on their own. An empty table gives an empty result.
+    candidates each on their own. Other columns are read by `is_query` only, so they may have any name. An empty table
+    gives an empty result.
     """
     spark = vectors.sparkSession
-    good = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    good = vectors.select(quoted(vec_id).cast("long").alias("id"), quoted(embedding).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     good = spool(good.where(usable("embedding") & F.col("id").isNotNull()).withColumns({"dim": F.size("embedding"), "row": F.monotonically_increasing_id()}), "vectors")
     counts = {r.is_query: r.n for r in good.groupBy("is_query").agg(F.count("*").alias("n")).collect()}
     blocks = -(-sum(counts.values()) // BLOCK)
@@ -119,7 +149,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 5 nearest of every vector whose id is divisible by 50, among all others."""
+    """The 5 nearest of every vector of `embeddings` whose id is divisible by 50, among all others; odd rows as in `nearest`."""
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % EVERY == 0)
 
 

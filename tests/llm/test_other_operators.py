@@ -151,6 +151,22 @@ def test_nearest_recalls_brute_force(spark, sf_dir):
     assert hits >= 0.9 * 5 * len(got)
 
 
+def test_clustered_vectors_need_few_candidates():
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((60, 64)).repeat(50, 0) + 0.1 * rng.standard_normal((3000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index, hits, seen = ann.SortedProjections(x), 0, 0
+    low, high = index.windows(x[::50])
+    for i, q in enumerate(range(0, 3000, 50)):
+        cos = x @ x[q]
+        cos[q] = -np.inf
+        rows, got = ann.verified(index, (low[i], high[i]), 5, 460, lambda r, cos=cos: cos[r])
+        seen += len(rows)
+        hits += len(set(rows[np.argsort(-got)[:5]].tolist()) & set(np.argsort(-cos)[:5].tolist()))
+    assert hits >= 0.95 * 5 * 60
+    assert seen / 60 < 100  # the cluster and little more, not the share of all
+
+
 def test_nearest_bears_odd_rows(vectors, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 64)  # so that blocks are merged
     found = ann.nearest(vectors, F.col("vec_id") % 50 == 0).collect()
