@@ -25,7 +25,7 @@ def singular(token: Column) -> Column:
     """A naive singular of a lower-case token."""
     cut = lambda n: F.substring(token, F.lit(1), F.length(token) - n)
     return (
-        F.when((F.length(token) <= 3) | token.rlike("(ss|us|is)$"), token)
+        F.when(~token.endswith("s") | (F.length(token) <= 3) | token.rlike("(ss|us|is)$"), token)
         .when(token.endswith("ies") & (F.length(token) > 4), F.concat(cut(3), F.lit("y")))
         .when(token.rlike("(ches|shes|xes|sses)$"), cut(2))
         .when(token.endswith("s"), cut(1))
@@ -41,8 +41,12 @@ def tokens(value: Column) -> Column:
 
 def content_tokens(value: Column) -> Column:
     """Tokens without stop words and digits."""
-    stop = F.array(*map(F.lit, STOPWORDS))
-    return F.filter(tokens(value), lambda t: ~F.array_contains(stop, t) & ~t.rlike("^[0-9]"))
+    return content_of(tokens(value))
+
+
+def content_of(words: Column) -> Column:
+    """What `tokens` found, without stop words and digits."""
+    return F.filter(words, lambda t: ~t.isin(*STOPWORDS) & (t >= "a"))
 
 
 def compact_tokens(value: Column) -> Column:

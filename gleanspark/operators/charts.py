@@ -112,7 +112,7 @@ TODAY = date(2026, 9, 30)
 def _order_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     clerk = F.concat(F.lit("c"), (F.col("o_custkey") % 12).cast("string"))
-    return o.select(F.col("o_orderkey").alias("pos"), clerk.alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_totalprice").alias("number"), F.col("o_orderpriority").alias("raw")).where("o_custkey % 12 < 3 OR month(o_orderdate) % 2 = 0")
+    return o.select(F.col("o_orderkey").alias("pos"), clerk.alias("series"), F.date_format("o_orderdate", "yyyy-MM").alias("period"), F.col("o_totalprice").alias("number"), F.col("o_orderpriority").alias("raw"))
 
 
 def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,10 +122,10 @@ def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as observations in words: a price, a share, a brand-like group, a note that is mostly text."""
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    li = table(spark, sf_dir, "lineitem")
     whole = F.col("l_quantity").cast("int").cast("string")
     return li.select(
-        F.col("l_orderkey").alias("pos"),
+        F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 19, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("pos"),
         F.date_format("l_shipdate", "yyyy").alias("period"),
         F.col("l_returnflag").alias("series"),
         F.concat(F.lit("$"), whole).alias("price"),
@@ -144,15 +144,21 @@ QUERIES = {
     "chart_of_parameter": lambda s, d: chart(_cells(s, d), "price", ["price", "share"])[1],
 }
 ORACLE = {
-    "numeric_parameters": """WITH li AS (SELECT l_orderkey, strftime(l_shipdate, '%Y') AS period, l_returnflag AS series FROM lineitem WHERE l_linenumber = 1)
+    "numeric_parameters": """WITH li AS (SELECT l_orderkey, strftime(l_shipdate, '%Y') AS period, l_returnflag AS series FROM lineitem)
 SELECT unnest(['price', 'share']) AS name, unnest(['$', '%']) AS unit, unnest([n, n]) AS points, 'period' AS x_kind, unnest([a, a]) AS period_min, unnest([b, b]) AS period_max, unnest([k, k]) AS series_count
 FROM (SELECT count(*) AS n, min(period) AS a, max(period) AS b, count(DISTINCT series) AS k FROM li)""",
-    "chart_dimensions": """SELECT 'state' AS name, count(DISTINCT l_linestatus) AS distinct_values FROM lineitem WHERE l_linenumber = 1
-UNION ALL SELECT 'note', count(DISTINCT CAST(l_quantity AS INT)) FILTER (l_quantity > 40) + 1 FROM lineitem WHERE l_linenumber = 1""",
+    "chart_dimensions": """SELECT 'state' AS name, count(DISTINCT l_linestatus) AS distinct_values FROM lineitem
+UNION ALL SELECT 'note', count(DISTINCT CAST(l_quantity AS INT)) FILTER (l_quantity > 40) + 1 FROM lineitem""",
     "chart_line": """WITH r AS (SELECT o_orderkey AS pos, 'c' || (o_custkey % 12) AS series, strftime(o_orderdate, '%Y-%m') AS period, o_totalprice AS number, o_orderpriority AS raw
-  FROM orders WHERE o_custkey % 12 < 3 OR month(o_orderdate) % 2 = 0),
+  FROM orders),
 p AS (SELECT *, count(*) OVER (PARTITION BY series, period) - 1 AS duplicates FROM r QUALIFY row_number() OVER (PARTITION BY series, period ORDER BY pos) = 1),
 k AS (SELECT series FROM p GROUP BY series ORDER BY count(*) DESC, min(pos) LIMIT 8)
+SELECT series, period, number, raw, duplicates FROM p WHERE series IN (SELECT series FROM k)""",
+    "chart_of_parameter": """WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, strftime(l_shipdate, '%Y') AS period, '$' || CAST(trunc(l_quantity) AS INT) AS raw, trunc(l_quantity) AS number,
+  CASE WHEN l_quantity > 40 THEN CAST(CAST(trunc(l_quantity) AS INT) AS VARCHAR) ELSE 'about nothing at all' END AS series FROM lineitem),
+p AS (SELECT *, count(*) OVER (PARTITION BY series, period) - 1 AS duplicates FROM r
+  QUALIFY row_number() OVER (PARTITION BY series, period ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) = 1),
+k AS (SELECT series FROM p GROUP BY series ORDER BY count(*) DESC, min((l_orderkey, l_linenumber, l_partkey, l_suppkey)) LIMIT 8)
 SELECT series, period, number, raw, duplicates FROM p WHERE series IN (SELECT series FROM k)""",
     "chart_bar": """WITH r AS (SELECT c_custkey AS pos, c_nationkey || '-' || c_mktsegment AS label, c_acctbal AS number, c_name AS raw FROM customer),
 p AS (SELECT *, count(*) OVER (PARTITION BY label) - 1 AS duplicates FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY pos) = 1)

@@ -188,7 +188,7 @@ QUERIES = {
     "purge_runs": _purge_runs,
     "fresh_reads": _fresh,
     "tracks_with_counts": _tracks,
-    "orphan_parts": lambda s, d: orphans(table(s, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), table(s, d, "lineitem").where("l_quantity >= 45"), "l_partkey"),
+    "orphan_documents": lambda s, d: orphans(table(s, d, "documents").select("doc_id", "n_chars"), table(s, d, "labels"), "doc_id"),
     "status_changes": _changes,
 }
 ORACLE = {
@@ -213,7 +213,7 @@ SELECT id, instance_id, status FROM r WHERE NOT (n > 20 AND created_at < (SELECT
 AND fetched_at >= (SELECT max(fetched_at) FROM h) - INTERVAL 1440 MINUTE""",
     "tracks_with_counts": """SELECT c_custkey, c_name, coalesce(n, 0) AS dataset_row_count FROM customer
 LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""",
-    "orphan_parts": "SELECT p_partkey AS l_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45)",
+    "orphan_documents": "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "status_changes": """SELECT event_id, user_id, event_type FROM (
   SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS DISTINCT FROM event_type""",
 }

@@ -126,8 +126,8 @@ def _register(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _visited(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = history_of_events(spark, sf_dir)
     now = h.agg(F.max("fetched_at")).first()[0]
-    candidates = h.where("id % 3 = 0").select(F.concat("url", F.when(F.col("id") % 2 == 0, "/").otherwise("")).alias("url"), F.col("id").alias("nth"))
-    return visited(candidates, latest_reads(h, "url").where("id % 4 <> 0"), now).select("nth", "accepted", "recent")
+    candidates = h.select(F.concat("url", F.when(F.col("id") % 2 == 0, "/").otherwise("")).alias("url"), F.col("id").alias("nth"))
+    return visited(candidates, latest_reads(h, "url").where("accepted > 0"), now).select("nth", "accepted", "recent")
 
 
 def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,12 +142,12 @@ def _topic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return upsert(p, p.where("p_partkey % 3 = 0").select("p_partkey", (F.col("p_size") * 0).alias("p_size")), "p_partkey")
+    return upsert(p, p.where("p_size <= 15").select("p_partkey", (F.col("p_size") * 0).alias("p_size")), "p_partkey")
 
 
 def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("source_url"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).otherwise("").alias("title"))
-    return fill_titles(o, table(spark, sf_dir, "customer").where("c_custkey % 3 > 0").select(F.col("c_custkey").cast("string").alias("url"), F.col("c_name").alias("title"))).select("o_orderkey", "source_url", "title")
+    return fill_titles(o, table(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").cast("string").alias("url"), F.col("c_name").alias("title"))).select("o_orderkey", "source_url", "title")
 
 
 QUERIES = {
@@ -164,12 +164,12 @@ ORACLE = {
     "register_files": """WITH k AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 20 = 0), b AS (SELECT o_custkey AS id, max(o_totalprice) AS r FROM orders GROUP BY 1)
 SELECT id AS file_id, r AS relevance, 'parsed' AS status FROM b WHERE id IN (SELECT id FROM k)
 UNION ALL (SELECT id, r, 'found' FROM b WHERE id NOT IN (SELECT id FROM k) ORDER BY r DESC, id LIMIT 50)""",
-    "visited_candidates": f"""{_H}, l AS (SELECT * FROM h WHERE id IN (SELECT max(id) FROM h GROUP BY url) AND id % 4 <> 0)
-SELECT c.id AS nth, l.accepted, coalesce(l.fetched_at > (SELECT max(fetched_at) FROM h) - INTERVAL 24 HOUR, false) AS recent FROM h c LEFT JOIN l USING (url) WHERE c.id % 3 = 0""",
+    "visited_candidates": f"""{_H}, l AS (SELECT * FROM h WHERE id IN (SELECT max(id) FROM h GROUP BY url) AND accepted > 0)
+SELECT c.id AS nth, l.accepted, coalesce(l.fetched_at > (SELECT max(fetched_at) FROM h) - INTERVAL 24 HOUR, false) AS recent FROM h c LEFT JOIN l USING (url)""",
     "file_types": """WITH p AS (SELECT regexp_extract(url, '^[^?#]*') || CASE page_id % 3 WHEN 0 THEN '.csv' WHEN 1 THEN '.PDF' ELSE '' END AS url FROM pages),
 x AS (SELECT *, regexp_extract(url, '^[A-Za-z]+://[^/]*(.*)$', 1) AS path FROM p)
 SELECT CASE WHEN ends_with(url, '.csv') THEN 'csv' WHEN ends_with(url, '.PDF') THEN 'pdf' ELSE '' END AS file_type, count(*) AS n, max(length(path)) AS longest FROM x GROUP BY 1""",
-    "upsert_rows": "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS p_size FROM part",
-    "fill_titles": """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS source_url, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority WHEN o_custkey % 3 > 0 THEN c_name END AS title
+    "upsert_rows": "SELECT p_partkey, CASE WHEN p_size <= 15 THEN 0 ELSE p_size END AS p_size FROM part",
+    "fill_titles": """SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS source_url, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority WHEN c_acctbal > 0 THEN c_name END AS title
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey""",
 }

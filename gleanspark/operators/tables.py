@@ -186,7 +186,7 @@ def _placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").select(F.col("l_orderkey").alias("pos"), F.concat(F.lit("item_"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_linenumber").alias("at"), F.col("l_returnflag").alias("value"))
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("pos"), F.concat(F.lit("item_"), F.col("l_linenumber").cast("string")).alias("name"), F.col("l_linenumber").alias("at"), F.col("l_returnflag").alias("value"))
     return build_table(li, columns_for(li))
 
 
@@ -226,8 +226,7 @@ SELECT count(*) AS row_count, 5 AS column_count, round(1 - count(*) FILTER (p_br
   unnest(['string', 'string', 'number', 'number']) AS observed_type""",
     "placeholder_blanking": """WITH p AS (SELECT p_partkey, CASE WHEN p_size <= 40 THEN 'Not  Applicable' ELSE p_brand END AS note, CASE WHEN p_size <= 40 THEN 'Fixed' ELSE 'x' END AS other FROM part)
 SELECT p_partkey, CASE WHEN note = 'Not  Applicable' AND (SELECT count(*) FROM p WHERE note = 'Not  Applicable') >= 0.6 * (SELECT count(*) FROM p) THEN NULL ELSE note END AS note, other FROM p""",
-    "pivoted_table": """SELECT l_orderkey AS pos, coalesce(max(l_returnflag) FILTER (l_linenumber = 1), '') AS item_1, coalesce(max(l_returnflag) FILTER (l_linenumber = 2), '') AS item_2,
-  coalesce(max(l_returnflag) FILTER (l_linenumber = 3), '') AS item_3 FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1""",
+    "pivoted_table": f"""SELECT l_orderkey AS pos, {", ".join(f"coalesce(max(l_returnflag) FILTER (l_linenumber = {i}), '') AS item_{i}" for i in range(1, 8))} FROM lineitem GROUP BY 1""",
     "unique_headers": """WITH h AS (SELECT l_orderkey AS "table", l_linenumber - 1 AS place, CASE WHEN l_quantity >= 5 THEN l_returnflag WHEN l_linenumber = 1 THEN 'label' ELSE 'column_' || l_linenumber END AS name FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem)),
 n AS (SELECT *, row_number() OVER (PARTITION BY "table", name ORDER BY place) AS k FROM h)
 SELECT "table", place, CASE WHEN k > 1 THEN name || '_' || k ELSE name END AS name FROM n""",

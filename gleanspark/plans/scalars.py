@@ -48,8 +48,10 @@ def period_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return docs.select("doc_id", F.size(strings.tokens(F.col("text"))).cast("long").alias("n_tokens"), F.size(strings.content_tokens(F.col("text"))).cast("long").alias("n_content"), F.size(F.array_distinct(strings.content_tokens(F.col("text")))).cast("long").alias("n_distinct"))
+    """Numbers of tokens, of content tokens and of different ones; each list is made once."""
+    words = table(spark, sf_dir, "documents").select("doc_id", strings.tokens(F.col("text")).alias("words"))
+    content = words.select("doc_id", F.size("words").cast("long").alias("n_tokens"), strings.content_of(F.col("words")).alias("content"))
+    return content.select("doc_id", "n_tokens", F.size("content").cast("long").alias("n_content"), F.size(F.array_distinct("content")).cast("long").alias("n_distinct"))
 
 
 def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +60,8 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def period_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike("[0-9]"))
+    """The periods that each document mentions, none in most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", temporal.find_periods(F.col("text"), TODAY).alias("periods"))
 
 
