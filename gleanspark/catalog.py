@@ -24,6 +24,7 @@ MODULES = (
     "gleanspark.operators.prose",
     "gleanspark.operators.identity",
     "gleanspark.operators.periods",
+    "gleanspark.operators.concepts",
 )
 
 
