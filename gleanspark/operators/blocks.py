@@ -62,16 +62,20 @@ def overlap_suppression(rows: DataFrame) -> DataFrame:
     return rows.join(lost, "pos", "left").withColumn("status", F.when(F.col("_lost"), "partial").otherwise(F.col("status"))).drop("_lost")
 
 
+def apply_block_support(rows: DataFrame) -> DataFrame:
+    """Both steps in their order: rows of weak blocks are demoted first, so they neither repeat nor are repeated."""
+    return overlap_suppression(demote_unsupported(rows))
+
+
 # --- queries
 
 
 def rows_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as observations: suppliers are sites, orders modulo 9 their blocks."""
     li = table(spark, sf_dir, "lineitem")
-    pos = F.col("l_orderkey") * 100 + F.col("l_linenumber") * 10 + F.col("l_partkey") % 10
     whole = F.col("l_quantity").cast("int")
     return li.select(
-        F.xxhash64(pos, "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"),
+        F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 19, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("pos"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_url"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("site"),
         F.concat(F.lit("table#"), (F.col("l_orderkey") % 9).cast("string")).alias("block_id"),
@@ -90,14 +94,29 @@ QUERIES = {
     "block_support": lambda s, d: block_support(rows_of_items(s, d)).drop("first_pos"),
     "demote_unsupported": lambda s, d: demote_unsupported(rows_of_items(s, d)).groupBy("source_url", "status").agg(F.count("*").alias("n")),
     "overlap_suppression": lambda s, d: overlap_suppression(rows_of_items(s, d)).groupBy("site", "status").agg(F.count("*").alias("n")),
+    "block_support_and_overlap": lambda s, d: apply_block_support(rows_of_items(s, d)).groupBy("site", "status").agg(F.count("*").alias("n")),
 }
-_B = """WITH r AS (SELECT 's' || l_suppkey AS source_url, 'table#' || (l_orderkey % 9) AS block_id, floor(l_discount * 100) / 16 AS coverage, floor(l_tax * 100) / 16 AS relevance,
+_B = """WITH r AS (SELECT concat_ws('-', lpad(l_orderkey::VARCHAR, 19, '0'), lpad(l_linenumber::VARCHAR, 19, '0'), lpad(l_partkey::VARCHAR, 19, '0'), lpad(l_suppkey::VARCHAR, 19, '0')) AS pos,
+  year(l_shipdate) AS period, l_returnflag AS series, CAST(trunc(l_quantity) AS INT) % 3 AS number, 's' || l_suppkey AS source_url, 'table#' || (l_orderkey % 9) AS block_id, floor(l_discount * 100) / 16 AS coverage, floor(l_tax * 100) / 16 AS relevance,
   CASE CAST(trunc(l_quantity) AS INT) % 3 WHEN 0 THEN 'number' WHEN 1 THEN 'money' END AS kind, CAST(trunc(l_quantity) AS INT) % 10 = 0 AS is_record,
   CASE WHEN CAST(trunc(l_quantity) AS INT) % 4 > 0 THEN 'accepted' ELSE 'rejected' END AS status FROM lineitem),
-k AS (SELECT source_url, block_id, kind, count(*) AS n, sum(coverage) AS c, sum(relevance) AS v, count(*) FILTER (is_record) AS recs FROM r GROUP BY ALL),
-b AS (SELECT source_url, block_id, round((sum(c) / sum(n) + sum(v) / sum(n) + greatest(coalesce(max(n) FILTER (kind IS NOT NULL), 0), sum(recs)) / sum(n)) / 3, 3) AS support FROM k GROUP BY 1, 2)"""
+k AS (SELECT source_url, block_id, kind, count(*) AS n, sum(coverage) AS c, sum(relevance) AS v, count(*) FILTER (is_record) AS recs, min(pos) AS p FROM r GROUP BY ALL),
+b AS (SELECT source_url, block_id, round((sum(c) / sum(n) + sum(v) / sum(n) + greatest(coalesce(max(n) FILTER (kind IS NOT NULL), 0), sum(recs)) / sum(n)) / 3, 3) AS support, min(p) AS first_pos FROM k GROUP BY 1, 2)"""
+
+
+def _overlap_sql(rows: str) -> str:
+    """Rows of the relation `rows` by site and status after the walk over blocks, strongest first."""
+    return f"""v AS (SELECT source_url, block_id, support, first_pos, period, series, number, max(pos) AS pos FROM {rows} JOIN b USING (source_url, block_id) WHERE status = 'accepted' GROUP BY ALL),
+w AS (SELECT *, row_number() OVER (PARTITION BY source_url, period, series, number ORDER BY support DESC, first_pos, block_id) > 1 AS again FROM v),
+x AS (SELECT *, avg(again::INT) OVER (PARTITION BY source_url, block_id) AS share FROM w),
+lost AS (SELECT pos FROM x WHERE again AND share >= 0.6)
+SELECT source_url AS site, CASE WHEN pos IN (SELECT pos FROM lost) THEN 'partial' ELSE status END AS status, count(*) AS n FROM {rows} GROUP BY 1, 2"""
+
+
 ORACLE = {
     "block_support": f"{_B} SELECT source_url, block_id, support FROM b",
     "demote_unsupported": f"""{_B} SELECT source_url, CASE WHEN status = 'accepted' AND support < 0.3 THEN 'partial' ELSE status END AS status, count(*) AS n
 FROM r JOIN b USING (source_url, block_id) GROUP BY 1, 2""",
+    "overlap_suppression": f"{_B}, {_overlap_sql('r')}",
+    "block_support_and_overlap": f"""{_B}, d AS (SELECT r.* REPLACE (CASE WHEN status = 'accepted' AND support < 0.3 THEN 'partial' ELSE status END AS status) FROM r JOIN b USING (source_url, block_id)), {_overlap_sql('d')}""",
 }
