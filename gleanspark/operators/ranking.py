@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.strings import tokens
 from gleanspark.functions.urls import domain_of, host_suffixes, path_of
+from gleanspark.operators.history import H as HISTORY_SQL
 from gleanspark.operators.history import history_of_events, latest_reads, proven_domains
 from gleanspark.sources.tables import table
 
@@ -111,6 +112,9 @@ QUERIES = {
     "proven_candidates": lambda s, d: proven_domains(history_of_events(s, d)).join(latest_reads(history_of_events(s, d), "instance_id", "url"), ["instance_id", "domain"]).select("instance_id", "url", "rows"),
 }
 ORACLE = {
+    "proven_candidates": f"""{HISTORY_SQL}, l AS (SELECT * FROM h WHERE id IN (SELECT max(id) FROM h GROUP BY instance_id, url)),
+p AS (SELECT instance_id, domain, CAST(sum(accepted) AS BIGINT) AS rows FROM l GROUP BY 1, 2 HAVING sum(accepted) > 0)
+SELECT instance_id, l.url, p.rows FROM l JOIN p USING (instance_id, domain)""",
     "candidate_scores": f"{_C} SELECT page_id, domain, preferred, score FROM t",
     "rank_with_domain_quota": f"""{_C}, q AS (SELECT page_id, regexp_extract(domain, '([^.]+\\.[^.]+)$', 1) AS site, score, preferred FROM t),
 r AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, page_id) AS place FROM q)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gleanspark.functions.strings import content_tokens, tokens
 from gleanspark.functions.urls import file_type, path_of
 from gleanspark.operators.history import history_of_events, latest_reads
+from gleanspark.plans.scalars import STOP_SQL, TOKENS_SQL
 from gleanspark.sources.tables import table
 
 OWN, PAGE, READABLE = 0.75, 0.15, 0.10  # fixed values: shares of a file's relevance
@@ -161,6 +162,9 @@ QUERIES = {
 _H = """WITH h AS (SELECT event_id AS id, 'https://s' || (user_id % 40) || '.example/p' || (event_id % 23) AS url,
   CASE WHEN event_type IN ('purchase', 'view') THEN CAST(floor(value) AS BIGINT) ELSE 0 END AS accepted, ts AS fetched_at FROM events)"""
 ORACLE = {
+    "topic_of_sources": f"""WITH t AS (SELECT source, {TOKENS_SQL} AS t FROM documents),
+c AS (SELECT source, list_transform(list_filter(t, lambda x: NOT list_contains([{STOP_SQL}], x) AND NOT regexp_matches(x, '^[0-9]')), lambda x: x[:5]) AS k FROM t)
+SELECT source, round(avg(CAST(coalesce(list_has_any(k, ['thing', 'erent']), false) AS INT)), 6) AS share, avg(CAST(coalesce(list_has_any(k, ['thing', 'erent']), false) AS INT)) >= 0.25 AS on_topic FROM c GROUP BY 1""",
     "register_files": """WITH k AS (SELECT DISTINCT o_custkey AS id FROM orders WHERE o_orderkey % 20 = 0), b AS (SELECT o_custkey AS id, max(o_totalprice) AS r FROM orders GROUP BY 1)
 SELECT id AS file_id, r AS relevance, 'parsed' AS status FROM b WHERE id IN (SELECT id FROM k)
 UNION ALL (SELECT id, r, 'found' FROM b WHERE id NOT IN (SELECT id FROM k) ORDER BY r DESC, id LIMIT 50)""",

@@ -81,10 +81,10 @@ def conversation_replay(spark: SparkSession, sf_dir: str, after: int = 20, limit
     return c.orderBy("conv_id", "turn").limit(limit).select("conv_id", "turn", "role")
 
 
-_TOKENS = """list_transform(regexp_extract_all(lower(replace(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), 'ß', 'ss')), '[a-z]+|[0-9]+'), lambda t:
+TOKENS_SQL = """list_transform(regexp_extract_all(lower(replace(regexp_replace(text, '([a-z])([A-Z])', '\\1 \\2', 'g'), 'ß', 'ss')), '[a-z]+|[0-9]+'), lambda t:
   CASE WHEN length(t) <= 3 OR regexp_matches(t, '(ss|us|is)$') THEN t WHEN ends_with(t, 'ies') AND length(t) > 4 THEN t[:-4] || 'y'
   WHEN regexp_matches(t, '(ches|shes|xes|sses)$') THEN t[:-3] WHEN ends_with(t, 's') THEN t[:-2] ELSE t END)"""
-_STOP = ", ".join(f"'{w}'" for w in strings.STOPWORDS)
+STOP_SQL = ", ".join(f"'{w}'" for w in strings.STOPWORDS)
 QUERIES = {
     "typed_values": typed_values,
     "period_labels": period_labels,
@@ -113,8 +113,8 @@ SELECT o_orderkey, value,
   CAST(CASE g WHEN 0 THEN d WHEN 1 THEN last_day(d) WHEN 2 THEN date_trunc('quarter', d) + INTERVAL 3 MONTH - INTERVAL 1 DAY WHEN 3 THEN make_date(y, 12, 31) WHEN 4 THEN d WHEN 5 THEN make_date(y + 1, 12, 31)
     WHEN 6 THEN last_day(d) WHEN 9 THEN last_day(make_date(y, (y + 1) % 100, 1)) END AS DATE) AS period_end,
   CASE g WHEN 0 THEN 'day' WHEN 1 THEN 'month' WHEN 2 THEN 'quarter' WHEN 3 THEN 'year' WHEN 4 THEN 'day' WHEN 5 THEN 'range' WHEN 6 THEN 'month' WHEN 9 THEN 'month' END AS granularity FROM v""",
-    "token_counts": f"""WITH t AS (SELECT doc_id, {_TOKENS} AS t FROM documents),
-c AS (SELECT doc_id, t, list_filter(t, lambda x: NOT list_contains([{_STOP}], x) AND NOT regexp_matches(x, '^[0-9]')) AS k FROM t)
+    "token_counts": f"""WITH t AS (SELECT doc_id, {TOKENS_SQL} AS t FROM documents),
+c AS (SELECT doc_id, t, list_filter(t, lambda x: NOT list_contains([{STOP_SQL}], x) AND NOT regexp_matches(x, '^[0-9]')) AS k FROM t)
 SELECT doc_id, len(t) AS n_tokens, len(k) AS n_content, len(list_distinct(k)) AS n_distinct FROM c""",
     "url_parts": """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)) AS host FROM pages)
 SELECT page_id, host, regexp_replace(host, '^www\\.', '') AS domain, regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1) AS path,

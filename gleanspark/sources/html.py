@@ -34,6 +34,7 @@ GENERIC_LABELS = (
     "know more", "see details", "view details", "view pdf", "download pdf", "attachment",
 )
 MAX_TEXT = 1000
+CONTAINERS = ("html", "body", "table", "tbody", "thead", "tr", "ul", "ol")
 _FIELDS = {"n": "int", "parent": "int", "tag": "string", "classes": "string", "name": "string", "href": "string", "content": "string", "span": "int", "chrome": "boolean", "tbl": "int", "tr": "int", "lst": "int", "li": "int", "head": "boolean", "text": "string"}
 ELEMENTS = ", ".join(f"{k} {v}" for k, v in _FIELDS.items())
 
@@ -45,6 +46,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.rows: list[dict] = []
         self.open: list[dict] = []
+        self.pieces: list[tuple[str, int]] = []  # each text once, with the element right around it
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -56,40 +58,58 @@ class _Reader(HTMLParser):
         own = {"n": n, "parent": up.get("n", -1), "tag": tag, "classes": a.get("class"), "name": name, "href": a.get("href"), "content": a.get("content") or a.get("datetime"), "chrome": chrome and tag not in ("html", "body")}
         own["span"] = min(20, max(1, int(a["colspan"]))) if a.get("colspan", "").isdigit() else 1
         own |= {k: n if tag in tags else up.get(k) for k, tags in (("tbl", ("table",)), ("tr", ("tr",)), ("lst", ("ul", "ol")), ("li", ("li",)))}
-        own |= {"head": tag == "thead" or bool(up.get("head")), "parts": []}
+        own |= {"head": tag == "thead" or bool(up.get("head")), "begin": len(self.pieces), "end": None}
         self.rows.append(own)
         if tag not in VOID:
             self.open.append(own)
+        else:
+            own["end"] = own["begin"]
 
     def handle_endtag(self, tag: str) -> None:
         at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i]["tag"] == tag), None)
         if at is not None:
+            for own in self.open[at:]:
+                own["end"] = len(self.pieces)
             del self.open[at:]
 
     def handle_data(self, data: str) -> None:
-        for own in self.open if data.strip() else ():
-            if own["tag"] not in ("html", "body", "table", "tbody", "thead", "tr", "ul", "ol") or own is self.open[-1]:
-                own["parts"].append(data)
-
-
-def element_rows(html: str | None) -> list[dict]:
+        if data.strip() and self.open:
+            self.pieces.append((data, self.open[-1]["n"]))
+
+    def text_of(self, own: dict, most: int | None) -> str:
+        """The text inside an element, of containers only their own, up to `most` characters where a number is given."""
+        alone, words, size = own["tag"] in CONTAINERS, [], 0
+        for data, inner in self.pieces[own["begin"] : own["end"]]:
+            if not alone or inner == own["n"]:
+                words += data.split()
+                size += len(data)
+                if most is not None and size > 2 * most and len(" ".join(words)) >= most:
+                    break
+        return " ".join(words)[:most]
+
+
+def element_rows(html: str | None, max_text: int | None = MAX_TEXT) -> list[dict]:
     reader = _Reader()
     reader.feed(html or "")
     for r in reader.rows:
-        text = " ".join(" ".join(r.pop("parts")).split())
-        r["text"] = text if r["tag"] == "script" else text[:MAX_TEXT]
+        r["text"] = reader.text_of(r, None if r["tag"] == "script" else max_text)
+        del r["begin"], r["end"]
     return reader.rows
 
 
-def elements(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """(key, one column per field of an element) for every element of every page. A null page has none."""
+def elements(pages: DataFrame, key: str = "page_id", html: str = "html", max_text: int | None = MAX_TEXT) -> DataFrame:
+    """(key, one column per field of an element) for every element of every page. A null page has none.
+
+    The text of an element is cut after `max_text` characters, as cells and captions are in the data model; None keeps
+    whole texts. Scripts are never cut.
+    """
 
     @F.arrow_udf(f"array<struct<{', '.join(f'{k}:{v}' for k, v in _FIELDS.items())}>>")
     def of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         kinds = {"int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
         row = pa.struct([(k, kinds[v]) for k, v in _FIELDS.items()])
         for part in texts:
-            yield pa.array([element_rows(t) for t in part.to_pylist()], pa.list_(row))
+            yield pa.array([element_rows(t, max_text) for t in part.to_pylist()], pa.list_(row))
 
     return pages.select(key, F.explode(of(F.col(html))).alias("e")).select(key, "e.*")
 
@@ -185,18 +205,19 @@ def json_records(e: DataFrame, key: str = "page_id") -> DataFrame:
     and inner objects under joined names; objects with fewer than two fields are left out."""
     spark = e.sparkSession
     scripts = e.where("tag = 'script' AND name = 'application/ld+json'").select(key, "n", F.try_parse_json("text").alias("v")).where("v IS NOT NULL")
-    view = "_ld_scripts"
-    scripts.createOrReplaceTempView(view)
-    found = spark.sql(f"""
+    found = spark.sql(
+        f"""
 WITH picked AS (SELECT {key}, n, coalesce(try_variant_get(v, '$.itemListElement', 'variant'), try_variant_get(v, '$."@graph"', 'variant'),
-    CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN v END, parse_json(concat('[', to_json(v), ']'))) AS items FROM {view}),
+    CASE WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN v END, parse_json(concat('[', to_json(v), ']'))) AS items FROM {{scripts}}),
 objects AS (SELECT {key}, n, x.pos AS item, coalesce(try_variant_get(x.value, '$.item', 'variant'), x.value) AS o FROM picked, LATERAL variant_explode_outer(items) AS x),
 fields AS (SELECT {key}, n, item, f.key AS k, f.value AS w FROM objects, LATERAL variant_explode(o) AS f WHERE schema_of_variant(o) LIKE 'OBJECT%'),
 flat AS (
   SELECT {key}, n, item, ltrim('@', k) AS name, CAST(w AS STRING) AS value FROM fields WHERE schema_of_variant(w) NOT LIKE 'OBJECT%' AND schema_of_variant(w) NOT LIKE 'ARRAY%'
   UNION ALL SELECT {key}, n, item, concat(ltrim('@', k), '_', ltrim('@', g.key)), CAST(g.value AS STRING) FROM fields, LATERAL variant_explode(w) AS g
   WHERE schema_of_variant(w) LIKE 'OBJECT%' AND schema_of_variant(g.value) NOT LIKE 'OBJECT%' AND schema_of_variant(g.value) NOT LIKE 'ARRAY%')
-SELECT * FROM flat WHERE value IS NOT NULL AND value <> ''""")
+SELECT * FROM flat WHERE value IS NOT NULL AND value <> ''""",
+        scripts=scripts,
+    )
     enough = found.groupBy(key, "n", "item").count().where("count >= 2")
     return found.join(enough, [key, "n", "item"], "left_semi")
 
@@ -245,12 +266,35 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance(e).join(counted, "page_id", "left").select("page_id", "heading", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_chrome", F.lit(0)).alias("n_chrome"))
 
 
+def pages_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for every order: a menu, a table of two years, a list of three notices, two cards and a sentence."""
+    o = table(spark, sf_dir, "orders")
+    k, y, p, s = F.col("o_orderkey").cast("string"), F.year("o_orderdate").cast("string"), F.floor("o_totalprice").cast("string"), F.col("o_orderstatus")
+    after = (F.year("o_orderdate") + 1).cast("string")
+    parts = [
+        "<html><head><title>Order ", k, "</title></head><body><nav><ul><li><a href='/'>Home page of it all</a></li><li><a href='/b'>Back to the list again</a></li></ul></nav><main>",
+        "<table><tr><th>Year</th><th>Total Price</th><th></th></tr><tr><td>", y, "</td><td>$", p, "</td><td>", s, "</td></tr><tr><td>", after, "</td><td>$", p, "0</td><td></td></tr></table>",
+        *[x for n in ("first", "second", "third") for x in ("<ul><li>" if n == "first" else "<li>", f"<a href='/{n}/", k, f"'>The {n} notice of ", k, "</a></li>")], "</ul>",
+        *[x for n in ("One", "Two") for x in (f"<div class='card'><h3>Parcel {n} of ", k, "</h3><span class='status'>", s, "</span></div>")],
+        "<p>In ", y, " the order reached $", p, " for all of its parcels.</p></main></body></html>",
+    ]
+    return o.select(F.col("o_orderkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
+
+
 QUERIES = {
+    "table_records_of_orders": lambda s, d: table_records(elements(pages_of_orders(s, d))).select("page_id", "block_id", "place", "name", "value"),
+    "list_records_of_orders": lambda s, d: list_records(elements(pages_of_orders(s, d))).select("page_id", "title", "href"),
+    "card_records_of_orders": lambda s, d: card_records(elements(pages_of_orders(s, d))).select("page_id", "name", "value"),
     "page_titles_and_links": _titles,
     "nav_vs_content": lambda s, d: _pages(s, d).where("tag IN ('li', 'p')").groupBy("tag", "chrome").agg(F.count("*").alias("n")),
     "list_records_of_pages": lambda s, d: list_records(_pages(s, d)),
 }
 ORACLE = {
+    "table_records_of_orders": """WITH o AS (SELECT o_orderkey AS page_id, CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(year(o_orderdate) + 1 AS VARCHAR) AS z, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS p, o_orderstatus AS s FROM orders)
+SELECT page_id, 'table#1' AS block_id, place, name, value FROM o, LATERAL (VALUES (0, 'year', y), (1, 'total_price', '$' || p), (2, 'column_3', s), (0, 'year', z), (1, 'total_price', '$' || p || '0')) AS v(place, name, value)""",
+    "list_records_of_orders": """SELECT o_orderkey AS page_id, 'The ' || n || ' notice of ' || o_orderkey AS title, '/' || n || '/' || o_orderkey AS href FROM orders, (SELECT unnest(['first', 'second', 'third']) AS n)""",
+    "card_records_of_orders": """SELECT o_orderkey AS page_id, name, CASE name WHEN 'name' THEN 'Parcel ' || n || ' of ' || o_orderkey ELSE o_orderstatus END AS value
+FROM orders, (SELECT unnest(['One', 'Two']) AS n), (SELECT unnest(['name', 'status']) AS name)""",
     "page_titles_and_links": """SELECT page_id, nullif(trim(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS heading,
   len(regexp_extract_all(html, '<a [^>]*href="[^"]+')) AS n_links, len(regexp_extract_all(regexp_extract(html, '(?s)<nav.*?</nav>'), '<a [^>]*href="[^"]+')) + len(regexp_extract_all(regexp_extract(html, '(?s)<footer.*?</footer>'), '<a [^>]*href="[^"]+')) AS n_chrome FROM pages""",
     "nav_vs_content": """SELECT 'li' AS tag, true AS chrome, CAST(sum(len(regexp_extract_all(html, '<li[ >]'))) AS BIGINT) AS n FROM pages
