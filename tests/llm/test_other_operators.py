@@ -272,6 +272,62 @@ def test_parts_of_a_crowd_meet(spark, monkeypatch):
     assert len(found) == 40 and {r.component_id for r in found} == {0}
 
 
+#: Names that operators give to columns that come and go, or gave once.
+CLASHES = "_t _m_ip _g_ip _s_ip _p_ip pii_spans _spans _nth _size _id _words _copies _copy _tie _margin _l _sp _made _row _of _n fp key row group set_id component_id kind bucket id open best copies size at whole routed taken bin u pattern sources tie margin windows".split()
+
+
+@pytest.fixture(scope="module")
+def clashing(spark, tmp_path_factory):
+    """A folder of small tables whose documents have all these columns, one with a dot and one in capitals besides."""
+    folder = str(tmp_path_factory.mktemp("clashing"))
+    texts = {1: "one two three four five six", 2: "One two three four five six", 3: "mail me@x.de or call +1 415 555 0132 now", 4: "ein anderer Text mit Wörtern", 5: None, 6: ""}
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in texts.items()] * 2, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES], F.lit("own dot").alias("a.b"), F.lit("own big").alias("_SIZES"))
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def _own(rows, names):
+    return all(r[c] == f"own {c}" for r in rows for c in names if c in r) and all(r["a.b"] == "own dot" and r["_SIZES"] == "own big" for r in rows if "a.b" in r)
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, clashing):
+    docs = given = table(spark, clashing, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, clashing)
+        assert docs.columns == given.columns
+        rows = [r.asDict() for r in docs.collect()]
+        assert rows and _own(rows, CLASHES)
+        docs = docs.limit(12) if not rows else docs
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, clashing).count() == docs.count()
+
+
+def test_operators_leave_columns_of_any_name_alone(spark, clashing):
+    from gleanspark.llm import huffman_store, langid, unigram
+
+    docs = table(spark, clashing, "documents")
+    made = {
+        "pii": pii.with_spans(docs, out="found"),
+        "mask": pii.mask(pii.with_spans(docs, out="found"), spans="found"),
+        "langid": langid.with_language(docs, *langid.prototypes(docs)),
+        "toxicity": toxicity.with_score(docs, toxicity.fit(docs, table(spark, clashing, "labels"))),
+        "unigram": unigram.decode(unigram.encode(docs, unigram.model_path()), unigram.model_path()),
+        "fingerprint": simhash.with_fingerprint(docs, out="print"),
+        "near copies": simhash.one_of_each_group(docs),
+        "urls": url_filter.judge_urls(docs, url="text"),
+    }
+    for name, df in made.items():
+        rows = [r.asDict() for r in df.collect()]
+        assert _own(rows, CLASHES), name
+        assert len(rows) == (4 if name == "near copies" else 12), name
+    assert simhash.fingerprint_groups(docs).count() == huffman_store.encode(docs, huffman_store.tokenizer_path()).count() == 12
+    assert near_copies.near_duplicate_groups(docs).count() == mixing.mix(docs, F.array("source"), mixing.n_words(F.col("text")))[0].count() == 12
+    vectors = docs.select("*", F.array(F.lit(1.0), F.col("doc_id").cast("double")).alias("embedding"))
+    assert embedding_dedup.near_duplicates(vectors, "doc_id", "embedding", "n_chars").count() == 12
+    assert ann.nearest(vectors, F.col("doc_id") == 1, vec_id="doc_id").count() == 10
+
+
 def test_pipeline_bears_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long, key string"
     rows = [(1, "a b c", "en", "s", 5, "k"), (1, "a b c", "en", "s", 5, "k"), (2, None, None, None, None, None), (None, "mail me@x.de", None, "s", 12, None), (3, "", "en", "t", 0, "")]
