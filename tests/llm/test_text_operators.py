@@ -176,6 +176,40 @@ def test_flow_repeats_no_document_while_others_are_unused():
     assert min(sum(more["p"].values()), sum(more["q"].values())) >= 100 and more["p"]["a"] == 120
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_flow_is_the_best_of_all_for_overlapping_sources(seed):
+    from itertools import product
+
+    rng = np.random.default_rng(seed)
+    members = {"p": ["a"], "q": ["a", "b"], "r": ["b", "c"], "s": [None, "c"]}
+    words = {p: int(rng.integers(0, 3)) for p in members}
+    quota = {s: int(rng.integers(0, 5)) for s in ("a", "b", "c", None)}
+    given = mixing.route(words, members, quota, copies=3)
+
+    def judged(taken):
+        """(words routed, cost) of a plan, or None where it breaks a limit."""
+        by_source = Counter()
+        cost = 0
+        for p, shares in taken.items():
+            total = sum(shares.values())
+            if total > 3 * words[p]:
+                return None
+            cost += sum((n // words[p] + 1) ** 2 for n in range(total))
+            by_source.update(shares)
+        return None if any(by_source[s] > quota[s] for s in quota) else (sum(by_source.values()), cost)
+
+    arcs = [(p, s) for p in members for s in members[p]]
+    best = (0, 0)
+    for amounts in product(*(range(min(3 * words[p], quota[s]) + 1) for p, s in arcs)):
+        plan = {p: {} for p in members}
+        for (p, s), n in zip(arcs, amounts, strict=True):
+            plan[p][s] = n
+        found = judged(plan)
+        if found:
+            best = max(best, found, key=lambda x: (x[0], -x[1]))
+    assert judged(given) == best
+
+
 def test_mix_meets_targets_and_reruns_agree(spark, sf_dir):
     rows = mixing.op10_mixing(spark, sf_dir).collect()
     docs = {r.doc_id: r for r in table(spark, sf_dir, "documents").collect()}
