@@ -25,6 +25,7 @@ MODULES = (
     "gleanspark.operators.identity",
     "gleanspark.operators.periods",
     "gleanspark.operators.concepts",
+    "gleanspark.operators.relevance",
 )
 
 

@@ -239,18 +239,18 @@ ENTER, THEN = ("sign in", "log in", "login"), ("continue", "view", "access", "re
 CLOSED = (f"{any_of(ENTER)} to {any_of(THEN)}", "subscribe to (?:continue|read)", "create (?:a free|an) account to", "this content is for (?:subscribers|members)")
 
 
-def _opening(title: Column, text: Column) -> Column:
-    return F.concat_ws(" ", title, F.substring(text, 1, 1500))
+def _opening(title: Column, text: Column, most: int) -> Column:
+    return F.concat_ws(" ", title, F.substring(text, 1, most))
 
 
 def is_challenge(title: Column, text: Column) -> Column:
     """Whether a page is a security check rather than content."""
-    return _opening(title, text).rlike(f"(?i){any_of(CHALLENGES)}")
+    return _opening(title, text, 1500).rlike(f"(?i){any_of(CHALLENGES)}")
 
 
 def is_login_wall(title: Column, text: Column) -> Column:
     """Whether a page asks to sign in or subscribe before it shows its content."""
-    return _opening(title, text).rlike(rf"(?i)\b{any_of(CLOSED)}")
+    return _opening(title, text, 3000).rlike(rf"(?i)\b{any_of(CLOSED)}")
 
 
 # --- queries
