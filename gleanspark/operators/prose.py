@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.patterns import any_of, ends_with, starts_with
 from gleanspark.functions.temporal import find_periods
-from gleanspark.sources.html import elements, pages_of_orders
+from gleanspark.sources.html import elements, pages_of_customers
 from gleanspark.sources.tables import table
 
 SHORTEST, LONGEST, MAX_UNDATED, MAX_ROWS = 25, 320, 15, 60
@@ -134,10 +134,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "statements_of_documents": _documents,
-    "statements_of_orders": lambda s, d: page_statements(elements(pages_of_orders(s, d)), TODAY).select("page_id", "method", "statement", "value", "period"),
+    "statements_of_customers": lambda s, d: page_statements(elements(pages_of_customers(s, d)), TODAY).select("page_id", "method", "statement", "value", "period"),
     "statements_of_pages": lambda s, d: page_statements(elements(table(s, d, "pages").select("page_id", "html")), TODAY),
 }
 ORACLE = {
-    "statements_of_orders": """SELECT o_orderkey AS page_id, 'text_statement' AS method, 'In ' || y || ' the order reached $' || p || ' for all of its parcels.' AS statement, '$' || p AS value, y AS period
-FROM (SELECT o_orderkey, CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS p FROM orders)"""
+    "statements_of_customers": """SELECT c_custkey AS page_id, 'text_statement' AS method, 'In ' || y || ' the account reached $' || p || ' for all of its parcels.' AS statement, '$' || p AS value, y AS period
+FROM (SELECT c_custkey, CAST(c_nationkey + 1995 AS VARCHAR) AS y, CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) AS p FROM customer)"""
 }

@@ -266,35 +266,36 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance(e).join(counted, "page_id", "left").select("page_id", "heading", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_chrome", F.lit(0)).alias("n_chrome"))
 
 
-def pages_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for every order: a menu, a table of two years, a list of three notices, two cards and a sentence."""
-    o = table(spark, sf_dir, "orders")
-    k, y, p, s = F.col("o_orderkey").cast("string"), F.year("o_orderdate").cast("string"), F.floor("o_totalprice").cast("string"), F.col("o_orderstatus")
-    after = (F.year("o_orderdate") + 1).cast("string")
+def pages_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for every customer: a menu, a table of two years, a list of three notices, two cards and a sentence."""
+    c = table(spark, sf_dir, "customer")
+    year = F.col("c_nationkey") + 1995
+    k, y, p, s = F.col("c_custkey").cast("string"), year.cast("string"), F.floor(F.abs("c_acctbal")).cast("string"), F.col("c_mktsegment")
+    after = (year + 1).cast("string")
     parts = [
-        "<html><head><title>Order ", k, "</title></head><body><nav><ul><li><a href='/'>Home page of it all</a></li><li><a href='/b'>Back to the list again</a></li></ul></nav><main>",
+        "<html><head><title>Customer ", k, "</title></head><body><nav><ul><li><a href='/'>Home page of it all</a></li><li><a href='/b'>Back to the list again</a></li></ul></nav><main>",
         "<table><tr><th>Year</th><th>Total Price</th><th></th></tr><tr><td>", y, "</td><td>$", p, "</td><td>", s, "</td></tr><tr><td>", after, "</td><td>$", p, "0</td><td></td></tr></table>",
         *[x for n in ("first", "second", "third") for x in ("<ul><li>" if n == "first" else "<li>", f"<a href='/{n}/", k, f"'>The {n} notice of ", k, "</a></li>")], "</ul>",
         *[x for n in ("One", "Two") for x in (f"<div class='card'><h3>Parcel {n} of ", k, "</h3><span class='status'>", s, "</span></div>")],
-        "<p>In ", y, " the order reached $", p, " for all of its parcels.</p></main></body></html>",
+        "<p>In ", y, " the account reached $", p, " for all of its parcels.</p></main></body></html>",
     ]
-    return o.select(F.col("o_orderkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
+    return c.select(F.col("c_custkey").alias("page_id"), F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts]).alias("html"))
 
 
 QUERIES = {
-    "table_records_of_orders": lambda s, d: table_records(elements(pages_of_orders(s, d))).select("page_id", "block_id", "place", "name", "value"),
-    "list_records_of_orders": lambda s, d: list_records(elements(pages_of_orders(s, d))).select("page_id", "title", "href"),
-    "card_records_of_orders": lambda s, d: card_records(elements(pages_of_orders(s, d))).select("page_id", "name", "value"),
+    "table_records_of_customers": lambda s, d: table_records(elements(pages_of_customers(s, d))).select("page_id", "block_id", "place", "name", "value"),
+    "list_records_of_customers": lambda s, d: list_records(elements(pages_of_customers(s, d))).select("page_id", "title", "href"),
+    "card_records_of_customers": lambda s, d: card_records(elements(pages_of_customers(s, d))).select("page_id", "name", "value"),
     "page_titles_and_links": _titles,
     "nav_vs_content": lambda s, d: _pages(s, d).where("tag IN ('li', 'p')").groupBy("tag", "chrome").agg(F.count("*").alias("n")),
     "list_records_of_pages": lambda s, d: list_records(_pages(s, d)),
 }
 ORACLE = {
-    "table_records_of_orders": """WITH o AS (SELECT o_orderkey AS page_id, CAST(year(o_orderdate) AS VARCHAR) AS y, CAST(year(o_orderdate) + 1 AS VARCHAR) AS z, CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR) AS p, o_orderstatus AS s FROM orders)
+    "table_records_of_customers": """WITH o AS (SELECT c_custkey AS page_id, CAST(c_nationkey + 1995 AS VARCHAR) AS y, CAST(c_nationkey + 1996 AS VARCHAR) AS z, CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) AS p, c_mktsegment AS s FROM customer)
 SELECT page_id, 'table#1' AS block_id, place, name, value FROM o, LATERAL (VALUES (0, 'year', y), (1, 'total_price', '$' || p), (2, 'column_3', s), (0, 'year', z), (1, 'total_price', '$' || p || '0')) AS v(place, name, value)""",
-    "list_records_of_orders": """SELECT o_orderkey AS page_id, 'The ' || n || ' notice of ' || o_orderkey AS title, '/' || n || '/' || o_orderkey AS href FROM orders, (SELECT unnest(['first', 'second', 'third']) AS n)""",
-    "card_records_of_orders": """SELECT o_orderkey AS page_id, name, CASE name WHEN 'name' THEN 'Parcel ' || n || ' of ' || o_orderkey ELSE o_orderstatus END AS value
-FROM orders, (SELECT unnest(['One', 'Two']) AS n), (SELECT unnest(['name', 'status']) AS name)""",
+    "list_records_of_customers": """SELECT c_custkey AS page_id, 'The ' || n || ' notice of ' || c_custkey AS title, '/' || n || '/' || c_custkey AS href FROM customer, (SELECT unnest(['first', 'second', 'third']) AS n)""",
+    "card_records_of_customers": """SELECT c_custkey AS page_id, name, CASE name WHEN 'name' THEN 'Parcel ' || n || ' of ' || c_custkey ELSE c_mktsegment END AS value
+FROM customer, (SELECT unnest(['One', 'Two']) AS n), (SELECT unnest(['name', 'status']) AS name)""",
     "page_titles_and_links": """SELECT page_id, nullif(trim(replace(replace(replace(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')), '') AS heading,
   len(regexp_extract_all(html, '<a [^>]*href="[^"]+')) AS n_links, len(regexp_extract_all(regexp_extract(html, '(?s)<nav.*?</nav>'), '<a [^>]*href="[^"]+')) + len(regexp_extract_all(regexp_extract(html, '(?s)<footer.*?</footer>'), '<a [^>]*href="[^"]+')) AS n_chrome FROM pages""",
     "nav_vs_content": """SELECT 'li' AS tag, true AS chrome, CAST(sum(len(regexp_extract_all(html, '<li[ >]'))) AS BIGINT) AS n FROM pages
