@@ -206,12 +206,15 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     p = free_prefix(docs)
     key, one = f"{p}row", f"{p}id"
     groups = near_duplicate_groups(docs, doc_id, text)
-    kept = groups.where("doc_id = component_id").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
-    kept = spool(kept.select(F.col("first.doc_id").alias(one), F.col("first.row").alias(f"{p}of")).distinct(), "kept")
-    # Repeated rows are merged before they move. The kept ids grow with the documents, so the join always shuffles; both meet on the same keys.
-    once = docs.where(quoted(doc_id).isNotNull()).select(*columns(docs), row_hash(doc_id, text).alias(key)).dropDuplicates([doc_id, key])
-    mine = once.join(kept.hint("merge"), (once[doc_id] == kept[one]) & (once[key] == kept[f"{p}of"]), "left_semi").select(*columns(docs))
-    return mine.unionByName(docs.where(quoted(doc_id).isNull()))
+    groups = near_duplicate_groups(docs, doc_id, text).where("doc_id = component_id")
+    kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
+    kept = spool(kept.select(F.col("first.doc_id").alias(one), F.col("first.row").alias(f"{p}of")), "kept")
+    # The kept ids grow with the documents, so this join always shuffles; the window then finds its rows in place.
+    rows = docs.where(quoted(doc_id).isNotNull()).select(*columns(docs), row_hash(doc_id, text).alias(key))
+    mine = rows.join(kept.hint("merge"), (rows[doc_id] == kept[one]) & (rows[key] == kept[f"{p}of"]), "left_semi")
+    nth = F.row_number().over(Window.partitionBy(quoted(doc_id), key).orderBy(key))
+    once = mine.withColumn(f"{p}nth", nth).where(F.col(f"{p}nth") == 1).select(*columns(docs))
+    return once.unionByName(docs.where(quoted(doc_id).isNull()))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ MODEL = "piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN = 10.0  # fixed value: the penalty of an uncovered character
 NORMAL, BYTE = 1, 6  # fixed values: kinds of pieces
-WORDS = 300_000  # words a Python worker remembers; then it forgets all
+WORDS = 200_000  # words a Python worker remembers; then it forgets all
 TEXTS_AT_ONCE, MANY, LONG = 400, 4096, 64  # texts and units that are encoded side by side; bytes beyond which a unit is not
 MADE = ("ids", "log_score", "n_bytes", "round_trip")
 
