@@ -23,19 +23,24 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
+#: The folder of each local application that was started without spark.checkpoint.dir.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
+    """The folder that driver and executors share: spark.checkpoint.dir of the session, or the context's checkpoint folder.
 
-    Where it is unset and the master is local (tests, a laptop) a temporary one is set once for the session. On a cluster
-    it must be set, as its machines share no folder otherwise.
+    Where neither is set and the master is local (tests, a laptop) a temporary one is made once for the application. On a
+    cluster it must be set, as its machines share no folder otherwise.
     """
-    found = spark.conf.get("spark.checkpoint.dir", "")
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", "") or context.getCheckpointDir()
     if not found:
-        if not re.match(r"local($|\[)", spark.sparkContext.master):
+        if not re.match(r"local($|\[)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="gleanspark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        spark.sparkContext.setCheckpointDir(found)
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="gleanspark-")
+        found = _LOCAL[context.applicationId]
     return found
 
 

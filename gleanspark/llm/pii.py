@@ -12,6 +12,7 @@ end of the previous match) keeps the starts that a plain pattern would find righ
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +48,8 @@ CONTEXT = 32  # code points before a span that are searched for context words
 NEAR, FAR, ADDED_SCORE = 0.3, 0.3, 0.6
 _KEY_ID = r"^(AKIA|ASIA)[0-9A-Z]{16}$"
 _CHUNK = 256
+_PIECE = 4096  # code points of a text that are cut out together when it is rebuilt
+_TRIMS = 3  # words behind an account number that its pattern may have taken along
 
 
 def _digits(value: Column) -> Column:
@@ -84,13 +87,21 @@ def _valid(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
-def running_totals(values: Column) -> Column:
-    """For each element the sum of those before it; by chunks, so that long arrays don't cost their square in copies."""
-    total = lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x)
+def _without_tail(found: Column) -> Column:
+    """The longest account number at the start of `found` that passes its checksum, words behind it left out; else `found`."""
+    trimmed = [found]
+    for _ in range(_TRIMS):
+        trimmed.append(F.regexp_replace(trimmed[-1], r"\x20[A-Z0-9]{1,4}$", ""))
+    return F.coalesce(*[F.when((F.length(t) > 14) & mod97(t), t) for t in trimmed], found)
+
+
+def running_totals(values: Column, plus: Callable[[Column, Column], Column] = lambda a, x: a + x) -> Column:
+    """For each element the sum (or what `plus` makes, from 0 on) of those before it; by chunks, so that long arrays don't cost their square in copies."""
+    total = lambda part: F.aggregate(part, F.lit(0), plus)
 
     def chunk(c: Column) -> Column:
         start = F.struct(total(F.slice(values, 1, c * _CHUNK)).alias("sum"), F.array().cast("array<int>").alias("out"))
-        add = lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out"))
+        add = lambda a, x: F.struct(plus(a["sum"], x).alias("sum"), F.concat(a["out"], F.array(a["sum"])).alias("out"))
         return F.aggregate(F.slice(values, c * _CHUNK + 1, _CHUNK), start, add, lambda a: a["out"])
 
     return F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _CHUNK).cast("int")), chunk))
@@ -100,7 +111,7 @@ _SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
 
 
 def _confirm(k: Kind, m: str):
-    return lambda x: _valid(k.name, x[m])
+    return lambda x: _valid(k.name, _without_tail(x[m]) if k.name == "iban" else x[m])
 
 
 def _span(k: Kind, t: str, m: str, g: str, s: str):
@@ -114,7 +125,8 @@ def _span(k: Kind, t: str, m: str, g: str, s: str):
             score = score - F.when(before.rlike(k.far), FAR).otherwise(0.0)
         if k.name == "secret":
             score = F.when(x[m].rlike(_KEY_ID), 0.9).otherwise(score)
-        return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), (start + F.length(x[m])).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
+        length = F.length(_without_tail(x[m]) if k.name == "iban" else x[m])
+        return F.struct(F.lit(k.name).alias("kind"), start.alias("start"), (start + length).alias("end"), F.least(score, F.lit(1.0)).alias("score"))
 
     return of
 
@@ -150,17 +162,27 @@ def mask(docs: DataFrame, text: str = "text", spans: str = "pii_spans") -> DataF
     whatever their names. An empty table gives an empty one.
     """
 
-    def step(a: Column, x: Column) -> Column:
-        free = x["start"] >= a["at"]
-        gap = F.substring(quoted(text), a["at"] + 1, x["start"] - a["at"])
-        mark = F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">"))
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(free, F.concat(a["out"], F.array(gap, mark))).otherwise(a["out"]).alias("out"))
-
-    ordered = F.array_sort(F.transform(quoted(spans), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    last = F.length(quoted(text))
-    rebuilt = F.aggregate(ordered, start, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(quoted(text), a["at"] + 1, last)))
-    return docs.withColumn(text, F.when(F.size(quoted(spans)) > 0, rebuilt).otherwise(quoted(text)))
+    p = free_prefix(docs)
+    ordered, at, chunks = f"{p}ordered", f"{p}at", f"{p}chunks"
+    size, empty = F.size(quoted(spans)), F.array().cast("array<string>")
+    by_place = F.array_sort(F.transform(quoted(spans), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
+    df = docs.select(*columns(docs), by_place.alias(ordered)).withColumn(ordered, F.when(size > 0, F.col(ordered)))
+    df = df.withColumn(at, running_totals(F.transform(ordered, lambda x: x["end"]), lambda a, x: F.greatest(a, x)))
+    df = df.withColumn(chunks, F.when(size > 0, F.regexp_extract_all(quoted(text), F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))).otherwise(empty))
+
+    def between(a: Column, b: Column) -> Column:
+        """Code points a to b of the text, from the pieces that hold them only."""
+        first = F.floor(a / _PIECE).cast("int")
+        held = F.slice(chunks, first + 1, F.greatest(F.ceil(b / _PIECE).cast("int") - first, F.lit(0)))
+        return F.substring(F.array_join(held, ""), a - first * _PIECE + 1, b - a)
+
+    def piece(x: Column, done: Column) -> Column:
+        return F.when(x["start"] >= done, F.concat(between(done, x["start"]), F.lit("<"), F.upper(x["kind"]), F.lit(">"))).otherwise("")
+
+    last = F.array_max(F.transform(ordered, lambda x: x["end"]))
+    rebuilt = F.concat(F.array_join(F.zip_with(ordered, at, piece), ""), between(last, F.length(quoted(text))))
+    masked = F.when(size > 0, rebuilt).otherwise(quoted(text)).alias(text)
+    return df.select(*[masked if c.lower() == text.lower() else quoted(c) for c in docs.columns])
 
 
 def _joined(spans: Column, score: bool = False) -> Column:

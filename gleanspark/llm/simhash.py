@@ -205,7 +205,6 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     p = free_prefix(docs)
     key, one = f"{p}row", f"{p}id"
-    groups = near_duplicate_groups(docs, doc_id, text)
     groups = near_duplicate_groups(docs, doc_id, text).where("doc_id = component_id")
     kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     kept = spool(kept.select(F.col("first.doc_id").alias(one), F.col("first.row").alias(f"{p}of")), "kept")

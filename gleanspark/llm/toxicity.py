@@ -17,6 +17,7 @@ margin and length into a score.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -35,10 +36,13 @@ SYMBOLS = 28  # 0: not a letter (only a gap), 1-26: a-z, 27: any other letter
 UNIT = 24  # characters of a unit at most
 SIZES = (1, 2, 5)  # units of a window
 PART = 1 << 16  # characters that are read together
+ALL = 1 << 62  # a place behind every text
 ROUNDS, POSITIVES, NEGATIVES, LANDMARKS = 3, 4000, 12_000, 256
 SMOOTH = 20.0  # added to the weight of each triple in the first log odds
 LOOK_ALIKE = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _SPACE, _STOPS = (9, 10, 11, 12, 13, 32), (10, 13, 33, 46, 63)
+_ENDS = ("\n", "\r", *(stop + space for stop in "!.?" for space in " \t\v\f"))  # places that no window crosses
+_LONG_SPACE, _LONG_BREAK = re.compile(r"[ \t\v\f]{65,}"), re.compile(r"[\r\n]{65,}")
 
 
 def _symbol_table() -> np.ndarray:
@@ -89,13 +93,16 @@ class Text:
         self.sentence = stop[self.starts]
         self.last_stop = stop[np.maximum(self.ends - 1, 0)]
 
-    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, before: int = ALL) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that begin at a place less than `before`."""
         first, last, owner = [], [], []
         for m in SIZES:
             n = len(self.starts) - m + 1
             if n <= 0:
                 break
-            same = (self.sentence[:n] == self.last_stop[m - 1 :]) & (self.owner[:n] == self.owner[m - 1 :]) if m > 1 else np.ones(n, bool)
+            same = self.starts[:n] < before
+            if m > 1:
+                same &= (self.sentence[:n] == self.last_stop[m - 1 :]) & (self.owner[:n] == self.owner[m - 1 :])
             first.append(self.starts[:n][same])
             last.append(self.ends[m - 1 :][same])
             owner.append(self.owner[:n][same])
@@ -132,16 +139,43 @@ def features(strings: list[str]) -> np.ndarray:
     return out
 
 
-def parts(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about PART characters; a longer text is a range of its own."""
-    at = size = 0
+def pieces(text: str) -> Iterator[tuple[str, int]]:
+    """A long lower-case text in pieces of PART characters at most, each with the place from which windows are the next one's.
+
+    A piece ends behind a stop, which no window crosses. Where there is none, the next piece begins four whole units before
+    the end, so that every window lies in the piece that holds its first unit. Long white space is cut to what no
+    triple spans.
+    """
+    text = _LONG_BREAK.sub("\n" * 64, _LONG_SPACE.sub(" " * 64, text))
+    at = 0
+    while len(text) - at > PART:
+        cut = max((text.rfind(s, at, at + PART) for s in _ENDS), default=-1)
+        if cut >= at:
+            yield text[at : cut + 1], ALL
+            at = cut + 1
+        else:
+            chunk = text[at : at + PART]
+            after = int(Text([chunk]).starts[-max(SIZES)])
+            yield chunk, after
+            at += after
+    yield text[at:], ALL
+
+
+def parts(texts: list[str]) -> Iterator[tuple[list[int], Text, int]]:
+    """(numbers of texts, these texts or a piece of one, place of the first window that isn't its own), PART characters or so at a time."""
+    held: list[int] = []
+    size = 0
     for i, t in enumerate(texts):
-        if i > at and size + len(t) > PART:
-            yield at, i
-            at, size = i, 0
+        if len(t) > PART:
+            yield from (([i], Text([x]), after) for x, after in pieces(t.lower()))
+            continue
+        if held and size + len(t) > PART:
+            yield held, Text([texts[j] for j in held]), ALL
+            held, size = [], 0
+        held.append(i)
         size += len(t)
-    if texts:
-        yield at, len(texts)
+    if held:
+        yield held, Text([texts[j] for j in held]), ALL
 
 
 @dataclass(eq=False)
@@ -157,31 +191,32 @@ class Model:
     def of_texts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(margin of each text's highest window, number of its windows); -1 for a text without windows."""
         texts = [t or "" for t in texts]
-        best, count = np.full(len(texts), -1.0), np.zeros(len(texts), np.int64)
-        for a, b in parts(texts):
-            t = Text(texts[a:b])
-            first, last, owner = t.windows()
+        count = np.zeros(len(texts), np.int64)
+        high = np.full(len(texts), -np.inf)
+        for numbers, t, before in parts(texts):
+            first, last, owner = t.windows(before)
             if len(first):
-                high = np.full(b - a, -np.inf)
-                np.maximum.at(high, owner, t.margins(self.table, self.bias, first, last))
-                best[a:b] = np.where(np.isinf(high), -1.0, high)
-                count[a:b] = np.bincount(owner, minlength=b - a)
-        return best, count
+                own = np.array(numbers)[owner]
+                np.maximum.at(high, own, t.margins(self.table, self.bias, first, last))
+                count += np.bincount(own, minlength=len(texts))
+        return np.where(np.isinf(high), -1.0, high), count
 
     def highest(self, texts: list[str], seed: int) -> list[tuple[str, str]]:
         """(highest window, a window drawn by hash) of each text that has any."""
-        found = []
-        for a, b in parts(texts):
-            t = Text(texts[a:b])
-            first, last, owner = t.windows()
-            order = np.lexsort((first, -t.margins(self.table, self.bias, first, last), owner))
+        found: dict[int, tuple] = {}
+        for numbers, t, before in parts(texts):
+            first, last, owner = t.windows(before)
+            margins = t.margins(self.table, self.bias, first, last)
+            order = np.lexsort((first, -margins, owner))
             own = owner[order]
             heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else []
             ends = [*heads[1:], len(own)] if len(own) else []
             for h, e in zip(heads, ends, strict=True):
                 other = order[h + (int(first[order[h]]) * 2654435761 + seed) % (e - h)]
-                found.append(tuple(t.text[first[w] : last[w]] for w in (order[h], other)))
-        return found
+                text, margin = numbers[own[h]], float(margins[order[h]])
+                if text not in found or margin > found[text][0]:
+                    found[text] = (margin, *(t.text[first[w] : last[w]] for w in (order[h], other)))
+        return [x[1:] for _, x in sorted(found.items())]
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, c: float = 10.0) -> np.ndarray:
@@ -226,10 +261,14 @@ def _logistic(x: np.ndarray, label: np.ndarray) -> list[float]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS) -> DataFrame:
-    """(text, toxic) of at most `rows` labelled documents that aren't held out, in order of a hash of doc_id."""
+    """(doc_id, text, toxic) of at most `rows` labelled documents that aren't held out, in order of a hash of doc_id.
+
+    One row for each id however often `docs` repeats it: the text whose hash is least, so the bound holds for the rows too.
+    """
     usable = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64(F.lit("toxicity"), "doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "toxic")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    return texts.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "toxic")
 
 
 def _first_odds(labelled: DataFrame) -> np.ndarray:
@@ -241,8 +280,8 @@ def _first_odds(labelled: DataFrame) -> np.ndarray:
             texts, toxic = batch.column("text").to_pylist(), np.array(batch.column("toxic").to_pylist()) > 0
             for t in (0, 1):
                 mine = [x for x, y in zip(texts, toxic, strict=True) if y == t]
-                for a, b in parts(mine):
-                    for k, ids in spans(Text(mine[a:b]).symbols):
+                for _, piece, _ in parts(mine):
+                    for k, ids in spans(piece.symbols):
                         total[t] += sum(DECAY ** (k + 1) * np.bincount(i, minlength=SYMBOLS**3) for i in ids)
         yield pa.RecordBatch.from_arrays([pa.array(_ANY), pa.array(total[1]), pa.array(total[0])], ["triple", "toxic", "clean"])
 
@@ -275,8 +314,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_ROWS) -> Model:
     """Learn from the sentences of at most `rows` labelled documents outside the held-out fold.
 
     Documents without a label, labels without a document, and null ids or labels teach nothing; a null text is one
-    without sentences; a document labelled twice is toxic if one label says so, and repeated rows of it count as often as
-    given. Long texts are read whole. If toxic or clean documents are lacking, tables empty among others, the score is the
+    without sentences; a document labelled twice is toxic if one label says so, and an id that is repeated teaches with one
+    of its texts. Long texts are read whole. If toxic or clean documents are lacking, tables empty among others, the score is the
     share of toxic ones. Other columns may have any name.
     """
     labelled = spool(sample(docs, labels, rows), "toxicity-sample").where("toxic IS NOT NULL")

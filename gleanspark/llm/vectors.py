@@ -18,11 +18,17 @@ def usable(vector: str) -> Column:
 
 
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """Rows of one length as a matrix in double precision."""
+    """Rows of one length as a matrix in double precision, each scaled by a power of two so that no square overflows or vanishes.
+
+    Such a factor changes no digit, so cosines are those of the vectors as given.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+    rows = flat.reshape(len(column), -1)
+    _, exponent = np.frexp(np.abs(rows).max(1, initial=0.0, keepdims=True))
+    far = np.abs(exponent) > 256  # others stay far from either end when squared and summed
+    return np.ldexp(rows, np.where(far, -exponent, 0)) if far.any() else rows
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:

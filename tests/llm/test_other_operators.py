@@ -1,5 +1,9 @@
 """URL rules, vectors, components and the pipeline against brute force, and the cases that each must bear."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import numpy as np
 import pytest
@@ -340,3 +344,36 @@ def test_pipeline_bears_odd_rows(spark, tmp_path):
             assert docs.columns == [c.split()[0] for c in schema.split(", ")]
         found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert len(found) <= 3 * len(kept)
+
+
+def test_vectors_whose_squares_overflow_or_vanish(spark):
+    rows = [(0, [1e200, 0.0, 1e190], "a"), (1, [2e200, 0.0, 2e190], "a"), (2, [1e-200, 1e-200, 0.0], "a"), (3, [3e-200, 3e-200, 0.0], "a"), (4, [0.0, 1.0, 0.0], "a")]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.query_id: (r.vec_id, r.score) for r in ann.nearest(vectors, F.lit(True), k=1).collect()}
+    assert {q: v for q, (v, _) in got.items() if q < 4} == {0: 1, 1: 0, 2: 3, 3: 2} and all(got[q][1] == pytest.approx(1) for q in range(4))
+    linked = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(vectors).collect()}
+    assert linked == {0: 1, 1: 1, 2: 1, 3: 1, 4: 0}
+
+
+def test_shared_folder_where_the_setting_is_unset(tmp_path):
+    """A session of its own, as the setting of a running one can't be taken away."""
+    code = """
+from gleanspark.session import build_session
+from gleanspark.llm import common, simhash
+spark = build_session("unset", "local[2]", spark__sql__shuffle__partitions="2")
+assert not spark.conf.get("spark.checkpoint.dir", "")
+docs = spark.createDataFrame([(i, "one two three four five six seven " + str(i % 2)) for i in range(6)], "doc_id long, text string")
+assert common.shared_dir(spark) == common.shared_dir(spark)
+assert simhash.one_of_each_group(docs).count() == 2
+"""
+    env = os.environ | {"SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.pathsep.join(sys.path)}
+    done = subprocess.run([sys.executable, "-c", code], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+
+
+def test_near_copies_are_searched_once(spark, monkeypatch):
+    calls = []
+    search = simhash.near_duplicate_groups
+    monkeypatch.setattr(simhash, "near_duplicate_groups", lambda *a: calls.append(a) or search(*a))
+    assert simhash.one_of_each_group(spark.createDataFrame([(1, "a b"), (2, "a b")], "doc_id long, text string")).count() == 1
+    assert len(calls) == 1

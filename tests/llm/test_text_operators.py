@@ -76,12 +76,25 @@ def test_checksums_and_context_decide_on_added_spans(spark):
     assert [[s.kind for s in r.pii_spans] for r in got] == [["iban"], [], ["secret"], [], ["secret"]]
 
 
+def test_words_behind_an_account_number_are_not_part_of_it(spark):
+    texts = ["ES91 2100 0418 4502 0005 1332 BIC", "BE68539007547034 EUR 20", "BE68539007547034 CASH EUR"]
+    got = pii.with_spans(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [[(s.kind, s.start, s.end) for s in r.pii_spans] for r in got] == [[("iban", 0, 29)], [("iban", 0, 16)], [("iban", 0, 16)]]
+
+
 def test_masking_replaces_spans_and_nothing_else(spark):
     docs = spark.createDataFrame([("mail me@x.de or 1.2.3.4 \U0001f600 end",), ("clean",), (None,)], "text string")
     got = [r.text for r in pii.mask(pii.with_spans(docs)).collect()]
     assert got == ["mail <EMAIL> or <IP> \U0001f600 end", "clean", None]
 
 
+def test_masking_of_thousands_of_spans(spark):
+    text = "\U0001f600 write to jim@example.com, +49 170 1234567 or 10.0.0.1 " * 900
+    docs = spark.createDataFrame([(text,)], "text string")
+    expected = "\U0001f600 write to <EMAIL>, <PHONE> or <IP> " * 900
+    assert pii.mask(pii.with_spans(docs)).first().text == expected
+
+
 def test_pii_bears_odd_rows(odd, none):
     assert pii.with_spans(odd).count() == 7
     assert pii.mask(pii.with_spans(odd)).select(*odd.columns).exceptAll(odd).count() == 0
@@ -470,6 +483,35 @@ def test_toxicity_learns_from_other_folds_only(spark, sf_dir):
     assert used.where(held_out()).count() == 0
 
 
+def test_toxicity_sample_is_bounded_when_documents_repeat(spark):
+    docs = spark.createDataFrame([(1, "same")] * 300 + [(1, f"other {i}") for i in range(300)] + [(i, f"text {i}") for i in range(3, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity.sample(docs, labels, rows=20).collect()
+    assert len(got) == 20 and len({r.doc_id for r in got}) == 20
+
+
+@pytest.mark.parametrize("joint", [" ", ". ", "", "\n"])
+def test_pieces_of_a_long_text_have_the_windows_of_the_whole(monkeypatch, joint):
+    rng = np.random.default_rng(4)
+    model = toxicity.Model((toxicity._WHOLE * rng.standard_normal(28**3)).astype(np.float32), 0.25)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(1, 40))) for _ in range(2000)]
+    text = joint.join(words) + " " * 50
+    whole = model.of_texts([text, "short", text[:500]])
+    monkeypatch.setattr(toxicity, "PART", 700)
+    cut = model.of_texts([text, "short", text[:500]])
+    assert np.allclose(whole[0], cut[0], atol=1e-4) and whole[1].tolist() == cut[1].tolist()
+
+
+def test_a_text_of_tens_of_megabytes_takes_bounded_memory():
+    import resource
+
+    model = toxicity.Model((toxicity._WHOLE * np.random.default_rng(3).standard_normal(28**3)).astype(np.float32), 0.0)
+    text = "no stop in this one " * 500_000 + "x" * 200_000
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert model.of_texts([text])[1][0] > 1_000_000
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000  # kilobytes; 124 bytes a character would be 1.2 million
+
+
 def test_toxicity_of_held_out_documents(spark):
     sf_dir = "/root/testdata/sf0.1"
     got = toxicity.op9_toxicity(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").where("held_out").toPandas()
