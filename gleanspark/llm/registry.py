@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("url_filter", "pii", "simhash", "mixing", "huffman_store", "toxicity", "langid", "unigram", "embedding_dedup", "ann", "quality", "filter_audit")
+MODULES = ("url_filter", "pii", "simhash", "mixing", "huffman_store", "toxicity", "langid", "unigram", "embedding_dedup", "ann", "quality", "filter_audit", "lexical")
 
 
 def _modules():
