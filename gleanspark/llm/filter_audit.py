@@ -26,7 +26,7 @@ from gleanspark.llm.common import quoted, spool, table
 WORD = r"[^\x20\x09-\x0D]+"
 FILTERS = "ABCDE"
 FIRST, GROWTH = 64, 16
-SALTS = 64
+SALTS = 8
 
 
 def conditions(text: Column) -> dict[str, Column]:
@@ -65,6 +65,7 @@ def refined(marked: DataFrame, steps: int) -> DataFrame:
 
 
 def _salted(df: DataFrame) -> DataFrame:
+    """A row of `df` for every salt. What is salted here grows with the documents, so it is never broadcast."""
     return df.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
 
 
@@ -88,11 +89,11 @@ def with_copies(docs: DataFrame, keep: Sequence[str] = (), doc_id: str = "doc_id
     shared = spool(refined(marked, steps[0] if steps else 0).select("class"), "shared-classes")
 
     texts = hashed.where("doc_id IS NOT NULL").select("class", "doc_id", "text").withColumn("salt", _salt("doc_id"))
-    survivors = texts.join(_salted(shared), ["class", "salt"], "left_semi")
+    survivors = texts.join(_salted(shared).hint("merge"), ["class", "salt"], "left_semi")
     same = spool(survivors.groupBy("class", "text").agg(F.min("doc_id").alias("least")), "equal-texts")
     one = same.groupBy("class").agg(F.count("*").alias("texts"), F.min("least").alias("least"))
     mixed = spool(one.where("texts > 1").select("class"), "mixed-classes")
-    salted = marked.withColumn("salt", _salt("doc_id")).join(_salted(one.where("texts = 1").select("class", "least")), ["class", "salt"], "left")
+    salted = marked.withColumn("salt", _salt("doc_id")).join(_salted(one.where("texts = 1").select("class", "least")).hint("merge"), ["class", "salt"], "left")
     rows = salted.join(mixed, "class", "left_anti") if (few := mixed.limit(1).count()) else salted
     found = rows.select("doc_id", F.coalesce(F.col("doc_id") > F.col("least"), F.lit(False)).alias("copy"), *[quoted(k) for k in keep])
     if few:  # classes that hash alike but differ: their rows are told apart by the text itself

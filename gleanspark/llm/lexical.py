@@ -20,7 +20,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -156,37 +156,35 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     spark = docs.sparkSession
     plain = docs.select(quoted(doc_id).cast("long").alias("doc_id"), quoted(text).cast("binary").alias("text"))
     plain = plain.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "text"))
-    total = plain.select(n_terms("text").alias("n")).where("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
+    total = plain.select(n_terms("text").alias("n")).agg(F.count_if(F.col("n") > 0).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     n_docs, all_terms = total.docs, total.terms
     splits, share = _learn(plain, n_docs)
     sent = spark.sparkContext.broadcast(splits)  # 2 ** DEPTH - 1 splits of DIMS weights: 4 MB
 
-    @F.arrow_udf("struct<leaf:int,terms:array<binary>,gains:array<long>>")
-    def posted(texts: pa.Array) -> pa.Array:
-        made = []
-        for at in range(0, len(texts), _TEXTS):
-            counted = [Counter(terms(x.as_py())) for x in texts.slice(at, _TEXTS)]
-            sizes = np.array([len(c) for c in counted])
-            owner = np.repeat(np.arange(len(counted)), sizes)
-            tf = np.fromiter((v for c in counted for v in c.values()), np.int64)
-            length = np.bincount(owner, tf, len(counted)).astype(np.int64)
-            m = 75 + 25 * length * n_docs // max(all_terms, 1)
-            gains = 1_000_000_000 * tf // (1000 * tf + 12 * m[owner])
-            flat = [t for c in counted for t in c]
-            leaves = sent.value.leaves(dims_of(flat), owner, len(counted))
-            ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(flat, pa.binary())), pa.ListArray.from_arrays(ends, pa.array(gains))]
-            made.append(pa.StructArray.from_arrays([pa.array(leaves, pa.int32()), *lists], ["leaf", "terms", "gains"]))
-        kind = pa.struct([("leaf", pa.int32()), ("terms", pa.list_(pa.binary())), ("gains", pa.list_(pa.int64()))])
-        return pa.concat_arrays(made) if made else pa.array([], kind)
+    def posted(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, _TEXTS):  # small parts, so that a worker's memory doesn't follow the batch
+                part = batch.slice(at, _TEXTS)
+                counted = [Counter(terms(x.as_py())) for x in part.column("text")]
+                part = part.select(["doc_id", "h"]).filter(pa.array([bool(c) for c in counted]))
+                counted = [c for c in counted if c]
+                sizes = np.array([len(c) for c in counted], np.int64)
+                owner = np.repeat(np.arange(len(counted)), sizes)
+                tf = np.fromiter((v for c in counted for v in c.values()), np.int64)
+                m = 75 + 25 * np.bincount(owner, tf, len(counted)).astype(np.int64) * n_docs // max(all_terms, 1)
+                gains = 1_000_000_000 * tf // (1000 * tf + 12 * m[owner])
+                flat = [t for c in counted for t in c]
+                leaves = sent.value.leaves(dims_of(flat), owner, len(counted))
+                ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(flat, pa.binary())), pa.ListArray.from_arrays(ends, pa.array(gains))]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves, pa.int32()), *lists], ["doc_id", "h", "leaf", "terms", "gains"])
 
     of_shard = max(SHARD, n_docs // SHARDS)
     slices = np.maximum(1, np.ceil(share * n_docs / of_shard)).astype(int)
     first = np.cumsum(slices) - slices
-    pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("p.leaf") + 1)
+    pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("leaf") + 1)
     shard = (pick(first) + F.pmod("h", pick(slices))).cast("int")
-    rows = plain.select("doc_id", "h", posted("text").alias("p")).where(F.size("p.terms") > 0)
-    rows = rows.select(shard.alias("shard"), "doc_id", F.col("p.terms").alias("terms"), F.col("p.gains").alias("gains"))
+    rows = plain.mapInArrow(posted, "doc_id long, h long, leaf int, terms array<binary>, gains array<long>").select(shard.alias("shard"), "doc_id", "terms", "gains")
     return Index(spool(rows.repartition("shard").sortWithinPartitions("shard"), "lexical-index"), n_docs, int(slices.sum()))
 
 
@@ -204,11 +202,16 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten(), np.append(0, np.cumsum(sizes)).astype(np.int64)
 
 
+def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, so that a worker's memory doesn't follow the size that they come in."""
+    return (batch.slice(at, 4 * _TEXTS) for batch in batches for at in range(0, batch.num_rows, 4 * _TEXTS))
+
+
 def _narrow(vocabulary: pa.Array):
     """Rows of the index with the terms of a block of queries only, as numbers."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _parts(batches):
             flat, ends = _flat(batch.column("terms"))
             ids = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
             gains = batch.column("gains").flatten().to_numpy(zero_copy_only=False)
