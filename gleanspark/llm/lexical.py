@@ -22,6 +22,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +115,8 @@ def bisect(documents: list[np.ndarray], depth: int) -> Splits:
 
 @dataclass(frozen=True)
 class Index:
-    """`rows`: shard, doc_id, terms, gains, one a document that has terms; `n_docs` of them; `n_shards` numbers of shards."""
+    """`rows`: shard, doc_id, terms (between spaces), gains (packed), one a document that has terms; `n_docs` of them; `n_shards`
+    numbers of shards."""
 
     rows: DataFrame
     n_docs: int
@@ -173,18 +175,16 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                 tf = np.fromiter((v for c in counted for v in c.values()), np.int64)
                 m = 75 + 25 * np.bincount(owner, tf, len(counted)).astype(np.int64) * n_docs // max(all_terms, 1)
                 gains = 1_000_000_000 * tf // (1000 * tf + 12 * m[owner])
-                flat = [t for c in counted for t in c]
-                leaves = sent.value.leaves(dims_of(flat), owner, len(counted))
-                ends = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-                lists = [pa.ListArray.from_arrays(ends, pa.array(flat, pa.binary())), pa.ListArray.from_arrays(ends, pa.array(gains))]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves, pa.int32()), *lists], ["doc_id", "h", "leaf", "terms", "gains"])
+                leaves = sent.value.leaves(dims_of(t for c in counted for t in c), owner, len(counted))
+                words = pa.array([b" ".join(c) for c in counted], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(leaves, pa.int32()), words, packed(gains, np.append(0, np.cumsum(sizes)))], ["doc_id", "h", "leaf", "terms", "gains"])
 
     of_shard = max(SHARD, n_docs // SHARDS)
     slices = np.maximum(1, np.ceil(share * n_docs / of_shard)).astype(int)
     first = np.cumsum(slices) - slices
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("leaf") + 1)
     shard = (pick(first) + F.pmod("h", pick(slices))).cast("int")
-    rows = plain.mapInArrow(posted, "doc_id long, h long, leaf int, terms array<binary>, gains array<long>").select(shard.alias("shard"), "doc_id", "terms", "gains")
+    rows = plain.mapInArrow(posted, "doc_id long, h long, leaf int, terms binary, gains binary").select(shard.alias("shard"), "doc_id", "terms", "gains")
     return Index(spool(rows.repartition("shard").sortWithinPartitions("shard"), "lexical-index"), n_docs, int(slices.sum()))
 
 
@@ -196,10 +196,15 @@ def _shard_runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, int]]:
         yield int(shards[a]), a, b
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(values of all lists, where each list begins and the last one ends)."""
-    sizes = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    return column.flatten(), np.append(0, np.cumsum(sizes)).astype(np.int64)
+def packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Runs of numbers below 2 ** 31 as one value each, little-endian 32-bit integers: flat columns cost tasks far less than arrays."""
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * 4).astype("<i4")), pa.py_buffer(values.astype("<i4"))])
+
+
+def unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of all rows, where each row's begin and the last ones end)."""
+    ends = np.append(0, np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False))).astype(np.int64) // 4
+    return np.frombuffer(b"".join(x.as_buffer() for x in column), "<i4"), ends
 
 
 def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,18 +212,17 @@ def _parts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (batch.slice(at, 4 * _TEXTS) for batch in batches for at in range(0, batch.num_rows, 4 * _TEXTS))
 
 
-def _narrow(vocabulary: pa.Array):
+def _narrow(vocabulary):
     """Rows of the index with the terms of a block of queries only, as numbers."""
 
     def run(batches):
         for batch in _parts(batches):
-            flat, ends = _flat(batch.column("terms"))
-            ids = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy(zero_copy_only=False)
-            gains = batch.column("gains").flatten().to_numpy(zero_copy_only=False)
+            words = b" ".join(x.as_py() for x in batch.column("terms")).split(b" ")
+            ids = np.fromiter(map(vocabulary.value.get, words, repeat(-1)), np.int32, len(words))
+            gains, ends = unpacked(batch.column("gains"))
             known = ids >= 0
-            ends = pa.array(np.append(0, np.cumsum(known))[ends], pa.int32())
-            lists = [pa.ListArray.from_arrays(ends, pa.array(x[known])) for x in (ids.astype(np.int32), gains)]
-            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), *lists], ["shard", "doc_id", "ids", "gains"])
+            ends = np.append(0, np.cumsum(known))[ends]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("doc_id"), packed(ids[known], ends), packed(gains[known], ends)], ["shard", "doc_id", "ids", "gains"])
 
     return run
 
@@ -226,14 +230,13 @@ def _narrow(vocabulary: pa.Array):
 def _bounds(batches):
     """(shard, id, largest gain, documents that hold the term) of each run of a shard."""
     for batch in batches:
-        ids, ends = _flat(batch.column("ids"))
-        ids, gains = (x.to_numpy(zero_copy_only=False) for x in (ids, batch.column("gains").flatten()))
+        (ids, ends), (gains, _) = (unpacked(batch.column(c)) for c in ("ids", "gains"))
         for shard, a, b in _shard_runs(batch):
             mine, gain = ids[ends[a] : ends[b]], gains[ends[a] : ends[b]]
             if len(mine):
                 order = np.argsort(mine, kind="stable")
                 starts = np.flatnonzero(np.append(True, np.diff(mine[order]) > 0))
-                top = np.maximum.reduceat(gain[order], starts)
+                top = np.maximum.reduceat(gain[order], starts).astype(np.int64)
                 n = np.diff(np.append(starts, len(mine)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(starts), shard, np.int32)), pa.array(mine[order][starts]), pa.array(top), pa.array(n)], ["shard", "id", "top", "n"])
 
@@ -253,7 +256,7 @@ class _Block:
         low, high = np.searchsorted(ids, self.ids[q]), np.searchsorted(ids, self.ids[q], "right")
         size = high - low
         at = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        parts = np.repeat(self.weights[q], size) * gains[at]
+        parts = np.repeat(self.weights[q], size) * gains[at].astype(np.int64)
         if self.exact[q]:
             return np.bincount(owner[at], parts, n).astype(np.int64)
         out = np.zeros(n, np.int64)
@@ -266,8 +269,7 @@ def _visit(block, visits, least: np.ndarray, k: int):
 
     def run(batches):
         for batch in batches:
-            ids, ends = _flat(batch.column("ids"))
-            ids, gains = (x.to_numpy(zero_copy_only=False) for x in (ids, batch.column("gains").flatten()))
+            (ids, ends), (gains, _) = (unpacked(batch.column(c)) for c in ("ids", "gains"))
             nameless = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             names = pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False)
             queries, rows, scores = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -305,7 +307,8 @@ def _search_block(index: Index, entries: list, k: int) -> DataFrame:
     words = sorted({bytes(t) for _, t, _ in entries})
     number = {t: i for i, t in enumerate(words)}
     n_queries = max(q for q, _, _ in entries) + 1
-    narrow = spool(index.rows.mapInArrow(_narrow(pa.array(words, pa.binary())), "shard int, doc_id long, ids array<int>, gains array<long>"), "block-postings")
+    sent = spark.sparkContext.broadcast(number)  # ENTRIES terms or so
+    narrow = spool(index.rows.mapInArrow(_narrow(sent), "shard int, doc_id long, ids binary, gains binary"), "block-postings")
     bounds = narrow.mapInArrow(_bounds, "shard int, id int, top long, n long").groupBy("shard", "id").agg(F.max("top").alias("top"), F.sum("n").alias("n"))
     bounds = spool(bounds, "block-bounds")
     df = {r.id: r.n for r in bounds.groupBy("id").agg(F.sum("n").alias("n")).collect()}  # one a term of the block
