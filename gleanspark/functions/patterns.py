@@ -9,20 +9,6 @@ def any_of(words: Iterable[str]) -> str:
     return f"(?:{'|'.join(words)})"
 
 
-def word_in(words: Iterable[str]) -> str:
-    """One of these words or phrases as a whole, in any case of letters."""
-    return rf"(?i)\b{any_of(words)}\b"
-
-
-def ends_with(words: Iterable[str]) -> str:
-    """A text that ends with one of these words or phrases."""
-    return rf"(?i)\b{any_of(words)}\s*$"
-
-
 def starts_with(words: Iterable[str]) -> str:
+    """A text that begins with one of these words or phrases, in any case of letters."""
     return rf"(?i)^\s*{any_of(words)}\b"
-
-
-def part_of_label(words: Iterable[str], last: bool = False) -> str:
-    """One of these among the parts of a label that underscores separate, or as its last part."""
-    return rf"(?:^|_){any_of(words)}(?:{'' if last else '_|'}$)"

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanspark.functions.patterns import any_of
+from gleanspark.functions import fixed
 from gleanspark.functions.strings import slug
 from gleanspark.functions.urls import file_extension, file_type
 from gleanspark.sources.tables import table
@@ -227,30 +227,18 @@ def chrome_share(e: DataFrame, key: str = "page_id") -> DataFrame:
     return e.groupBy(key).agg(F.count("*").alias("elements"), F.sum(F.col("chrome").cast("long")).alias("chrome"))
 
 
-# What security checks and closed pages say.
-CHALLENGES = (
-    "just a moment", "attention required", "checking your browser", "verify(?:ing)? you are (?:a )?human", "performing security verification",
-    "security check to access", "are you a robot", "enable javascript and cookies to continue", "ddos protection by", "cf-browser-verification",
-    "captcha", "access denied", "request blocked", "unusual traffic from your computer", "press (?:&|and) hold", "bot detection",
-    "you have been blocked", "error 1020", r"bots use \w+ too", "confirm (?:this search|that you) (?:was made by|are) a human",
-    "select all (?:squares|images) (?:containing|with)",
-)
-ENTER, THEN = ("sign in", "log in", "login"), ("continue", "view", "access", "read")
-CLOSED = (f"{any_of(ENTER)} to {any_of(THEN)}", "subscribe to (?:continue|read)", "create (?:a free|an) account to", "this content is for (?:subscribers|members)")
-
-
 def _opening(title: Column, text: Column, most: int) -> Column:
     return F.concat_ws(" ", title, F.substring(text, 1, most))
 
 
 def is_challenge(title: Column, text: Column) -> Column:
     """Whether a page is a security check rather than content."""
-    return _opening(title, text, 1500).rlike(f"(?i){any_of(CHALLENGES)}")
+    return _opening(title, text, 1500).rlike(fixed.CHALLENGE)
 
 
 def is_login_wall(title: Column, text: Column) -> Column:
     """Whether a page asks to sign in or subscribe before it shows its content."""
-    return _opening(title, text, 3000).rlike(rf"(?i)\b{any_of(CLOSED)}")
+    return _opening(title, text, 3000).rlike(fixed.LOGIN)
 
 
 # --- queries
