@@ -26,6 +26,7 @@ MODULES = (
     "gleanspark.operators.periods",
     "gleanspark.operators.concepts",
     "gleanspark.operators.relevance",
+    "gleanspark.operators.scoring",
 )
 
 
