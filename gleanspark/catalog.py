@@ -27,6 +27,8 @@ MODULES = (
     "gleanspark.operators.concepts",
     "gleanspark.operators.relevance",
     "gleanspark.operators.scoring",
+    "gleanspark.sources.pagetables",
+    "gleanspark.sources.assembly",
 )
 
 

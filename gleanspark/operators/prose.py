@@ -80,8 +80,8 @@ def period_of(sentence: Column, value: Column, periods: Column) -> Column:
     return F.when(F.size(periods) == 1, F.element_at(periods, 1)).otherwise(F.array_min(years)["year"])
 
 
-def statements(texts: DataFrame, today: date, key: str = "page_id", pos: str = "pos", text: str = "text") -> DataFrame:
-    """(key, method, statement, value, change, period, place) from (key, pos, text) paragraphs.
+def statements(texts: DataFrame, today: date, key: str = "page_id", pos: str = "pos", text: str = "text", at: str | None = None) -> DataFrame:
+    """(key, method, statement, value, change, period, place) from (key, pos, text) paragraphs; in `at`, if named, their pos.
 
     Sentences of 25 to 320 characters with a level or a change, once a page. Undated ones need a level and are kept up to
     15 a page; 60 a page in all, the first in order.
@@ -100,13 +100,13 @@ def statements(texts: DataFrame, today: date, key: str = "page_id", pos: str = "
     rows = rows.withColumn("_n", nth).where((F.col("method") == "text_statement") | (F.col("_n") <= MAX_UNDATED))
     rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("_n") <= MAX_ROWS)
     period = F.when(F.col("method") == "text_statement", period_of(F.col("statement"), F.coalesce("level", "change"), F.col("periods")))
-    return rows.select(key, "method", "statement", F.col("level").alias("value"), F.when((F.col("method") == "text_statement"), F.col("change")).alias("change"), period.alias("period"), F.col("_n").alias("place"))
+    return rows.select(key, "method", "statement", F.col("level").alias("value"), F.when((F.col("method") == "text_statement"), F.col("change")).alias("change"), period.alias("period"), F.col("_n").alias("place"), *([F.col(f"place.{pos}").alias(at)] if at else []))
 
 
-def page_statements(e: DataFrame, today: date, key: str = "page_id") -> DataFrame:
+def page_statements(e: DataFrame, today: date, key: str = "page_id", at: str | None = None) -> DataFrame:
     """Statements in the paragraphs and items of pages, outside tables and chrome."""
     nodes = e.where("tag IN ('p', 'li', 'figcaption', 'blockquote', 'dd') AND tbl IS NULL AND NOT chrome")
-    return statements(nodes.select(key, F.col("n").alias("pos"), "text"), today, key)
+    return statements(nodes.select(key, F.col("n").alias("pos"), "text"), today, key, at=at)
 
 
 TODAY = date(2026, 9, 30)

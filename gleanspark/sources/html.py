@@ -34,8 +34,9 @@ GENERIC_LABELS = (
     "know more", "see details", "view details", "view pdf", "download pdf", "attachment",
 )
 MAX_TEXT = 1000
+BODY_TEXT = 4000  # what any rule reads of a page's whole text
 CONTAINERS = ("html", "body", "table", "tbody", "thead", "tr", "ul", "ol")
-_FIELDS = {"n": "int", "parent": "int", "tag": "string", "classes": "string", "name": "string", "href": "string", "content": "string", "span": "int", "chrome": "boolean", "tbl": "int", "tr": "int", "lst": "int", "li": "int", "head": "boolean", "text": "string"}
+_FIELDS = {"n": "int", "parent": "int", "tag": "string", "classes": "string", "name": "string", "href": "string", "content": "string", "span": "int", "chrome": "boolean", "tbl": "int", "tr": "int", "lst": "int", "li": "int", "head": "boolean", "above": "int", "text": "string"}
 ELEMENTS = ", ".join(f"{k} {v}" for k, v in _FIELDS.items())
 
 
@@ -47,6 +48,7 @@ class _Reader(HTMLParser):
         self.rows: list[dict] = []
         self.open: list[dict] = []
         self.pieces: list[tuple[str, int]] = []  # each text once, with the element right around it
+        self.above: int | None = None  # the last heading so far
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {k: v or "" for k, v in attrs}
@@ -58,7 +60,9 @@ class _Reader(HTMLParser):
         own = {"n": n, "parent": up.get("n", -1), "tag": tag, "classes": a.get("class"), "name": name, "href": a.get("href"), "content": a.get("content") or a.get("datetime"), "chrome": chrome and tag not in ("html", "body")}
         own["span"] = min(20, max(1, int(a["colspan"]))) if a.get("colspan", "").isdigit() else 1
         own |= {k: n if tag in tags else up.get(k) for k, tags in (("tbl", ("table",)), ("tr", ("tr",)), ("lst", ("ul", "ol")), ("li", ("li",)))}
-        own |= {"head": tag == "thead" or bool(up.get("head")), "begin": len(self.pieces), "end": None}
+        own |= {"head": tag == "thead" or bool(up.get("head")), "above": self.above, "begin": len(self.pieces), "end": None}
+        if tag in ("h1", "h2", "h3", "h4"):
+            self.above = n
         self.rows.append(own)
         if tag not in VOID:
             self.open.append(own)
@@ -77,10 +81,14 @@ class _Reader(HTMLParser):
             self.pieces.append((data, self.open[-1]["n"]))
 
     def text_of(self, own: dict, most: int | None) -> str:
-        """The text inside an element, of containers only their own, up to `most` characters where a number is given."""
-        alone, words, size = own["tag"] in CONTAINERS, [], 0
+        """The text inside an element, of containers only their own, up to `most` characters where a number is given.
+
+        The body's is what a reader sees first, BODY_TEXT characters of it, scripts and styles left out.
+        """
+        body = own["tag"] == "body"
+        alone, words, size, most = own["tag"] in CONTAINERS and not body, [], 0, BODY_TEXT if body else most
         for data, inner in self.pieces[own["begin"] : own["end"]]:
-            if not alone or inner == own["n"]:
+            if (not alone or inner == own["n"]) and not (body and self.rows[inner]["tag"] in ("script", "style", "noscript", "template")):
                 words += data.split()
                 size += len(data)
                 if most is not None and size > 2 * most and len(" ".join(words)) >= most:
