@@ -161,7 +161,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"observations_of_customers": _customers, "observations_of_pages": _pages}
-_PLAIN = "replace(replace(replace(regexp_replace(trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
+_PLAIN = "replace(replace(replace(replace(replace(regexp_replace(trim(regexp_replace(regexp_replace({}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), '\\s+', ' ', 'g'), '&quot;', chr(34)), '&#x27;', chr(39)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')"
 ORACLE = {
     "observations_of_customers": """WITH c AS (SELECT c_custkey AS page_id, CAST(c_custkey AS VARCHAR) AS k, CAST(c_nationkey + 1995 AS VARCHAR) AS y, CAST(c_nationkey + 1996 AS VARCHAR) AS z,
   CAST(CAST(floor(abs(c_acctbal)) AS BIGINT) AS VARCHAR) AS p, c_mktsegment AS s FROM customer)
