@@ -29,6 +29,7 @@ MODULES = (
     "gleanspark.operators.scoring",
     "gleanspark.sources.pagetables",
     "gleanspark.sources.assembly",
+    "gleanspark.sources.jsonlists",
 )
 
 
