@@ -30,6 +30,8 @@ MODULES = (
     "gleanspark.sources.pagetables",
     "gleanspark.sources.assembly",
     "gleanspark.sources.jsonlists",
+    "gleanspark.operators.requests",
+    "gleanspark.operators.mentions",
 )
 
 
