@@ -32,6 +32,7 @@ MODULES = (
     "gleanspark.sources.jsonlists",
     "gleanspark.operators.requests",
     "gleanspark.operators.mentions",
+    "gleanspark.operators.listings",
 )
 
 
