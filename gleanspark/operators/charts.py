@@ -33,24 +33,22 @@ def unit_of(value: Column) -> Column:
 
 
 def numeric_parameters(cells: DataFrame, today: date) -> DataFrame:
-    """Columns that mostly hold quantities, with their unit, points and what a chart of them would show."""
+    """Columns that mostly hold quantities, with their unit, points and what a chart of them would show.
+
+    Values repeat, so each distinct one of a column is typed once; periods and series are counted among their distinct pairs.
+    """
     usable = cells.where(chartable() & (F.col("value") != ""))
-    seen = usable.withColumns({"quantity": value_kind(F.col("value"), today).isin("money", "percent", "number"), "unit": unit_of(F.col("value"))})
-    found = seen.groupBy("name").agg(
-        F.count("*").alias("filled"),
-        F.sum(F.col("quantity").cast("long")).alias("points"),
-        F.count_distinct(F.when(F.col("period") != "", F.col("period"))).alias("periods"),
-        F.min(F.when(F.col("period") != "", F.col("period"))).alias("period_min"),
-        F.max(F.when(F.col("period") != "", F.col("period"))).alias("period_max"),
-        F.count_distinct("series").alias("series_count"),
-    )
+    values = usable.groupBy("name", "value").agg(F.count("*").alias("n"))
+    typed = values.select("name", "n", value_kind(F.col("value"), today).isin("money", "percent", "number").alias("quantity"), unit_of(F.col("value")).alias("unit"))
+    by_unit = typed.groupBy("name", "unit").agg(F.sum("n").alias("filled"), F.sum(F.when(F.col("quantity"), F.col("n")).otherwise(0)).alias("n"))
+    shown = F.col("unit").isNotNull() & (F.col("n") > 0)
+    found = by_unit.groupBy("name").agg(F.sum("filled").alias("filled"), F.sum("n").alias("points"), F.max(F.when(shown, F.struct("n", "unit"))).alias("modal"))
     found = found.where((F.col("points") >= 2) & (F.col("points") >= NUMERIC_SHARE * F.col("filled")))
-    units = seen.where("quantity AND unit IS NOT NULL").groupBy("name", "unit").agg(F.count("*").alias("n"))
-    modal = units.groupBy("name").agg(F.max_by("unit", F.struct("n", "unit")).alias("unit"), F.max("n").alias("n"))
-    both = found.join(modal, "name", "left")
+    pairs = usable.select("name", F.nullif("period", F.lit("")).alias("period"), "series").distinct()
+    spans = pairs.groupBy("name").agg(F.count_distinct("period").alias("periods"), F.min("period").alias("period_min"), F.max("period").alias("period_max"), F.count_distinct("series").alias("series_count"))
     kind = F.when(F.col("periods") >= 2, "period").otherwise("category")
-    unit = F.when(F.col("n") * 2 >= F.col("points"), F.col("unit")).otherwise("")
-    return both.select("name", F.coalesce(unit, F.lit("")).alias("unit"), "points", kind.alias("x_kind"), "period_min", "period_max", "series_count")
+    unit = F.when(F.col("modal.n") * 2 >= F.col("points"), F.col("modal.unit")).otherwise("")
+    return found.join(spans, "name").select("name", F.coalesce(unit, F.lit("")).alias("unit"), "points", kind.alias("x_kind"), "period_min", "period_max", "series_count")
 
 
 def dimensions(cells: DataFrame, numeric: list[str]) -> DataFrame:
