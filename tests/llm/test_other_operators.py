@@ -190,7 +190,7 @@ def test_nearest_bears_odd_rows(vectors, monkeypatch):
 def test_query_equals_its_sql(spark, name):
     sf_dir = "/root/testdata/sf0.01"
     db = duckdb.connect()
-    for t in ("documents", "embeddings", "pages"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     theirs = db.execute(registry.oracle_sql()[name])
     names = [d[0] for d in theirs.description]
@@ -200,7 +200,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in registry.queries()) == list(range(1, 14))
 
 
 def test_pipeline_stages_do_what_their_operators_say(spark, sf_dir):
