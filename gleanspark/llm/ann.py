@@ -9,10 +9,10 @@ anything nearer would then have collided often enough with a chance of 0.95 or m
 share CANDIDATES of the block are candidates; or when all are covered. Where neighbours stand out (copies, clusters) the
 first rule ends a search after few candidates; among vectors without any structure only the second does.
 
-Vectors are dealt into blocks of about BLOCK and queries into blocks of about QUERY_BLOCK; every pair of blocks is one
-group, so a task holds one block of each whatever the size of the tables. The k best of each group are merged. A stated
-set of queries against all rows stays a product of the two, cut by the candidates' share; blocks keep what is moved to a
-copy of the vectors for every QUERY_BLOCK queries.
+Vectors are dealt into blocks of about BLOCK, each of which is indexed once; queries stream past every block, so a task holds
+one block whatever the number of queries. Only while there are fewer blocks than tasks are blocks copied, for one part of the
+queries each. The k best of each block are merged. A stated set of queries against all rows stays a product of the two, cut by
+the candidates' share; what moves is each vector once and each query once a block.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanspark.llm.common import quoted, shuffle_partitions, spool, table
-from gleanspark.llm.vectors import matrix, runs, unit, usable
+from gleanspark.llm.vectors import matrix, pieces, unit, usable
 
 NEAREST = 5
 PROJECTIONS = 96
@@ -88,37 +88,47 @@ def verified(index: SortedProjections, windows: tuple, k: int, least: int, cosin
 
 
 def _search(k: int, share: float):
+    """(row, vec_id, score) of the k nearest in a block of vectors of every query that is dealt to it.
+
+    A group's vectors come first and are indexed once; its queries then stream past, so a task holds one block whatever
+    the number of queries.
+    """
+
     def run(batches):
-        for group in runs(batches, ["dim", "qb", "vb"]):
-            ids = group.column("id").to_numpy()
-            x = matrix(group.column("embedding"))
-            asks = group.column("asks").to_numpy(zero_copy_only=False)
-            rows, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-            if not len(rows) or not len(queries):
+        group, held, index = None, [], None
+        for (*now, asks), piece in pieces(batches, ["dim", "qb", "vb", "asks"]):
+            if now != group:
+                group, held, index = now, [], None
+            if not asks:
+                held.append(piece)
+                continue
+            if not held:
                 continue
-            own, base, norm = group.column("row").to_numpy(), x[rows], np.linalg.norm(x, axis=1)
-            index = SortedProjections(unit(base))
-            least = min(k + 1 + SPARE + int(share * len(rows)), len(rows))
-            out_q, out_v, out_s = [], [], []
-            for at in range(0, len(queries), ASKED_AT_ONCE):
-                part = queries[at : at + ASKED_AT_ONCE]
-                low, high = index.windows(x[part] / norm[part, None])
-                for q, *windows in zip(part.tolist(), low, high, strict=True):
-
-                    def cosine(hits: np.ndarray, q: int = q) -> np.ndarray:
-                        near = rows[hits]
-                        cos = (x[near] * x[q]).sum(1) / (norm[near] * norm[q])
-                        cos[own[near] == own[q]] = -np.inf
+            if index is None:
+                block = pa.Table.from_batches(held)
+                ids, own, base = block.column("id").to_numpy(), block.column("row").to_numpy(), matrix(block.column("embedding"))
+                norm, index = np.linalg.norm(base, axis=1), SortedProjections(unit(base))
+                least = min(k + 1 + SPARE + int(share * len(base)), len(base))
+            asked, rows = matrix(piece.column("embedding")), piece.column("row").to_numpy()
+            for at in range(0, len(asked), ASKED_AT_ONCE):
+                x, mine = asked[at : at + ASKED_AT_ONCE], rows[at : at + ASKED_AT_ONCE]
+                sizes = np.linalg.norm(x, axis=1)
+                low, high = index.windows(x / sizes[:, None])
+                out_q, out_v, out_s = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+                for i, *windows in zip(range(len(x)), low, high, strict=True):
+
+                    def cosine(hits: np.ndarray, i: int = i, x: np.ndarray = x, sizes: np.ndarray = sizes, mine: np.ndarray = mine) -> np.ndarray:
+                        cos = (base[hits] * x[i]).sum(1) / (norm[hits] * sizes[i])
+                        cos[own[hits] == mine[i]] = -np.inf
                         return cos
 
                     hits, cos = verified(index, windows, k, least, cosine)
-                    best = np.lexsort((ids[rows[hits]], -cos))[:k]
+                    best = np.lexsort((ids[hits], -cos))[:k]
                     best = best[np.isfinite(cos[best])]
-                    out_q += [own[q]] * len(best)
-                    out_v.append(ids[rows[hits[best]]])
+                    out_q.append(np.full(len(best), mine[i]))
+                    out_v.append(ids[hits[best]])
                     out_s.append(cos[best])
-            flat = lambda a, t: pa.array(np.concatenate(a) if a else np.zeros(0), t)
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), flat(out_v, pa.int64()), flat(out_s, pa.float64())], ["row", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)) for a in (out_q, out_v, out_s)], ["row", "vec_id", "score"])
 
     return run
 
@@ -136,13 +146,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, vec_id: str
     good = spool(good.where(usable("embedding") & F.col("id").isNotNull()).withColumns({"dim": F.size("embedding"), "row": F.monotonically_increasing_id()}), "vectors")
     counts = {r.is_query: r.n for r in good.groupBy("is_query").agg(F.count("*").alias("n")).collect()}
     blocks = -(-sum(counts.values()) // BLOCK)
-    asked = -(-counts.get(True, 0) // QUERY_BLOCK)
+    # Vectors are copied only as far as there are tasks without a block of their own.
+    asked = min(-(-counts.get(True, 0) // QUERY_BLOCK), -(-shuffle_partitions(spark) // max(blocks, 1)))
     part = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "row"), F.lit(max(n, 1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(max(n, 1) - 1)))
     columns = ["row", "id", "embedding", "dim", "asks", "qb", "vb"]
     rows = good.withColumns({"asks": F.lit(False), "vb": part(blocks, "block")}).withColumn("qb", every(asked)).select(*columns)
     queries = good.where("is_query").withColumns({"asks": F.lit(True), "qb": part(asked, "query")}).withColumn("vb", every(blocks)).select(*columns)
-    dealt = queries.unionByName(rows).repartition(max(shuffle_partitions(spark), 1), "dim", "qb", "vb").sortWithinPartitions("dim", "qb", "vb")
+    dealt = queries.unionByName(rows).repartition(max(shuffle_partitions(spark), 1), "dim", "qb", "vb").sortWithinPartitions("dim", "qb", "vb", "asks")
     found = spool(dealt.mapInArrow(_search(k, share), "row long, vec_id long, score double"), "neighbours")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k)
     return ranked.join(good.where("is_query").select("row", F.col("id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")

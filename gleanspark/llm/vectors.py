@@ -61,3 +61,17 @@ def runs(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Tabl
         last = tuple(part.column(k)[part.num_rows - 1].as_py() for k in keys)
     if held:
         yield pa.concat_tables(held)
+
+
+def pieces(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(key, rows) for each stretch of equal keys within a batch of sorted ones; a run that spans batches comes in several."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows, bool)
+        for k in keys:
+            values = batch.column(k).to_numpy(zero_copy_only=False)
+            change[1:] |= values[1:] != values[:-1]
+        cuts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield tuple(batch.column(k)[a].as_py() for k in keys), batch.slice(a, b - a)
