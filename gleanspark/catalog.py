@@ -33,6 +33,7 @@ MODULES = (
     "gleanspark.operators.requests",
     "gleanspark.operators.mentions",
     "gleanspark.operators.listings",
+    "gleanspark.operators.output",
 )
 
 
