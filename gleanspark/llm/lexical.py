@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.common import quoted, spool, table
+from gleanspark.llm.common import quoted, small_batches, spool, table
 
 BEST = 20
 DIMS = 1 << 14  # terms share weights by hash
@@ -375,7 +375,8 @@ def search(index: Index, queries: DataFrame, k: int = BEST, item_id: str = "item
 
 def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best of `documents` for each item of `benchmark`; odd rows as in `build_index` and `search`."""
-    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    with small_batches(spark):  # all that reads texts or postings is written before the result is returned
+        return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {"op13_lexical": op13_lexical}
