@@ -34,6 +34,7 @@ MODULES = (
     "gleanspark.operators.mentions",
     "gleanspark.operators.listings",
     "gleanspark.operators.output",
+    "gleanspark.operators.templates",
 )
 
 
