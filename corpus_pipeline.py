@@ -43,6 +43,9 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies (five-word shingles, similarity 0.8 or more), the one of smallest id.
 
+    Candidates are the links of SimHash fingerprints by Golay codewords, and MinHash keys for pairs further apart than those
+    reach; all are compared by their shingles.
+
     Null texts and texts without words are copies of each other. Rows without an id stay. Of repeated rows one stays; ties
     of one id go by a hash of the text. Columns of any name stay as they are. An empty table gives an empty one.
     """

@@ -1,10 +1,11 @@
 """Near-copies: documents whose sets of five-word shingles have a Jaccard similarity of SIMILAR (0.8) or more.
 
-At that similarity 64-bit fingerprints differ in about ten bits, too many for the search of `simhash`, so candidates come
-from MinHash: BANDS (20) keys of ROWS (5) minima each. Two sets of similarity 0.8 share a key with probability
+Candidates are the links of `simhash`: fingerprints at RADIUS bits or fewer, found by Golay codewords. At a similarity of 0.8
+fingerprints differ in about ten bits, too many for that search, so MinHash adds candidates: BANDS (20) keys of ROWS (5)
+minima each. Two sets of similarity 0.8 share a key with probability
 0.9996. Equal sets are merged first. Each bucket links its members to the least of them; what is connected so is a
 crowd, and every two sets of a crowd are compared exactly, whether or not they shared a bucket. A link is thus never
-false, and is missed only where no chain of buckets joins its two sets.
+false, and is missed only where no chain of fingerprint links and buckets joins its two sets.
 
 A crowd moves each set once. One of more than SIDE sets, or HASHES shingles, is cut at random into parts, and every two
 parts meet in a group of their own, so no task holds more than two parts at a time. A group reports a spanning forest,
@@ -13,7 +14,7 @@ never its pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
 import numpy as np
@@ -105,26 +106,30 @@ def row_hash(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(quoted(doc_id), quoted(text).cast("binary"))
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicate_groups(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fingerprint: Callable[[bytes | None], int] | None = None, fingerprint_links: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """(doc_id, row, set_id, group, component_id): one row per input row; component_id is the smallest id reachable over links.
 
     `row` is a hash of id and text, `group` names the component even where ids repeat. Texts without words and null texts
     have the same, empty, set and link with each other; long texts are compared as a whole. A null id is never the
     smallest; a group of null ids only has a null component_id. Repeated rows are returned as often as given. Only the two
-    columns named are read. An empty table gives an empty one.
+    columns named are read. An empty table gives an empty one. `fingerprint` (of a text) and `fingerprint_links` (a, b of
+    distinct fingerprints in column fp) add candidates; `simhash` passes its own.
     """
 
-    @F.arrow_udf("struct<set_id:binary,n:int,keys:array<long>>")
+    @F.arrow_udf("struct<set_id:binary,n:int,keys:array<long>,fp:long>")
     def marks(texts: pa.Array) -> pa.Array:
-        ids, sizes, keys = [], [], []
+        ids, sizes, keys, fps = [], [], [], []
         for x in texts:
             found = shingles(x.as_py())
+            fps.append(fingerprint(x.as_py()) if fingerprint else 0)
             ids.append(_digest(found))
             sizes.append(len(found))
             keys.append(band_keys(found))
         ends = np.cumsum([0] + [len(k) for k in keys])
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), lists], ["set_id", "n", "keys"])
+        return pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()), lists, pa.array(np.array(fps, np.uint64).view(np.int64))], ["set_id", "n", "keys", "fp"])
 
     @F.arrow_udf("binary")
     def hashes_of(texts: pa.Array, ids: pa.Array) -> pa.Array:
@@ -134,12 +139,19 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 
     rows = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).cast("binary").alias("text"), row_hash(doc_id, text).alias("row"))
     marked = spool(rows.select("doc_id", "row", marks("text").alias("m")).select("doc_id", "row", "m.*"), "shingle-sets")
-    sets = marked.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"))
+    sets = marked.groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys"), F.min("fp").alias("fp"))
     sets = spool(sets, "distinct-sets")
 
     cells = sets.select("set_id", F.explode("keys").alias("key"))
     buckets = cells.groupBy("key").agg(F.min("set_id").alias("centre"), F.count("*").alias("size")).where("size > 1")
-    candidates = cells.join(buckets, "key").where("set_id <> centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b")).distinct()
+    candidates = cells.join(buckets, "key").where("set_id <> centre").select(F.col("set_id").alias("a"), F.col("centre").alias("b"))
+    if fingerprint_links:
+        alike = spool(sets.groupBy("fp").agg(F.min("set_id").alias("first")), "set-fingerprints")
+        same = sets.join(alike, "fp").where("set_id <> first").select(F.col("set_id").alias("a"), F.col("first").alias("b"))
+        ends = lambda end: alike.select(F.col("fp").alias(end), F.col("first").alias(f"_{end}"))
+        near = fingerprint_links(alike.select("fp")).join(ends("a"), "a").join(ends("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        candidates = candidates.unionByName(same).unionByName(near)
+    candidates = candidates.distinct()
     members = spool(components(candidates).join(sets, F.col("v") == F.col("set_id")).select("set_id", "root", "row", "n"), "crowds")
     parts = F.greatest(F.ceil(F.count("*") / SIDE), F.ceil(F.sum("n") / HASHES)).cast("int")
     members = members.join(members.groupBy("root").agg(parts.alias("parts")), "root").withColumn("part", F.pmod(F.xxhash64("set_id"), "parts").cast("int"))

@@ -198,6 +198,9 @@ def fingerprint_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of `docs` for each group of near-copies (five-word shingles, similarity 0.8 or more): one of its smallest id.
 
+    Documents whose fingerprints link (RADIUS bits or fewer, by codewords) are candidates, and so are those that share a
+    MinHash key; both are compared by their shingles.
+
     Where several rows of a group have that id, the one with the least hash of its text stays, once if it is repeated;
     rows of other groups that have the same id are not touched. Null texts and texts without words are near-copies of each
     other. Rows with a null id are compared like any other but always kept, as their id can't name them. Columns may have
@@ -205,7 +208,7 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     p = free_prefix(docs)
     key, one = f"{p}row", f"{p}id"
-    groups = near_duplicate_groups(docs, doc_id, text).where("doc_id = component_id")
+    groups = near_duplicate_groups(docs, doc_id, text, fingerprint, fingerprint_links).where("doc_id = component_id")
     kept = groups.groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("first"))
     kept = spool(kept.select(F.col("first.doc_id").alias(one), F.col("first.row").alias(f"{p}of")), "kept")
     # The kept ids grow with the documents, so this join always shuffles; the window then finds its rows in place.
