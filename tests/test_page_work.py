@@ -1,8 +1,10 @@
 """How pages are parsed: a few at a time, once, and in as many tasks as a shuffle has."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from gleanspark.sources import html, pagetables
+from gleanspark.operators import requests, scoring
+from gleanspark.sources import assembly, html, pagetables
 from gleanspark.sources.html import PART_ROWS, element_batches, element_rows
 
 
@@ -27,3 +29,17 @@ def test_queries_that_read_elements_often_parse_pages_once(spark, sf_dir):
         plan = html.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "Arrow" not in plan, name
     assert "Arrow" not in pagetables.QUERIES["table_observations"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tidy_fields_keep_the_last_of_a_name_and_are_made_once(spark):
+    rows = spark.createDataFrame([(1, [("A b", " x  y "), ("c", ""), ("a B", "z"), ("D", "1")]), (2, [])], "k int, fields array<struct<name:string,value:string>>")
+    made = rows.select("k", assembly.tidy_fields(F.col("fields")).alias("f"))
+    assert [[tuple(x) for x in r.f] for r in made.orderBy("k").collect()] == [[("a_b", "z"), ("d", "1")], []]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("substring(trim(") <= 1
+
+
+def test_requests_and_orders_are_dealt_over_all_partitions(spark, sf_dir):
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert scoring.rows_of_orders(spark, sf_dir).rdd.getNumPartitions() == most
+    dealt = requests.requests_of_customers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {most}, true" in dealt
