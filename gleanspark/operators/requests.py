@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.strings import STOPWORDS, similarity
 from gleanspark.functions.temporal import resolve_window, without_windows
+from gleanspark.lineage import spread
 from gleanspark.operators.concepts import IDENTIFIER_HEADS, LEXICON, UNIT_TOKENS, corrected, word_class, words_of
 from gleanspark.sources.tables import table
 
@@ -195,7 +196,7 @@ def grounded(suggestions: DataFrame, requests: DataFrame, today: date, key: str
 
 def requests_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request of every customer: something in their market, in a country, over some years, or a list from a site."""
-    c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    c = spread(table(spark, sf_dir, "customer")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     goods, land, k = F.lower("c_mktsegment"), F.initcap("n_name"), F.col("c_custkey")
     n = (k % 4 + 2).cast("string")
     text = (

@@ -21,7 +21,7 @@ from gleanspark.functions.numbers import QUANTITY_KINDS, to_number, value_kind
 from gleanspark.functions.strings import similarity, tokens
 from gleanspark.functions.temporal import overlaps, parse_period
 from gleanspark.functions.urls import host_of
-from gleanspark.lineage import spool
+from gleanspark.lineage import spool, spread
 from gleanspark.operators import verdicts
 from gleanspark.operators.blocks import apply_block_support
 from gleanspark.operators.concepts import GENERIC_NAME, MODIFIERS, UNIT_TOKENS, Concept, concept, matches_by_row, seen_cells, word_class, words_of
@@ -293,7 +293,7 @@ ASKED = Request((concept("price"),), subject=("parcel",), window=("1993-01-01",
 
 def rows_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as rows whose columns, subject, period and surroundings vary; customers are their blocks."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     whole, urgent = F.floor("o_totalprice").cast("string"), F.substring("o_orderpriority", 1, 1)
     pair = lambda name, value: F.struct((F.lit(name) if isinstance(name, str) else name).alias("name"), value.alias("value"))
     name = F.when(urgent == "1", "price").when(urgent == "2", "listed_cost").when(urgent == "3", "amount").when(urgent == "4", "weight").otherwise("remark")
