@@ -8,10 +8,11 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.functions.numbers import to_number, value_kind
+from gleanspark.lineage import spool
 from gleanspark.sources.tables import table
 
 MAX_SERIES, MAX_BARS, NUMERIC_SHARE = 8, 30, 0.6
@@ -57,18 +58,18 @@ def dimensions(cells: DataFrame, numeric: list[str]) -> DataFrame:
     return text.groupBy("name").agg(F.count_distinct("value").alias("distinct_values")).where("distinct_values >= 2")
 
 
-def group_column(cells: DataFrame, parameter: str, numeric: list[str], limit: int) -> str | None:
-    """The dimension with the most distinct values, at most `limit`, among rows that have the parameter; a row a column."""
-    rows = cells.where((F.col("name") == parameter) & (F.col("value") != "")).select("pos").distinct()
-    found = dimensions(cells.join(rows, "pos", "left_semi"), numeric).where(F.col("distinct_values") <= limit)
+def group_column(rows: DataFrame, numeric: list[str], limit: int) -> str | None:
+    """The dimension with the most distinct values, at most `limit`, among rows that have the parameter (see `parameter_rows`)."""
+    found = dimensions(rows.select(F.inline("others")), numeric).where(F.col("distinct_values") <= limit)
     first = found.orderBy(F.desc("distinct_values"), "name").first()
     return first["name"] if first else None
 
 
 def points(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The first row of each key, and how many others there were. Combined before the shuffle."""
+    """The first row of each key, and how many others there were. Combined before the shuffle. A row stands for `n`, if it has that."""
     body = F.struct("pos", "number", "raw")
-    return rows.groupBy(*key).agg(F.min_by(body, "pos").alias("first"), (F.count("*") - 1).alias("duplicates")).select(*key, "first.*", "duplicates")
+    n = F.sum("n") if "n" in rows.columns else F.count("*")
+    return rows.groupBy(*key).agg(F.min_by(body, "pos").alias("first"), (n - 1).alias("duplicates")).select(*key, "first.*", "duplicates")
 
 
 def line_points(rows: DataFrame, most: int = MAX_SERIES) -> DataFrame:
@@ -88,18 +89,42 @@ def bar_points(rows: DataFrame, most: int = MAX_BARS) -> DataFrame:
     return one.orderBy(F.desc("number"), "pos").limit(most).select("label", "number", "raw", "duplicates")
 
 
+def parameter_rows(cells: DataFrame, parameter: str, numeric: list[str]) -> DataFrame:
+    """(pos, period, series, raw, others) of each filled cell of a parameter: `others` are the (name, value) in its row that could
+    group it. One shuffle brings the cells of a row together."""
+    text, mine = chartable() & ~F.col("name").isin(*numeric), F.col("name") == parameter
+    wanted = cells.where((F.col("value") != "") & (text | mine))
+    rows = wanted.groupBy("pos").agg(
+        F.collect_list(F.when(mine, F.struct("period", "series", F.col("value").alias("raw")))).alias("mine"),
+        F.collect_list(F.when(text, F.struct("name", "value"))).alias("others"),
+    )
+    return rows.where(F.size("mine") > 0).select("pos", "others", F.inline("mine")).select("pos", "period", "series", "raw", "others")
+
+
+def chart_of_rows(rows: DataFrame, parameter: str, numeric: list[str]) -> tuple[str, DataFrame]:
+    """As `chart`, of rows (pos, period, series, raw, others) as `parameter_rows` makes them; no row is moved whole.
+
+    Values repeat, so they are counted under each key and read as numbers once.
+    """
+    filled = rows.where(F.col("raw") != "")
+    dated = filled.where("period <> ''").select("period", "raw").distinct()
+    # Not a filter, which the optimizer would move below distinct(), to every row
+    lines = dated.agg(F.count_distinct(F.when(to_number(F.col("raw")).isNotNull(), F.col("period")))).first()[0] >= 2
+    group = group_column(filled, numeric, 3 * MAX_SERIES if lines else 10_000)
+    own = F.transform(F.filter("others", lambda c: (c["name"] == group) & (c["value"] != "")), lambda c: c["value"]) if group else F.array(F.lit(None).cast("string"))
+    each = (F.explode_outer if lines else F.explode)(own)
+    label = "series" if lines else "label"
+    key = F.coalesce("own", F.nullif("series", F.lit("")), F.lit(parameter)).alias(label)
+    keys = [label, "period"] if lines else [label]
+    keyed = filled.select("pos", "period", "series", "raw", each.alias("own")).select("pos", "period", "raw", key)
+    # Read twice below, so kept: the rows behind it are read once
+    counted = spool(keyed.groupBy(*keys, "raw").agg(F.min("pos").alias("pos"), F.count("*").alias("n")), "counted").withColumn("number", to_number(F.col("raw")))
+    return ("line", line_points(counted)) if lines else ("bar", bar_points(counted))
+
+
 def chart(cells: DataFrame, parameter: str, numeric: list[str]) -> tuple[str, DataFrame]:
     """("line" or "bar", its points) of one parameter."""
-    mine = cells.where((F.col("name") == parameter) & (F.col("value") != "")).select("pos", "period", "series", F.col("value").alias("raw"), to_number(F.col("value")).alias("number"))
-    lines = mine.where("number IS NOT NULL AND period <> ''").agg(F.count_distinct("period")).first()[0] >= 2
-    group = group_column(cells, parameter, numeric, 3 * MAX_SERIES if lines else 10_000)
-    if group:
-        by = cells.where((F.col("name") == group) & (F.col("value") != "")).select("pos", F.col("value").alias("own"))
-        mine = mine.join(by, "pos", "left" if lines else "inner")
-    else:
-        mine = mine.withColumn("own", F.lit(None).cast("string"))
-    key = F.coalesce("own", F.nullif("series", F.lit("")), F.lit(parameter))
-    return ("line", line_points(mine.withColumn("series", key))) if lines else ("bar", bar_points(mine.withColumn("label", key)))
+    return chart_of_rows(spool(parameter_rows(cells, parameter, numeric), "chart"), parameter, numeric)
 
 
 # --- queries
@@ -118,20 +143,34 @@ def _bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bar_points(c.select(F.col("c_custkey").alias("pos"), F.concat_ws("-", F.col("c_nationkey").cast("string"), "c_mktsegment").alias("label"), F.col("c_acctbal").alias("number"), F.col("c_name").alias("raw")))
 
 
-def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as observations in words: a price, a share, a brand-like group, a note that is mostly text."""
     li = table(spark, sf_dir, "lineitem")
     whole = F.col("l_quantity").cast("int").cast("string")
     return li.select(
-        F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 19, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("pos"),
-        F.date_format("l_shipdate", "yyyy").alias("period"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
+        F.lpad(F.year("l_shipdate").cast("string"), 4, "0").alias("period"),
         F.col("l_returnflag").alias("series"),
         F.concat(F.lit("$"), whole).alias("price"),
         F.concat((F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%")).alias("share"),
         F.col("l_linestatus").alias("state"),
         F.when(F.col("l_quantity") > 40, whole).otherwise("about nothing at all").alias("note"),
         F.col("l_partkey").cast("string").alias("part_id"),
-    ).unpivot(["pos", "period", "series"], ["price", "share", "state", "note", "part_id"], "name", "value")
+    )
+
+
+NAMES = ("price", "share", "state", "note", "part_id")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _items(spark, sf_dir).unpivot(["pos", "period", "series"], list(NAMES), "name", "value")
+
+
+def _price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items already hold their cells side by side, so none is moved to meet another."""
+    others = F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in NAMES])
+    rows = _items(spark, sf_dir).select("pos", "period", "series", F.col("price").alias("raw"), others.alias("others"))
+    return chart_of_rows(rows, "price", ["price", "share"])[1]
 
 
 QUERIES = {
@@ -139,7 +178,7 @@ QUERIES = {
     "chart_dimensions": lambda s, d: dimensions(_cells(s, d), ["price", "share"]),
     "chart_line": lambda s, d: line_points(_order_rows(s, d)),
     "chart_bar": _bars,
-    "chart_of_parameter": lambda s, d: chart(_cells(s, d), "price", ["price", "share"])[1],
+    "chart_of_parameter": _price,
 }
 ORACLE = {
     "numeric_parameters": """WITH li AS (SELECT l_orderkey, strftime(l_shipdate, '%Y') AS period, l_returnflag AS series FROM lineitem)

@@ -121,6 +121,14 @@ def test_charts(spark):
     assert kind == "bar" and [(r.label, r.number) for r in points.collect()] == [("B", 9.0), ("A", 5.0)]
 
 
+def test_chart_moves_no_row_to_meet_its_own_cells(spark, sf_dir):
+    rows = spark.createDataFrame([(1, "2024", "", "$5", [("city", "A")]), (2, "2024", "", "$5", [("city", "A")]), (3, "2025", "", "$7", []), (4, "2025", "s", "none", [("city", "B")]), (5, "", "", "$9", [("city", "B")])], "pos int, period string, series string, raw string, others array<struct<name:string,value:string>>")
+    kind, points = charts.chart_of_rows(rows, "price", ["price"])
+    assert kind == "line" and {tuple(r) for r in points.collect()} == {("A", "2024", 5.0, "$5", 1), ("price", "2025", 7.0, "$7", 0)}
+    plan = charts.QUERIES["chart_of_parameter"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "hashpartitioning(pos" not in plan
+
+
 def test_merge_is_idempotent_and_ignores_row_order(spark):
     rows = spark.createDataFrame([("a", "partial", 0, 0.5), ("a", "accepted", 5, 0.4), ("b", "rejected", 1, 0.1), ("b", "rejected", 0, 0.9)], "id string, status string, pos int, score double")
     once = merge.merge_buckets(rows)
