@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleanspark.lineage import spool
 from gleanspark.sources.tables import table
 
 MIN_SUPPORT, OVERLAP = 0.30, 0.6  # fixed values
+BLOCK = ("source_url", "block_id")
 
 
 def block_support(rows: DataFrame) -> DataFrame:
@@ -34,11 +36,32 @@ def block_support(rows: DataFrame) -> DataFrame:
 
 def demote_unsupported(rows: DataFrame) -> DataFrame:
     """Rows with their block's support; accepted ones of blocks below MIN_SUPPORT become partial."""
-    known = rows.join(block_support(rows).drop("first_pos"), ["source_url", "block_id"], "left")
+    return _demoted(rows.join(block_support(rows).drop("first_pos"), list(BLOCK), "left"))
+
+
+def _demoted(known: DataFrame) -> DataFrame:
     weak = (F.col("status") == "accepted") & (F.col("support") < MIN_SUPPORT)
     return known.withColumn("status", F.when(weak, "partial").otherwise(F.col("status")))
 
 
+def _suppressed(known: DataFrame) -> DataFrame:
+    """What `overlap_suppression` says, of rows that have their block's support and first_pos.
+
+    Values are made and compared by one shuffle each: those of a block where its rows are, those of a site by signature (one row a
+    block meets there). Then they are kept, since their blocks' shares and the rows that are lost both need them.
+    """
+    accepted = known.where("status = 'accepted' AND number IS NOT NULL AND source_url IS NOT NULL AND block_id <> ''")
+    signature = F.xxhash64("period", F.lower("series"), F.round("number", 6)).alias("signature")
+    values = accepted.select("site", *BLOCK, "support", "first_pos", signature, "pos").groupBy("site", *BLOCK, "support", "first_pos", "signature").agg(F.max("pos").alias("pos"))
+    place = F.struct(F.col("support").isNull().alias("none"), (-F.col("support")).alias("support"), "first_pos", *BLOCK)
+    earliest = F.min(place).over(Window.partitionBy("site", "signature"))
+    seen = spool(values.select("site", *BLOCK, "pos", (earliest < place).alias("repeated")), "values")
+    share = seen.groupBy("site", *BLOCK).agg(F.avg(F.col("repeated").cast("int")).alias("share")).where(F.col("share") >= OVERLAP)
+    same = F.col("v.site").eqNullSafe(F.col("b.site")) & F.col("v.source_url").eqNullSafe(F.col("b.source_url")) & (F.col("v.block_id") == F.col("b.block_id"))
+    lost = seen.where("repeated").alias("v").join(share.alias("b"), same, "left_semi").select("pos", F.lit(True).alias("_lost"))
+    return known.join(lost, "pos", "left").withColumn("status", F.when(F.col("_lost"), "partial").otherwise(F.col("status"))).drop("_lost")
+
+
 def overlap_suppression(rows: DataFrame) -> DataFrame:
     """Accepted rows that repeat a stronger block of their site become partial.
 
@@ -47,24 +70,15 @@ def overlap_suppression(rows: DataFrame) -> DataFrame:
     way. So a value is a repeat where the first block of its site that holds it comes before this one, and no walk over a
     site's values is needed. Of rows of a block that share a value, the last stands for it.
     """
-    support = block_support(rows)
-    place = F.struct(F.col("support").isNull().alias("none"), (-F.col("support")).alias("support"), "first_pos", "source_url", "block_id")
-    placed = support.select("source_url", "block_id", place.alias("place"))
-    accepted = rows.where("status = 'accepted' AND number IS NOT NULL")
-    signature = F.xxhash64("period", F.lower("series"), F.round("number", 6))
-    values = accepted.join(placed, ["source_url", "block_id"]).select("site", "place", "pos", signature.alias("signature"))
-    values = values.groupBy("site", "place", "signature").agg(F.max("pos").alias("pos"))
-    earliest = values.groupBy(F.col("site").alias("_site"), F.col("signature").alias("_signature")).agg(F.min("place").alias("earliest"))
-    same_site = F.col("site").eqNullSafe(F.col("_site"))
-    known = values.join(earliest, same_site & (F.col("signature") == F.col("_signature"))).select("site", "place", "pos", (F.col("earliest") < F.col("place")).alias("repeated"))
-    share = known.groupBy(F.col("site").alias("_site"), F.col("place").alias("_place")).agg(F.avg(F.col("repeated").cast("int")).alias("share")).where(F.col("share") >= OVERLAP)
-    lost = known.where("repeated").join(share, same_site & F.col("place").eqNullSafe(F.col("_place"))).select("pos", F.lit(True).alias("_lost"))
-    return rows.join(lost, "pos", "left").withColumn("status", F.when(F.col("_lost"), "partial").otherwise(F.col("status"))).drop("_lost")
+    return _suppressed(rows.join(block_support(rows), list(BLOCK), "left")).select(*rows.columns)
 
 
 def apply_block_support(rows: DataFrame) -> DataFrame:
-    """Both steps in their order: rows of weak blocks are demoted first, so they neither repeat nor are repeated."""
-    return overlap_suppression(demote_unsupported(rows))
+    """Both steps in their order: rows of weak blocks are demoted first, so they neither repeat nor are repeated.
+
+    Demotion changes no support, so both read it from one join.
+    """
+    return _suppressed(_demoted(rows.join(block_support(rows), list(BLOCK), "left"))).drop("first_pos")
 
 
 # --- queries
@@ -75,7 +89,7 @@ def rows_of_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     whole = F.col("l_quantity").cast("int")
     return li.select(
-        F.concat_ws("-", *[F.lpad(F.col(c).cast("string"), 19, "0") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]).alias("pos"),
+        F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pos"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source_url"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("site"),
         F.concat(F.lit("table#"), (F.col("l_orderkey") % 9).cast("string")).alias("block_id"),

@@ -110,6 +110,20 @@ def test_overlap_needs_no_whole_site_in_one_task(spark):
     assert "Pandas" not in found._jdf.queryExecution().toString()
 
 
+def test_rows_of_blocks_are_read_once_for_their_support_and_once_for_themselves(spark, sf_dir):
+    for name in ("overlap_suppression", "block_support_and_overlap"):
+        plan = blocks.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Relation [l_orderkey") <= 2, name
+
+
+def test_rows_without_a_source_or_block_neither_repeat_nor_are_repeated(spark):
+    one = ("s", 0.5, 0.5, "number", True, "accepted", "2024", "x", 1.0)
+    rows = [(i, u, b, *one) for i, (u, b) in enumerate([("u", "a"), ("u", "b"), (None, "a"), ("u", None), ("u", "")])]
+    df = spark.createDataFrame(rows, "pos int, source_url string, block_id string, site string, coverage double, relevance double, kind string, is_record boolean, status string, period string, series string, number double")
+    for suppress in (blocks.overlap_suppression, blocks.apply_block_support):
+        assert {r.pos: r.status for r in suppress(df).collect()} == {0: "accepted", 1: "partial", 2: "accepted", 3: "accepted", 4: "accepted"}
+
+
 def test_charts(spark):
     cells = [(0, "2024", "", "price", "$5"), (0, "2024", "", "city", "A"), (1, "2025", "", "price", "$6"), (1, "2025", "", "city", "A"), (2, "2024", "", "price", "$9"), (2, "2024", "", "city", "B"), (3, "2024", "", "price", "$1"), (3, "2024", "", "city", "A")]
     df = spark.createDataFrame(cells, "pos int, period string, series string, name string, value string")
