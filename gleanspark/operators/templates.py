@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanspark.lineage import spread
 from gleanspark.sources.tables import table
 
 LEAST = 4  # fixed value: characters of a slice, and of an id that is taken whole
@@ -36,23 +37,25 @@ def address_templates(observed: DataFrame, key: str = "list") -> DataFrame:
     rows = observed.select(key, F.col("id").cast("string").alias("id"), "url").distinct()
     whole = F.when((F.length("id") >= LEAST) & F.expr("instr(url, id) > 0"), F.concat(F.expr("substring(url, 1, instr(url, id) - 1)"), F.lit("{1}"), F.expr("substring(url, instr(url, id) + length(id))")))
     rows = rows.withColumn("whole", whole)
-    sizes = rows.groupBy(key).agg(F.count("*").alias("n"), F.count("whole").alias("said"), F.min("whole").alias("one"), F.max("whole").alias("other"))
+    # Texts are counted before the least of them is taken: counts need no sort of all rows, and a list has few of them or no rule
+    wholes = rows.groupBy(key, "whole").agg(F.count("*").alias("n"))
+    sizes = wholes.groupBy(key).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("whole").isNotNull(), F.col("n"))), F.lit(0)).alias("said"), F.min("whole").alias("one"), F.max("whole").alias("other"))
     runs = rows.select(key, "id", "url", F.posexplode(F.regexp_extract_all("id", F.lit(r"\d+"), F.lit(0))).alias("run", "digits")).where(F.length("digits") >= LEAST)
     starts = runs.select("*", F.explode(F.sequence(F.lit(0), F.length("digits") - LEAST)).alias("start"))
     cut = starts.select("*", F.explode(F.sequence(F.lit(LEAST), F.length("digits") - F.col("start"))).alias("size"))
     met = cut.where(F.rlike("url", F.concat(F.lit(r"(?<!\d)"), F.expr("substring(digits, start + 1, size)"), F.lit(r"(?!\d)"))))
     ends = F.col("start") + F.col("size") == F.length("digits")
     votes = met.withColumn("rest", F.explode(F.when(ends, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
-    # A slice to the end is one rule whatever its size
+    # A slice to the end is one rule whatever its size. Rows are different and meet a rule once, so votes are plain counts
     size = F.when(F.col("rest"), F.lit(0)).otherwise(F.col("size"))
-    agreed = votes.withColumn("least", F.col("size")).groupBy(key, "run", "start", size.alias("size"), "rest").agg(F.count_distinct("id", "url").alias("votes"), F.min("least").alias("least")).join(sizes.select(key, "n"), key).where("votes = n")
+    agreed = votes.withColumn("least", F.col("size")).groupBy(key, "run", "start", size.alias("size"), "rest").agg(F.count("*").alias("votes"), F.min("least").alias("least")).join(sizes.select(key, "n"), key).where("votes = n")
     best = agreed.groupBy(key, "run").agg(F.max_by(F.struct("run", "start", "size", "rest"), F.struct("least", ~F.col("rest"), -F.col("start"))).alias("s"))
     chosen = best.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("slices"))
     made = rows.join(chosen, key)
     numbered = F.transform("slices", lambda s, i: F.struct(s.alias("s"), (i + 1).alias("i")))
     built = made.withColumn("template", F.aggregate(numbered, F.col("url"), lambda a, x: _taken(a, _piece(F.col("id"), x["s"]), x["i"])))
-    sliced = built.groupBy(key).agg(F.count_distinct("template").alias("templates"), F.min("template").alias("sliced"), F.any_value("slices").alias("slices"))
-    told = sizes.join(sliced, key, "left")
+    sliced = built.groupBy(key, "template").agg(F.count("*").alias("of")).groupBy(key).agg(F.count("template").alias("templates"), F.min("template").alias("sliced"))
+    told = sizes.join(sliced, key, "left").join(chosen, key, "left")
     by_id = (F.col("said") == F.col("n")) & (F.col("one") == F.col("other"))
     template = F.when(by_id, F.col("one")).when((F.col("templates") == 1), F.col("sliced"))
     secure = F.when(template.startswith("https://"), template)
@@ -73,7 +76,7 @@ def notices_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(k % 4 == 2, F.lit("https://x.org/about"))
         .otherwise(F.concat(F.lit("http://x.org/"), id_))
     )
-    return o.select(k.alias("list"), id_.alias("id"), url.alias("url"))
+    return spread(o.select("o_orderdate", "o_orderkey", "o_custkey")).select(k.alias("list"), id_.alias("id"), url.alias("url"))
 
 
 QUERIES = {"address_templates": lambda s, d: address_templates(notices_of_customers(s, d)).select("list", "n", "template")}
