@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanspark.lineage import spool, spread
 from gleanspark.sources.tables import table
 
 # Depth of the walk, what makes a list one of records, children of a list that are read, names of the next page.
@@ -57,7 +58,8 @@ def record_lists(docs: DataFrame, key: str, json: str = "json", through_lists: b
     lists = lists.withColumn("items", F.filter("all", lambda x: as_object(x).isNotNull())).where((F.size("items") >= least) & (F.size("items") >= LIKE * F.size("all")))
     names = F.transform("items", lambda x: F.map_keys(as_object(x)))
     shared = F.aggregate(F.slice(names, 2, F.size(names)), F.element_at(names, 1), lambda a, x: F.array_intersect(a, x))
-    lists = lists.withColumn("common", F.size(shared)).where(F.col("common") >= common).withColumn("n", F.size("items"))
+    # Kept, since the choice and the chosen both need them: documents are walked once
+    lists = spool(lists.withColumn("common", F.size(shared)).where(F.col("common") >= common).select(key, "path", "items", F.size("items").alias("n"), "common"), "lists")
     first = F.min_by(F.struct("path", "n", "common"), F.struct((-F.col("n") * F.col("common")).alias("w"), "path"))
     best = lists.groupBy(key).agg(first.alias("b")).select(key, "b.*")
     return lists.join(best.select(key, "path"), [key, "path"]).select(key, "path", "items", "n", "common")
@@ -78,13 +80,19 @@ def snake(name: Column) -> Column:
 def record_fields(lists: DataFrame, key: str) -> DataFrame:
     """(key, item, name, value): readable fields of the records of `record_lists`: scalars, lists of them joined, and those of
     inner objects, one level deep, under joined names. Empty ones are left out; of a repeated name the first counts."""
-    items = lists.select(key, F.posexplode("items").alias("item", "o")).select(key, "item", F.explode(as_object(F.col("o"))).alias("k", "w"))
-    inner = items.select(key, "item", "k", F.explode(as_object(F.col("w"))).alias("g", "w")).select(key, "item", F.concat_ws("_", "k", "g").alias("k"), "w")
-    flat = items.where(as_object(F.col("w")).isNull()).unionByName(inner.where(as_object(F.col("w")).isNull()))
-    scalars = F.filter(F.transform(F.filter(as_list(F.col("w")), lambda x: F.schema_of_variant(x) != "BOOLEAN"), as_text), lambda x: x.isNotNull())
-    value = F.substring(F.coalesce(F.nullif(F.array_join(scalars, "; "), F.lit("")), as_text(F.col("w"))), 1, VALUE)
-    told = flat.select(key, "item", snake(F.col("k")).alias("name"), value.alias("value"), "k").where("value <> ''")
-    return told.groupBy(key, "item", "name").agg(F.min_by("value", "k").alias("value"))
+    entries = lambda v: F.coalesce(F.map_entries(as_object(v)), F.array().cast("array<struct<key:string,value:variant>>"))
+    named = lambda k, v: F.struct(k.alias("k"), v.alias("w"))
+    inner = lambda e: F.transform(entries(e["value"]), lambda g: named(F.concat_ws("_", e["key"], g["key"]), g["value"]))
+    scalars = lambda w: F.filter(F.transform(F.filter(as_list(w), lambda x: F.schema_of_variant(x) != "BOOLEAN"), as_text), lambda x: x.isNotNull())
+    value = lambda w: F.substring(F.coalesce(F.nullif(F.array_join(scalars(w), "; "), F.lit("")), as_text(w)), 1, VALUE)
+    # A record's fields stay in its row until they are read: its names repeat only there, so none is moved to meet its like
+    items = spread(lists).select(key, F.posexplode("items").alias("item", "o")).select(key, "item", entries(F.col("o")).alias("e"))
+    every = F.concat(F.transform("e", lambda e: named(e["key"], e["value"])), F.flatten(F.transform("e", inner)))
+    plain = items.select(key, "item", F.filter(every, lambda f: as_object(f["w"]).isNull()).alias("f"))
+    told = plain.select(key, "item", F.transform("f", lambda f: F.struct(snake(f["k"]).alias("name"), f["k"].alias("k"), value(f["w"]).alias("value"))).alias("f"))
+    told = told.select(key, "item", F.array_sort(F.filter("f", lambda f: f["value"] != "")).alias("f"))
+    first = F.filter("f", lambda f, i: (i == 0) | (f["name"] != F.get("f", i - 1)["name"]))
+    return told.select(key, "item", F.explode(first).alias("f")).select(key, "item", "f.name", "f.value")
 
 
 # --- queries
@@ -98,7 +106,7 @@ def answers_of_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     facets = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.struct(i.alias("code"), F.lit("x").alias("label")))
     following = F.when(F.col("id") % 2 == 0, F.concat(F.lit("/orders?page="), F.col("id").cast("string"))).otherwise("none")
     body = F.struct(F.struct(F.struct("rows", facets.alias("facets")).alias("result"), F.struct(F.size("rows").alias("total"), following.alias("nextUrl")).alias("page")).alias("data"))
-    return rows.select("id", F.to_json(body).alias("json"))
+    return spread(rows.select("id", F.to_json(body).alias("json")))
 
 
 def _fields(spark: SparkSession, sf_dir: str) -> DataFrame:

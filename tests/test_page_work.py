@@ -3,8 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gleanspark.operators import requests, scoring
-from gleanspark.sources import assembly, html, pagetables
+from gleanspark.operators import requests, scoring, templates
+from gleanspark.sources import assembly, html, jsonlists, pagetables
 from gleanspark.sources.html import PART_ROWS, element_batches, element_rows
 
 
@@ -43,3 +43,18 @@ def test_requests_and_orders_are_dealt_over_all_partitions(spark, sf_dir):
     assert scoring.rows_of_orders(spark, sf_dir).rdd.getNumPartitions() == most
     dealt = requests.requests_of_customers(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert f"Repartition {most}, true" in dealt
+
+
+def test_notices_are_dealt_over_all_partitions_and_votes_are_plain_counts(spark, sf_dir):
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert templates.notices_of_customers(spark, sf_dir).rdd.getNumPartitions() == most
+    assert "distinct" not in templates.QUERIES["address_templates"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().replace("Distinct", "")
+
+
+def test_fields_of_records_are_read_within_their_row(spark):
+    docs = spark.createDataFrame([(1, '[{"a B":"","a_b":"2","aB":"1","in":{"x":3,"deep":{"y":1}}},{"a B":"5","t":["u",true,null,"v"]},{"a B":"6","z":null}]')], "id int, json string")
+    lists = jsonlists.record_lists(docs, "id", least=3, common=1)
+    fields = jsonlists.record_fields(lists, "id")
+    assert sorted(tuple(r) for r in fields.collect()) == [(1, 0, "a_b", "1"), (1, 0, "in_x", "3"), (1, 1, "a_b", "5"), (1, 1, "t", "u; v"), (1, 2, "a_b", "6")]
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (lists, fields)]
+    assert plans[0].count("Aggregate") == plans[1].count("Aggregate") and "parse_json" not in plans[0]
