@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from gleanspark.operators import requests, scoring, templates
+from gleanspark.operators import concepts, requests, scoring, templates
 from gleanspark.sources import assembly, html, jsonlists, pagetables
 from gleanspark.sources.html import PART_ROWS, element_batches, element_rows
 
@@ -58,3 +58,8 @@ def test_fields_of_records_are_read_within_their_row(spark):
     assert sorted(tuple(r) for r in fields.collect()) == [(1, 0, "a_b", "1"), (1, 0, "in_x", "3"), (1, 1, "a_b", "5"), (1, 1, "t", "u; v"), (1, 2, "a_b", "6")]
     plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (lists, fields)]
     assert plans[0].count("Aggregate") == plans[1].count("Aggregate") and "parse_json" not in plans[0]
+
+
+def test_orders_whose_names_differ_are_dealt_over_all_partitions(spark, sf_dir):
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert concepts._cells(spark, sf_dir).rdd.getNumPartitions() == most
