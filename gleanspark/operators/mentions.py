@@ -1,7 +1,8 @@
 """Entries of a registry that texts name: by an alias, however it is spaced or written, or by an address of one of their sites.
 
-A text becomes the runs of up to RUN words that it holds, joined; an alias is one such run. So any number of aliases is matched
-by one equi-join, and addresses by another, over the host and the domains above it.
+A text becomes the runs of up to RUN words that it holds, joined; an alias is one such run. Only places whose first letters are
+those of an alias are written out. So any number of aliases is matched by two equi-joins, and addresses by another, over the
+host and the domains above it.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from gleanspark.sources.tables import table
 
 # Words of an alias at most, letters and digits of one at least.
 RUN, SHORTEST = 6, 4
+# From every word of a text in lower case, with single spaces, the words of the longest alias.
+NEAR = rf"(?<![a-z0-9])(?=([a-z0-9]++(?: [a-z0-9]++){{0,{RUN - 1}}}+))"
 HOST = r"(?i)\b(?:https?://)?((?:[a-z0-9](?:[a-z0-9-]*[a-z0-9])?\.)+[a-z]{2,})(?=[/?#:\s,;)]|\.?$|\.\s)"
 
 
@@ -23,14 +26,17 @@ def phrase(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
 
 
-def runs(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, phrase, first, words) of all runs of one to RUN words."""
-    words = F.filter(F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("[A-Za-z0-9.]+"), F.lit(0)), phrase), lambda w: w != "")
-    plain = texts.select(key, words.alias("w")).where(F.size("w") > 0)
-    # A few words from every place, so that no row is copied with its whole text
-    near = F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.slice("w", i + 1, F.lit(RUN)))
-    ahead = plain.select(key, F.posexplode(near).alias("first", "w"))
-    long = ahead.select(key, "first", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("words"))
+def places(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, first, near): every word's number in its text, from 0, and the RUN words from there on, with spaces between."""
+    words = F.regexp_extract_all(F.replace(F.coalesce(text, F.lit("")), F.lit("."), F.lit("")), F.lit("[A-Za-z0-9]+"), F.lit(0))
+    plain = F.lower(F.array_join(words, " "))  # in lower case once it is ASCII: that is far faster
+    return texts.select(key, F.posexplode(F.regexp_extract_all(plain, F.lit(NEAR), F.lit(1))).alias("first", "near"))
+
+
+def runs(near: DataFrame, key: str) -> DataFrame:
+    """(key, phrase, first, words) of the runs of one to RUN words from each of the places."""
+    words = near.select(key, "first", F.split("near", " ").alias("w"))
+    long = words.select(key, "first", "w", F.explode(F.sequence(F.lit(1), F.size("w"))).alias("words"))
     return long.select(key, F.array_join(F.slice("w", F.lit(1), F.col("words")), "").alias("phrase"), "first", "words").where(F.length("phrase") >= SHORTEST)
 
 
@@ -41,13 +47,16 @@ def alias_mentions(texts: DataFrame, registry: DataFrame, key: str, text: str =
     SHORTEST letters and digits never match. Null texts and aliases name nothing; an entry that has an alias twice is one.
     """
     known = registry.select("entry", "alias", phrase(F.col("alias")).alias("phrase")).where(F.length("phrase") >= SHORTEST).groupBy("entry", "phrase").agg(F.min("alias").alias("alias"))
-    met = runs(texts, key, text).join(known, "phrase")
-    # A run within a longer one that matched as well is no mention of its own.
-    longer = met.groupBy(key).agg(F.collect_set(F.struct("first", "words")).alias("all"))
-    inside = lambda a: (a["words"] > F.col("words")) & (a["first"] <= F.col("first")) & (a["first"] + a["words"] >= F.col("first") + F.col("words"))
-    whole = met.join(longer, key).where(~F.exists("all", inside)).drop("all")
-    place = F.row_number().over(Window.partitionBy(key, "entry", "phrase").orderBy("first"))
-    return whole.withColumn("n", place).where("n = 1").select(key, "entry", "alias", "first", "words")
+    # Only places that begin as some alias does are written out as runs.
+    heads = known.select(F.substring("phrase", 1, SHORTEST).alias("head")).distinct()
+    begun = places(texts, key, text).withColumn("head", F.substring(F.replace("near", F.lit(" "), F.lit("")), 1, SHORTEST)).join(heads, "head", "left_semi")
+    met = runs(begun, key).join(known, "phrase")
+    # A run within a longer one that matched as well is no mention of its own: one from before it, or a longer one from its place.
+    end, order = F.col("first") + F.col("words"), F.col("first") * (RUN + 1) - F.col("words")
+    reach = F.max(end).over(Window.partitionBy(key).orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
+    whole = met.withColumn("reach", reach).where(F.col("reach").isNull() | (F.col("reach") < end))
+    first = whole.groupBy(key, "entry", "phrase").agg(F.min(F.struct("first", "words", "alias")).alias("m"))
+    return first.select(key, "entry", "m.alias", "m.first", "m.words")
 
 
 def site_mentions(texts: DataFrame, sites: DataFrame, key: str, text: str = "text") -> DataFrame:

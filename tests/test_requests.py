@@ -86,6 +86,22 @@ def test_aliases_are_those_of_trying_each(spark):
     assert got == expected
 
 
+def _generated(node):
+    """Rows that the generators of an executed plan gave out."""
+    name = node.nodeName()
+    below = [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else [node.children().apply(i) for i in range(node.children().size())]
+    return sum(map(_generated, below)) + (node.metrics().apply("numOutputRows").value() if name == "Generate" else 0)
+
+
+def test_only_places_where_an_alias_may_begin_become_runs(spark):
+    words = ["ferry", "toll", "K\u212am", "v.a.t", "\u0130sland"] * 400
+    text = " ".join([*words, "Our", "WORLD.", "in..", "data", *words])
+    registry = spark.createDataFrame([("a", "Our World in Data"), ("b", "our world"), ("c", "harbour")], "entry string, alias string")
+    df = mentions.alias_mentions(spark.createDataFrame([(1, text), (1, text), (None, text)], "id long, text string"), registry, "id")
+    assert sorted(map(tuple, df.collect()), key=str) == [(1, "a", "Our World in Data", 2400, 4), (None, "a", "Our World in Data", 2400, 4)]
+    assert _generated(df._jdf.queryExecution().executedPlan()) <= 3 * (4804 + 6)
+
+
 def test_sites_by_their_hosts(spark):
     sites = spark.createDataFrame([("a", "data.gov.in"), ("b", "Example.org")], "entry string, domain string")
     texts = {1: "use https://www.data.gov.in/x please", 2: "from api.example.org, or so", 3: "gov.in", 4: "notexample.org", 5: None}
