@@ -38,3 +38,7 @@ def _equals_its_sql(spark, sf_dir, name):
 
 def test_page_titles_equal_their_sql_where_references_are_cut(spark, tmp_path):
     assert _equals_its_sql(spark, _pages(spark, tmp_path, "this and&amp", "a token = &quot;0b9", "x &lt; y &amp;amp; z &am", "no reference"), "page_titles_and_links")
+
+
+def test_observations_of_pages_equal_their_sql_where_references_are_cut(spark, tmp_path):
+    assert _equals_its_sql(spark, _pages(spark, tmp_path, "this heading ends in a cut one and&amp", "a token is here = &quot;0b9 and &#x27;", "x &lt; y &amp;amp; z and so on &am"), "observations_of_pages")
