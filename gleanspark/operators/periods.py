@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.functions.temporal import MONTH_NAMES, parse_period, period_mentions
+from gleanspark.functions.temporal import FIRST_YEAR, MONTH_NAMES, YEARS_AHEAD, let, may_mention, parse_period, period_mentions
 from gleanspark.sources.tables import table
 
 TIME_NAME = r"(?i)(^|[^a-z])(year|date|period|time|day|month|quarter)s?($|[^a-z])"
@@ -23,19 +23,23 @@ LEAST_TRUST, LOSS = 0.1, 0.1
 
 
 def mentions(texts: Column, today: date) -> Column:
-    """For each text of an array the labels of the periods it mentions."""
+    """For each text of an array the labels of the periods it mentions. Only texts that may hold a year among others reach Python."""
 
     @F.arrow_udf("array<array<string>>")
     def of(rows: pa.Array) -> pa.Array:
         return pa.array([r and [period_mentions(t, today) for t in r] for r in rows.to_pylist()], pa.list_(pa.list_(pa.string())))
 
-    return of(texts)
+    alone = lambda t: F.coalesce(t.rlike(r"^[0-9]{4}\z"), F.lit(False))
+    year = lambda t: F.when(t.between(str(FIRST_YEAR), str(min(2099, today.year + YEARS_AHEAD))), F.array(t)).otherwise(F.array().cast("array<string>"))
+    asked = F.transform(texts, lambda t: F.when(~alone(t) & may_mention(t, today), t))
+    found = of(F.when(F.exists(asked, lambda t: t.isNotNull()), asked))
+    return F.zip_with(texts, F.coalesce(found, F.array().cast("array<array<string>>")), lambda t, f: F.when(alone(t), year(t)).otherwise(F.coalesce(f, F.array().cast("array<string>"))))
 
 
 def _found(label: Column, basis: str | Column, inferred: bool, trust: float | Column) -> Column:
     """A resolution, or null where there is no label."""
     lit = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.when(label.isNotNull(), F.struct(label.alias("period"), lit(basis).alias("basis"), F.lit(inferred).alias("inferred"), lit(trust).cast("double").alias("confidence")))
+    return let(label, lambda x: F.when(x.isNotNull(), F.struct(x.alias("period"), lit(basis).alias("basis"), F.lit(inferred).alias("inferred"), lit(trust).cast("double").alias("confidence"))))
 
 
 def _first(values: Column) -> Column:
@@ -87,7 +91,7 @@ def resolve_periods(rows: DataFrame, today: date) -> DataFrame:
     ]
     best = F.coalesce(
         _found(year_and_month(cells), "row_field", False, TRUST["field"]),
-        _found(parsed["label"], "row_field", False, F.when(parsed["granularity"] == "range", TRUST["field_range"]).otherwise(TRUST["field"])),
+        let(parsed, lambda p: _found(p["label"], "row_field", False, F.when(p["granularity"] == "range", TRUST["field_range"]).otherwise(TRUST["field"]))),
         _found(within, "row_field", False, TRUST["within_field"]),
         _found(_only(in_row), "row_value", False, TRUST["row_value"]),
         F.when(one, _found(header_year(F.col("measure"), today), "column_header", False, TRUST["column_header"])),
@@ -100,7 +104,8 @@ def resolve_periods(rows: DataFrame, today: date) -> DataFrame:
         ),
     )
     nothing = F.struct(F.lit(None).cast("string").alias("period"), F.lit("none").alias("basis"), F.lit(False).alias("inferred"), F.lit(0.0).alias("confidence"))
-    return seen.withColumn("_best", F.coalesce(best, nothing)).select(*[F.col(f"`{c}`") for c in rows.columns], "_best.*")
+    # Unpacked by a generator, else each of the four columns would resolve the period again
+    return seen.select(*[F.col(f"`{c}`") for c in rows.columns], F.inline(F.array(F.coalesce(best, nothing))))
 
 
 # --- queries

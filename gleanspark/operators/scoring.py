@@ -98,7 +98,7 @@ def _value(fields: Column, name: Column | str) -> Column:
 def with_matches(rows: DataFrame, request: Request) -> DataFrame:
     """`rows` with kinds (of its fields, in order), matches (concept to field, credit, via) and timed_names."""
     wanted, optional = request.wanted, request.extras
-    kinds = rows.withColumn("kinds", F.transform("fields", lambda x: value_kind(x["value"], request.today)))
+    kinds = spool(rows.withColumn("kinds", F.transform("fields", lambda x: value_kind(x["value"], request.today))), "kinds")  # read four times below
     cells = kinds.select("row", "context", F.posexplode(F.arrays_zip("fields", "kinds")).alias("place", "c")).select("row", "context", "place", "c.fields.*", F.col("c.kinds").alias("kind"))
     seen = seen_cells(cells, [*wanted, *optional], request.today, request.heads)
     measured = seen.where("NOT timed")
